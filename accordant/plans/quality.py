@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.functions.keys import number_key, stripped
-from accordant.operators import orphans, packed, parsing
+from accordant.functions.keys import code_key, number_key, stripped
+from accordant.operators import hierarchy, orphans, packed, parsing
 
 
 def table(spark: SparkSession, where: str, name: str) -> DataFrame:
@@ -96,3 +96,34 @@ def orphans_by_month(spark: SparkSession, where: str) -> DataFrame:
     return orphans.by_period(orphan_references(spark, where))
 
 
+
+
+# --- parent-child links to full hierarchies
+
+
+def concept_hierarchy(spark: SparkSession, where: str) -> hierarchy.Hierarchy:
+    rows = table(spark, where, "concepts")
+    names = F.concat(F.array("code"), F.coalesce("hierarchy_key", F.array().cast("array<string>")))
+    return hierarchy.Hierarchy(
+        rows.select(
+            F.col("taxonomy").alias("group"),
+            "code",
+            code_key(F.col("code")).alias("key"),
+            F.array_compact(F.transform(names, code_key)).alias("keys"),
+            F.transform(F.coalesce("parent_codes", F.array().cast("array<string>")), code_key).alias("parents"),
+            F.struct("loaded_at", "row_id").alias("version"),
+        )
+    )
+
+
+def concept_cycles(spark: SparkSession, where: str) -> DataFrame:
+    return concept_hierarchy(spark, where).cycles().withColumnRenamed("group", "taxonomy")
+
+
+def concept_paths(spark: SparkSession, where: str) -> DataFrame:
+    paths = concept_hierarchy(spark, where).paths()
+    return paths.select(F.col("group").alias("taxonomy"), "code", F.array_join("path", " > ").alias("path"), "depth", "root")
+
+
+def concept_descendants(spark: SparkSession, where: str) -> DataFrame:
+    return concept_hierarchy(spark, where).descendants().withColumnRenamed("group", "taxonomy")
