@@ -21,7 +21,8 @@ REFS_PER_GROUP = 500_000
 
 
 def micros(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp"))
+    """Microseconds since 1970 of a timestamp, whatever the session's zone makes of one without a zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c)
 
 
 def _hashes(domain: Column, key: Column) -> list[Column]:
