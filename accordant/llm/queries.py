@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.llm import labels
+from accordant.llm import bpe, labels, mixing, spans
 from accordant.llm.consensus import Consensus
 from accordant.storage import written
 
@@ -68,3 +69,69 @@ def p1_found(spark: SparkSession, where: str) -> DataFrame:
 
 def p1_reliability(spark: SparkSession, where: str) -> DataFrame:
     return consensus_of(spark, where).reliability
+
+
+# --- encoding of the whole corpus with a public tokenizer
+
+
+def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+    """The file of ranks, in the folder named by ACCORDANT_TOKENIZERS or in /opt/tokenizers."""
+    return os.path.join(os.environ.get("ACCORDANT_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+def p6_ids(spark: SparkSession, where: str) -> DataFrame:
+    return bpe.encode(_table(spark, where, "documents"), "doc_id", vocabulary_path())
+
+
+def p6_decoded(spark: SparkSession, where: str) -> DataFrame:
+    """Every text out of its ids again: equal to the text, null as empty."""
+    return bpe.decode(p6_ids(spark, where), "doc_id", vocabulary_path())
+
+
+P6_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+
+# --- mixing sources to target weights
+
+
+def _mix(spark: SparkSession, where: str) -> mixing.Mix:
+    return mixing.Mix(_table(spark, where, "documents"), _table(spark, where, "mix_targets"), vocabulary_path())
+
+
+def p7_mix(spark: SparkSession, where: str) -> DataFrame:
+    return _mix(spark, where).selection()
+
+
+def p7_shares(spark: SparkSession, where: str) -> DataFrame:
+    return _mix(spark, where).report()
+
+
+# --- long exact spans shared between records
+
+
+def p8_found(spark: SparkSession, where: str) -> DataFrame:
+    return spans.SharedSpans(_table(spark, where, "documents"), F.col("loaded_at")).pairs()
+
+
+def p8_coverage(spark: SparkSession, where: str) -> DataFrame:
+    """doc_id, n_chars, class_id, shared_chars and share of every document; null and short texts share nothing."""
+    docs = _table(spark, where, "documents")
+    found = spans.SharedSpans(docs, F.col("loaded_at"), every=True).coverage()
+    every = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    return every.join(found.drop("n_chars"), "doc_id", "left").select(
+        "doc_id", "n_chars", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.coalesce("share", F.lit(0.0)).alias("share")
+    )
+
+
+def p8_classes(spark: SparkSession, where: str) -> DataFrame:
+    """doc_id, class_id (of copies) and n_links (other classes with a common span) of each document of span length."""
+    shared = spans.SharedSpans(_table(spark, where, "documents"), F.col("loaded_at"))
+    links = shared.class_links()
+    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    return shared.classes.join(degree, "rep", "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p1_found, p1_items, p1_reliability, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_coverage, p8_classes)
+}
+ORACLES: dict[str, str] = {"p6_decoded": P6_DECODED}
