@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from accordant.plans import quality
+from accordant.plans import agreement, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,5 +21,48 @@ QUERIES: dict[str, Query] = {
     "p4_concepts": quality.sound_concepts,
     "p5_found": quality.orphan_references,
     "p5_by_month": quality.orphans_by_month,
+    **agreement.QUERIES,
+}
+
+_KEY = r"regexp_replace(upper(trim({0}, E' \t\n\r ')), '^[+]?0*([0-9]+?)(?:[.]0*)?$', '\1')"
+_ORPHANS = f"""
+WITH keys AS (
+  SELECT 'c/' || taxonomy AS d, {_KEY.format('n')} AS k, loaded_at AS s, retired_at AS u FROM (
+    SELECT taxonomy, loaded_at, retired_at, unnest(list_concat([code], coalesce(hierarchy_key, []))) AS n FROM concepts)
+  UNION ALL SELECT 'p', {_KEY.format('pt_code')}, loaded_at, retired_at FROM meddra_pt
+  UNION ALL SELECT 's', concat_ws('~', dataset, mode, negative_mode, agreement_level, seed, sample_index), loaded_at, retired_at FROM predictions
+), refs AS (
+  SELECT 'concepts' AS tbl, row_id, ref, loaded_at AS t, 'c/' || taxonomy AS d, {_KEY.format('ref')} AS k FROM (
+    SELECT row_id, taxonomy, loaded_at, unnest(list_distinct(parent_codes)) AS ref FROM concepts) WHERE trim(ref, E' \\t\\n\\r\\u00a0') <> ''
+  UNION ALL SELECT 'meddra_llt', row_id, pt_code, loaded_at, 'p', {_KEY.format('pt_code')} FROM meddra_llt WHERE trim(pt_code, E' \\t\\n\\r\\u00a0') <> ''
+  UNION ALL SELECT 'cost_matrices', row_id, sample_index::VARCHAR, loaded_at, 's', concat_ws('~', dataset, mode, negative_mode, agreement_level, seed, sample_index)
+    FROM cost_matrices WHERE sample_index IS NOT NULL
+), f AS (
+  SELECT tbl, row_id, ref, strftime(t, '%Y-%m') AS loaded_month,
+    CASE WHEN count(keys.k) = 0 THEN 'missing' WHEN min(s) > t THEN 'late' WHEN bool_or(s <= t AND (u IS NULL OR t < u)) THEN 'there' ELSE 'deleted' END AS fate
+  FROM refs LEFT JOIN keys USING (d, k) GROUP BY tbl, row_id, ref, t
+)"""
+
+_CYCLES = r"""
+WITH RECURSIVE rows AS (
+  SELECT taxonomy, upper(trim(code, E' \t\n\r ')) AS k, code, parent_codes, hierarchy_key,
+    row_number() OVER (PARTITION BY taxonomy, upper(trim(code, E' \t\n\r ')) ORDER BY loaded_at DESC, row_id DESC) AS n
+  FROM concepts WHERE trim(code, E' \t\n\r ') <> ''
+), c AS (SELECT * FROM rows WHERE n = 1),
+names AS (SELECT DISTINCT taxonomy, k, upper(trim(x, E' \t\n\r ')) AS name FROM (SELECT taxonomy, k, unnest(list_concat([code], coalesce(hierarchy_key, []))) AS x FROM c)),
+e AS (
+  SELECT DISTINCT p.taxonomy, p.k AS u, names.k AS v FROM (SELECT taxonomy, k, upper(trim(x, E' \t\n\r ')) AS name FROM (SELECT taxonomy, k, unnest(parent_codes) AS x FROM c)) p
+  JOIN names USING (taxonomy, name)
+), r AS (SELECT taxonomy, u, v FROM e UNION SELECT r.taxonomy, r.u, e.v FROM r JOIN e ON e.taxonomy = r.taxonomy AND e.u = r.v)
+SELECT a.taxonomy, min(o.code) AS cycle_code, c.code
+FROM r a JOIN r b ON a.taxonomy = b.taxonomy AND a.u = b.v AND a.v = b.u
+JOIN c ON c.taxonomy = a.taxonomy AND c.k = a.u JOIN c o ON o.taxonomy = a.taxonomy AND o.k = a.v
+GROUP BY a.taxonomy, c.code
+"""
+
+ORACLES: dict[str, str] = {
+    "p2_found": _CYCLES,
+    "p5_found": _ORPHANS + "SELECT * FROM f WHERE fate <> 'there'",
+    "p5_by_month": _ORPHANS + "SELECT tbl, loaded_month, fate, count(*) AS n, count(DISTINCT ref) AS n_keys FROM f WHERE fate <> 'there' GROUP BY ALL",
+    **agreement.ORACLES,
 }
-ORACLES: dict[str, str] = {}
