@@ -20,34 +20,31 @@ def _table(spark: SparkSession, where: str, name: str) -> DataFrame:
 # --- consensus from several annotators' labels
 
 
-def _readings(spark: SparkSession, where: str) -> tuple[DataFrame, DataFrame, dict[int, str]]:
-    """First and later choices of each annotator on each item; a row that was loaded twice is one reading."""
+def _readings(spark: SparkSession, where: str) -> tuple[DataFrame, dict[int, str]]:
+    """Votes of each annotator's first reading of each item that names a term: a later row is no second opinion."""
     words, names = labels.vocabulary(_table(spark, where, "label_terms"))
     rows, pairs = _table(spark, where, "annotation_rows"), _table(spark, where, "rater_pairs")
     none = F.lit(None).cast("string")
-    read = [
-        rows.select(F.lit("annotation_rows").alias("tbl"), F.col("item_key").alias("item"), F.col("source").alias("annotator"), F.col("category").alias("labels"), "caption", F.col("annotated_at").cast("string").alias("reading"))
-    ] + [
-        pairs.select(F.lit("rater_pairs").alias("tbl"), F.col("item_id").cast("string").alias("item"), F.col(f"{side}_id").alias("annotator"), F.col(side).alias("labels"), none.alias("caption"), F.concat(F.col("pass_no").cast("string"), F.lit(side)).alias("reading"))
-        for side in ("rater_a", "rater_b")
-    ]
-    every = read[0].unionByName(read[1]).unionByName(read[2])
-    chosen = every.withColumn("x", labels.resolved(F.col("labels"), F.col("caption"), words))
-    chosen = written(chosen.select("tbl", "item", "annotator", "reading", F.col("x.first").alias("term"), F.col("x.later").alias("later")).distinct(), "readings")
-    first = chosen.select("tbl", "item", "annotator", "term", F.lit(1).alias("n"))
-    later = chosen.select("tbl", "item", "annotator", F.explode("later").alias("term"), F.lit(1).alias("n"))
-    return first, later, names
+    read = [rows.select(F.lit("annotation_rows").alias("tbl"), F.col("item_key").alias("item"), F.col("source").alias("annotator"), F.col("category").alias("labels"), "caption", F.struct("ord", "row_id").alias("place"))]
+    for side in ("rater_a", "rater_b"):
+        read.append(
+            pairs.select(F.lit("rater_pairs").alias("tbl"), F.col("item_id").cast("string").alias("item"), F.col(f"{side}_id").alias("annotator"), F.col(side).alias("labels"), none.alias("caption"), F.struct(F.col("pass_no").alias("ord"), "row_id").alias("place"))
+        )
+    every = read[0].unionByName(read[1]).unionByName(read[2]).filter("item is not null")
+    chosen = every.select("tbl", "item", "annotator", "place", labels.resolved(F.col("labels"), F.col("caption"), words).alias("votes"))
+    first = chosen.filter(F.size("votes") > 0).groupBy("tbl", "item", "annotator").agg(F.min_by("votes", "place").alias("votes"))
+    votes = first.select("tbl", "item", "annotator", F.explode("votes").alias("x")).select("tbl", "item", "annotator", "x.kind", "x.term", F.lit(1).alias("n"))
+    return written(votes, "readings"), names
 
 
 def consensus_of(spark: SparkSession, where: str) -> Consensus:
-    first, later, _ = _readings(spark, where)
-    return Consensus(first, later)
+    return Consensus(_readings(spark, where)[0])
 
 
 def p1_items(spark: SparkSession, where: str) -> DataFrame:
     """tbl, item, consensus, confidence, agreement, n_annotators of every item that is to have a label."""
-    first, later, names = _readings(spark, where)
-    found = Consensus(first, later).labels()
+    votes, names = _readings(spark, where)
+    found = Consensus(votes).labels()
     rows, pairs = _table(spark, where, "annotation_rows"), _table(spark, where, "rater_pairs")
     items = (
         rows.filter("item_key is not null and source is not null")
