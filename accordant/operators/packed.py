@@ -164,11 +164,11 @@ def _counts(fields: list[str]):
                         cell[2] += len(pieces) > 2
                         # neighbours: the last finest piece on the left, the first on the right
                         finest = finest or everything
-                        for a, b in zip(pieces, pieces[1:]):
-                            if a and b:
-                                left = raw_pieces(a, finest)[-1].strip()
-                                right = raw_pieces(b, finest)[0].strip()
-                                cell[3][_cell(left) * CELLS + _cell(right)] += 1
+                        # a pair counts once a row, and a value next to itself says nothing
+                        for a, b in {(a, b) for a, b in zip(pieces, pieces[1:]) if a and b and a != b}:
+                            left = raw_pieces(a, finest)[-1].strip()
+                            right = raw_pieces(b, finest)[0].strip()
+                            cell[3][_cell(left) * CELLS + _cell(right)] += 1
             if got:
                 yield pd.DataFrame(
                     [(f, s, n, c[0], c[1], c[2], c[3].tolist()) for (f, s, n), c in got.items()],
@@ -185,9 +185,10 @@ def _cell(piece: str) -> int:
     return zlib.crc32(unwrap(piece).encode("utf-8", "replace")) % CELLS
 
 
-def regularity(cells: np.ndarray, prior: float) -> float:
+def regularity(cells: np.ndarray, prior: float, rows: float) -> float:
     """One minus the predictability of a piece from its neighbour, blended with the prior."""
     n = cells.sum()
+    rows = min(rows, n)
     t = cells.reshape(CELLS, CELLS) / max(n, 1)
     a, b = t.sum(1), t.sum(0)
     entropy = lambda p: float(-(p[p > 0] * np.log(p[p > 0])).sum())
@@ -195,7 +196,7 @@ def regularity(cells: np.ndarray, prior: float) -> float:
     shared = entropy(a) + entropy(b) - entropy(t.ravel())
     # a mark that only ever stands between the same two pieces is part of a value
     free = 0.0 if least < 0.15 else max(0.0, 1.0 - max(0.0, shared - (CELLS - 1) ** 2 / (2 * max(n, 1))) / least)
-    return (n * free + PRIOR_ROWS * prior) / (n + PRIOR_ROWS)
+    return (rows * free + PRIOR_ROWS * prior) / (rows + PRIOR_ROWS)
 
 
 def infer_delimiters(rows: DataFrame, fields: list[str]) -> DataFrame:
@@ -218,7 +219,7 @@ def infer_delimiters(rows: DataFrame, fields: list[str]) -> DataFrame:
     for r in by_field:
         p = prior[r["name"]]
         lists = min(1.0, (r["long"] + p * PRIOR_ROWS) / (LONG_SHARE * (r["rows"] + PRIOR_ROWS)))
-        free[r["field"], r["name"]] = lists * regularity(np.array([r[f"c{i}"] for i in range(CELLS * CELLS)], float), p)
+        free[r["field"], r["name"]] = lists * regularity(np.array([r[f"c{i}"] for i in range(CELLS * CELLS)], float), p, r["rows"])
     scores = spark.createDataFrame([(f, n, float(x), prior[n]) for (f, n), x in free.items()], "field string, name string, regular double, prior double")
     sources = by_source.select("field", "source").distinct()
     return (
