@@ -133,13 +133,13 @@ def logit_cost(yes: Column, no: Column) -> Column:
 
 
 def _unit(x: Column) -> Column:
-    return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
 
 
 def spoken_costs(reply: Column) -> Column:
     """Struct of both directions' costs from a reply such as ``0.9, 0.4``; 0.5 each if it can't be read."""
     parts = F.split(reply, ",")
-    p = [F.trim(parts[i]).try_cast("double") for i in (0, 1)]
+    p = [F.trim(F.get(parts, i)).try_cast("double") for i in (0, 1)]
     good = (F.size(parts) == 2) & p[0].isNotNull() & p[1].isNotNull()
     return F.struct(*[F.when(good, 1.0 - _unit(x)).otherwise(0.5).alias(n) for x, n in zip(p, ("forward", "backward"))])
 

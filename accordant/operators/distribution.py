@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accordant.storage import written
+
 THRESHOLD = 0.05
 CAP = 100_000
 #: A sample whose variance is below this has no kernel density.
@@ -133,6 +135,27 @@ def chunks_by_error(errors: DataFrame, per_chunk: int = 4) -> DataFrame:
     """
     if per_chunk < 3:
         raise ValueError("a chunk needs three items at least")
-    means = errors.groupBy("item").agg(F.avg("error").alias("error"))
-    n = means.count()
-    return means.withColumn("chunk", F.ntile(max(1, n // per_chunk)).over(Window.orderBy("error", "item")))
+    ranked, n = ranked_globally(errors.groupBy("item").agg(F.avg("error").alias("error")), ["error", "item"])
+    chunks = max(1, n // per_chunk)
+    small, larger = divmod(n, chunks)
+    edge = larger * (small + 1)
+    place = F.col("rank")
+    chunk = F.when(place < edge, F.floor(place / (small + 1))).otherwise(larger + F.floor((place - edge) / max(small, 1)))
+    return ranked.select("item", "error", (chunk + 1).cast("int").alias("chunk"))
+
+
+def ranked_globally(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """``df`` with ``rank`` (from 0) in the order of the columns, and the number of rows.
+
+    Rows are sorted in ranges; the ranges' sizes, one number each, give their first ranks.
+    """
+    ranges = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()), "ranges")
+    ranges = ranges.withColumn("range", F.shiftrightunsigned("id", 33))
+    sizes = sorted((r["range"], r["n"]) for r in ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect())
+    firsts, total = [], 0
+    for number, n in sizes:
+        firsts.append((number, total))
+        total += n
+    base = df.sparkSession.createDataFrame(firsts, "range long, base long")
+    low = F.col("id") - F.shiftleft("range", 33)
+    return ranges.join(F.broadcast(base), "range").withColumn("rank", F.col("base") + low).drop("id", "range", "base"), total

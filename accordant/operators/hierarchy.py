@@ -295,7 +295,7 @@ class Hierarchy:
         links = self.nodes.select(F.col("id").alias("u"), F.array("code").alias("seg")).join(first, "u", "left")
         up = forest(written(links.select("u", "p", "seg"), "links"), self.ranges)
         return self.nodes.select(F.col("id").alias("u"), "group", "code").join(up, "u", "left").select(
-            "group", "code", F.col("seg").alias("path"), (F.size("seg") - 1).alias("depth"), F.col("seg")[0].alias("root")
+            "group", "code", F.col("seg").alias("path"), (F.size("seg") - 1).alias("depth"), F.get("seg", 0).alias("root")
         )
 
     def descendants(self) -> DataFrame:

@@ -96,12 +96,12 @@ def match(cost: pd.Series) -> pd.DataFrame:
 
 def under(cost: Column, pairs: Column) -> Column:
     """The distance under any assignment given as array<struct<i, j>>, JVM-side."""
-    quality = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (1.0 - cost[p["i"]][p["j"]]))
-    return 1.0 - 2.0 * quality / (F.size(cost) + F.size(cost[0]))
+    quality = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (1.0 - F.get(F.get(cost, p["i"]), p["j"])))
+    return 1.0 - 2.0 * quality / (F.size(cost) + F.size(F.get(cost, 0)))
 
 
 def confident(cost: Column, pairs: Column, threshold: float = CONFIDENT) -> Column:
-    return F.filter(pairs, lambda p: cost[p["i"]][p["j"]] < threshold)
+    return F.filter(pairs, lambda p: F.get(F.get(cost, p["i"]), p["j"]) < threshold)
 
 
 Edge = Callable[[Column, Column], Column]

@@ -262,7 +262,7 @@ def unpack(df: DataFrame, key: str, fields: list[str], source: Column, nothing:
     long = long.filter(F.col("text").isNotNull() & (F.trim("text") != ""))
     values = long.join(found, ["field", "source"], "left").select("key", "field", _split("text", "delimiters").alias("vals"))
     for field, word in (nothing or {}).items():
-        values = values.filter(~((F.col("field") == field) & (F.size("vals") == 1) & (F.lower(F.col("vals")[0]) == word)))
+        values = values.filter(~((F.col("field") == field) & (F.size("vals") == 1) & (F.lower(F.get("vals", 0)) == word)))
     return values.select(
         F.col("key").alias(key), F.col("field").alias("field_name"), F.posexplode("vals").alias("pos", "val")
     ).withColumn("pos", F.col("pos") + 1)

@@ -247,7 +247,7 @@ def typed_records(parsed: DataFrame, keys: list[str], feed: Feed) -> DataFrame:
     """The sound records of one feed, a typed column for each of its columns."""
     out = []
     for i, name in enumerate(feed.columns):
-        value, kind = F.col("fields")[i], feed.types.get(name, "string")
+        value, kind = F.get("fields", i), feed.types.get(name, "string")
         if kind.startswith("array"):
             value = F.from_json(value, kind)
         elif kind != "string":

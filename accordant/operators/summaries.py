@@ -62,4 +62,5 @@ def significance(rows: DataFrame, group: list[str], rounds: int = ROUNDS, alpha:
                             columns=[*group, "measure", "mean_mae", "p_value", "significant", "is_best", "best_measure"])
 
     schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in group), "measure string, mean_mae double, p_value double, significant boolean, is_best boolean, best_measure string"])
-    return paired.groupBy(*group, "measure").applyInPandas(one, schema)
+    out = paired.groupBy(*group, "measure").applyInPandas(one, schema)
+    return out.withColumn("p_value", F.coalesce("p_value", F.lit(float("nan"))))  # pandas hands NaN over as null

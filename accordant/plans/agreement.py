@@ -107,7 +107,7 @@ FROM sets s LEFT JOIN best USING (row_id)
 
 def matrix_assignments(spark: SparkSession, where: str) -> DataFrame:
     """Distances of stored cost matrices under both assignments, the JVM's and the kernel's, and confident matches."""
-    rows = table(spark, where, "cost_matrices").filter((F.size("cost") > 0) & (F.size(F.col("cost")[0]) > 0)).select("row_id", "cost")
+    rows = table(spark, where, "cost_matrices").filter((F.size("cost") > 0) & (F.size(F.get("cost", 0)) > 0)).select("row_id", "cost")
     m = rows.withColumn("m", matching.match("cost"))
     return m.select(
         "row_id",

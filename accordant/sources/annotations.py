@@ -57,7 +57,7 @@ def derm1_concepts(rows: DataFrame) -> DataFrame:
         captions.filter(F.size("captions") >= 2)
         .join(parents, "phash", "left")
         .select(
-            "ord", F.col("phash").alias("code"), F.col("captions")[0].alias("preferred_term"), F.slice("captions", 2, F.size("captions")).alias("synonyms"),
+            "ord", F.col("phash").alias("code"), F.get("captions", 0).alias("preferred_term"), F.slice("captions", 2, F.size("captions")).alias("synonyms"),
             F.array_compact(F.array("parent")).alias("parent_codes"), F.array().cast("array<string>").alias("hierarchy_key"),
         )
     )

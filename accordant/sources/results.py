@@ -78,12 +78,12 @@ def with_true_pairs(matrices: DataFrame, predictions: DataFrame, measures: list[
         predictions.filter("sample_index is not null and true_assignment is not null and true_assignment <> ''")
         .groupBy(*KEY)
         .agg(F.max_by("true_assignment", "row_id").alias("t"))
-        .withColumn("truth", F.transform(F.from_json("t", _LINKS), lambda p: F.struct(p[0].alias("i"), p[1].alias("j"))))
+        .withColumn("truth", F.transform(F.from_json("t", _LINKS), lambda p: F.struct(F.get(p, 0).alias("i"), F.get(p, 1).alias("j"))))
         .filter(F.size("truth") > 0)
         .drop("t")
     )
     wanted = matrices.filter(F.col("measure").isin(measures)) if measures is not None else matrices
-    return wanted.filter((F.size("cost") > 0) & (F.size(F.col("cost")[0]) > 0)).join(truths, KEY)
+    return wanted.filter((F.size("cost") > 0) & (F.size(F.get("cost", 0)) > 0)).join(truths, KEY)
 
 
 def matrix_costs(matrices: DataFrame, predictions: DataFrame, at: Column) -> DataFrame:
@@ -94,10 +94,10 @@ def matrix_costs(matrices: DataFrame, predictions: DataFrame, at: Column) -> Dat
     words = predictions.filter("rater_a is not null and rater_b is not null").groupBy(*KEY, "measure").agg(F.max_by(F.struct("rater_a", "rater_b"), "row_id").alias("w"))
     words = words.select(*KEY, base_measure(F.col("measure")).alias("measure"), F.from_json("w.rater_a", "array<string>").alias("a"), F.from_json("w.rater_b", "array<string>").alias("b"))
     met = matrices.withColumn("measure", base_measure(F.col("measure"))).withColumn("at", at).join(words, [*KEY, "measure"])
-    fit = met.filter((F.size("cost") == F.size("a")) & (F.size(F.col("cost")[0]) == F.size("b")))
+    fit = met.filter((F.size("cost") == F.size("a")) & (F.size(F.get("cost", 0)) == F.size("b")))
     rows = fit.select("measure", "at", "a", "b", F.posexplode("cost").alias("i", "row"))
-    cells = rows.select("measure", "at", F.col("a")[F.col("i")].alias("p"), "b", F.posexplode("row").alias("j", "cost"))
-    return cells.select("measure", *unordered(F.col("p"), F.col("b")[F.col("j")]), "cost", "at")
+    cells = rows.select("measure", "at", F.get("a", F.col("i")).alias("p"), "b", F.posexplode("row").alias("j", "cost"))
+    return cells.select("measure", *unordered(F.col("p"), F.get("b", F.col("j"))), "cost", "at")
 
 
 def newest(costs: DataFrame, keys: list[str], at: str = "at") -> DataFrame:
@@ -109,7 +109,7 @@ def unmatched_matrices(matrices: DataFrame, predictions: DataFrame) -> DataFrame
     """reason, n: matrices without a prediction of their key and measure, and those of another shape."""
     words = predictions.filter("rater_a is not null").groupBy(*KEY, "measure").agg(F.max_by(F.struct("rater_a_set_size", "rater_b_set_size"), "row_id").alias("w"))
     met = matrices.join(words, [*KEY, "measure"], "left")
-    reason = F.when(F.col("w").isNull(), "unmatched").when((F.size("cost") != F.col("w.rater_a_set_size")) | (F.size(F.col("cost")[0]) != F.col("w.rater_b_set_size")), "shape_mismatch").otherwise("used")
+    reason = F.when(F.col("w").isNull(), "unmatched").when((F.size("cost") != F.col("w.rater_a_set_size")) | (F.size(F.get("cost", 0)) != F.col("w.rater_b_set_size")), "shape_mismatch").otherwise("used")
     return met.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
