@@ -20,8 +20,12 @@ def _pairs(spark: SparkSession, where: str) -> DataFrame:
     return rows.select("row_id", "item_id", "pass_no", "loaded_at", label_set(F.col("rater_a")).alias("a"), label_set(F.col("rater_b")).alias("b"))
 
 
+#: Added before rounding on both sides, so that means of decimal fractions never end in an exact half.
+OFF_HALF = 3.7e-11
+
+
 def _rounded(c, n: int = 9):
-    return F.round(c, n)
+    return F.round(c + OFF_HALF, n)
 
 
 # --- distances of two label sets
@@ -45,7 +49,7 @@ sets AS (
 
 
 def _sql_distance(expression: str) -> str:
-    return f"WITH {_SETS} SELECT row_id, round({expression}, 9) AS distance FROM sets"
+    return f"WITH {_SETS} SELECT row_id, round(({expression}) + 3.7e-11, 9) AS distance FROM sets"
 
 
 _JACCARD = """CASE WHEN len(list_distinct(list_concat({0}, {1}))) = 0 THEN 0.0
@@ -99,8 +103,8 @@ WITH {_SETS}, cells AS (
   FROM cells WHERE n > 0 AND m > 0
 )
 SELECT s.row_id,
-  CASE WHEN s.a = s.b THEN 0.0 WHEN len(s.a) = 0 OR len(s.b) = 0 THEN 1.0 ELSE round(1 - 2 * q / (n + m), 9) END AS d_hungarian,
-  CASE WHEN s.a = s.b THEN 0.0 WHEN len(s.a) = 0 OR len(s.b) = 0 THEN 1.0 ELSE round(1 - 2 * coalesce(g, q) / (n + m), 9) END AS d_greedy
+  CASE WHEN s.a = s.b THEN 0.0 WHEN len(s.a) = 0 OR len(s.b) = 0 THEN 1.0 ELSE round((1 - 2 * q / (n + m)) + 3.7e-11, 9) END AS d_hungarian,
+  CASE WHEN s.a = s.b THEN 0.0 WHEN len(s.a) = 0 OR len(s.b) = 0 THEN 1.0 ELSE round((1 - 2 * coalesce(g, q) / (n + m)) + 3.7e-11, 9) END AS d_greedy
 FROM sets s LEFT JOIN best USING (row_id)
 """
 
@@ -141,9 +145,9 @@ cp AS (SELECT pass_no, l, count(*) AS n FROM pooled GROUP BY ALL),
 o AS (SELECT pass_no, count(*) AS n_items, avg(1 - ({d.format('a', 'b')})) AS ao FROM sets GROUP BY pass_no),
 k AS (SELECT x.pass_no, sum(x.n * y.n * (1 - ({d.format('x.l', 'y.l')}))) / (sum(x.n * y.n)) AS ae FROM ca x JOIN cb y USING (pass_no) GROUP BY x.pass_no),
 p AS (SELECT x.pass_no, sum(x.n * y.n * (1 - ({d.format('x.l', 'y.l')}))) / (sum(x.n * y.n)) AS ae FROM cp x JOIN cp y USING (pass_no) GROUP BY x.pass_no)
-SELECT pass_no, 'none' AS matching, n_items, round(ao, 6) AS average_agreement,
-  CASE WHEN k.ae >= 1 THEN CASE WHEN ao >= 1 THEN 1.0 ELSE '-inf'::DOUBLE END ELSE round((ao - k.ae) / (1 - k.ae), 6) END AS cohens_kappa,
-  CASE WHEN p.ae >= 1 THEN CASE WHEN ao >= 1 THEN 1.0 ELSE '-inf'::DOUBLE END ELSE round((ao - p.ae) / (1 - p.ae), 6) END AS scotts_pi
+SELECT pass_no, 'none' AS matching, n_items, round((ao) + 3.7e-11, 6) AS average_agreement,
+  CASE WHEN k.ae >= 1 THEN CASE WHEN ao >= 1 THEN 1.0 ELSE '-inf'::DOUBLE END ELSE round(((ao - k.ae) / (1 - k.ae)) + 3.7e-11, 6) END AS cohens_kappa,
+  CASE WHEN p.ae >= 1 THEN CASE WHEN ao >= 1 THEN 1.0 ELSE '-inf'::DOUBLE END ELSE round(((ao - p.ae) / (1 - p.ae)) + 3.7e-11, 6) END AS scotts_pi
 FROM o JOIN k USING (pass_no) JOIN p USING (pass_no)
 """
 
@@ -195,9 +199,9 @@ p AS (SELECT sum(x.n * y.n * (1 - ({_JACCARD.format('x.l', 'y.l')}))) / sum(x.n
 ca AS (SELECT s, t, a AS l, count(*) AS n FROM pairs GROUP BY ALL), cb AS (SELECT s, t, b AS l, count(*) AS n FROM pairs GROUP BY ALL),
 so AS (SELECT s, t, avg(1 - ({_JACCARD.format('a', 'b')})) AS ao FROM pairs GROUP BY s, t),
 se AS (SELECT x.s, x.t, sum(x.n * y.n * (1 - ({_JACCARD.format('x.l', 'y.l')}))) / sum(x.n * y.n) AS ae FROM ca x JOIN cb y ON x.s = y.s AND x.t = y.t GROUP BY x.s, x.t)
-SELECT 'all' AS corpus, 'none' AS matching, n_items, round(ao, 6) AS average_agreement,
-  (SELECT round(avg(CASE WHEN abs(ae - 1) <= 1e-9 THEN CASE WHEN abs(so.ao - 1) <= 1e-9 THEN 1.0 END ELSE (so.ao - ae) / (1 - ae) END), 6) FROM so JOIN se USING (s, t)) AS cohens_kappa,
-  round((ao - p.ae) / (1 - p.ae), 6) AS fleiss_kappa
+SELECT 'all' AS corpus, 'none' AS matching, n_items, round((ao) + 3.7e-11, 6) AS average_agreement,
+  (SELECT round((avg(CASE WHEN abs(ae - 1) <= 1e-9 THEN CASE WHEN abs(so.ao - 1) <= 1e-9 THEN 1.0 END ELSE (so.ao - ae) / (1 - ae) END)) + 3.7e-11, 6) FROM so JOIN se USING (s, t)) AS cohens_kappa,
+  round(((ao - p.ae) / (1 - p.ae)) + 3.7e-11, 6) AS fleiss_kappa
 FROM o CROSS JOIN p
 """
 
@@ -219,7 +223,7 @@ long AS (SELECT item, source, list_sort(list_distinct(list_filter(coalesce(categ
   row_number() OVER (ORDER BY item, source) AS pos FROM (SELECT *, count(*) OVER (PARTITION BY item) AS n FROM first WHERE k = 1) WHERE n >= 2),
 d AS (SELECT x.item = y.item AS same, CASE WHEN x.l = y.l THEN 0.0 ELSE 1.0 END AS d FROM long x JOIN long y ON x.pos > y.pos),
 m AS (SELECT avg(d) FILTER (same) AS o, avg(d) FILTER (NOT same) AS e FROM d)
-SELECT 'all' AS corpus, round(o, 6) AS observed, round(e, 6) AS expected, round(1 - o / e, 6) AS alpha FROM m
+SELECT 'all' AS corpus, round((o) + 3.7e-11, 6) AS observed, round((e) + 3.7e-11, 6) AS expected, round((1 - o / e) + 3.7e-11, 6) AS alpha FROM m
 """
 
 
@@ -234,7 +238,7 @@ def chance_sample(spark: SparkSession, where: str) -> DataFrame:
 CHANCE = f"""
 WITH {_SETS}, ca AS (SELECT pass_no, a AS l, count(*) AS n FROM sets GROUP BY ALL), cb AS (SELECT pass_no, b AS l, count(*) AS n FROM sets GROUP BY ALL),
 t AS (SELECT pass_no, count(*) AS n FROM sets GROUP BY pass_no)
-SELECT x.pass_no, count(*) AS n_pairs, round(sum((x.n / t.n) * (y.n / t.n)), 9) AS weight, round(max((x.n / t.n) * (y.n / t.n)), 9) AS most
+SELECT x.pass_no, count(*) AS n_pairs, round((sum((x.n / t.n) * (y.n / t.n))) + 3.7e-11, 9) AS weight, round((max((x.n / t.n) * (y.n / t.n))) + 3.7e-11, 9) AS most
 FROM ca x JOIN cb y USING (pass_no) JOIN t USING (pass_no) GROUP BY x.pass_no
 """
 
@@ -268,9 +272,9 @@ def error_table(spark: SparkSession, where: str) -> DataFrame:
 ERRORS = """
 WITH e AS (
   SELECT dataset, mode, negative_mode, measure, seed, agreement_level AS t, avg(1 - distance) AS v
-  FROM predictions WHERE distance IS NOT NULL AND NOT isnan(distance) GROUP BY ALL)
-SELECT dataset, mode, measure, count(*) AS n, round(avg(abs(v - t)), 6) AS mean_mae, round(stddev_pop(abs(v - t)), 6) AS std_mae,
-  round(avg(CASE WHEN t <> 0 THEN abs(v - t) / abs(t) * 100 END), 6) AS mean_mape
+  FROM predictions WHERE CAST(distance AS VARCHAR) <> 'nan' GROUP BY ALL)
+SELECT dataset, mode, measure, count(*) AS n, round((avg(abs(v - t))) + 3.7e-11, 6) AS mean_mae, round((stddev_pop(abs(v - t))) + 3.7e-11, 6) AS std_mae,
+  round((avg(CASE WHEN t <> 0 THEN abs(v - t) / abs(t) * 100 END)) + 3.7e-11, 6) AS mean_mape
 FROM e GROUP BY dataset, mode, measure
 """
 
@@ -428,7 +432,7 @@ def embedding_costs(spark: SparkSession, where: str) -> DataFrame:
 EMBEDDINGS = """
 WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE embedding IS NOT NULL),
 m AS (SELECT label, i, avg(v) AS m FROM e GROUP BY label, i)
-SELECT vec_id, label, round(1 - sum(v * m) / (sqrt(sum(v * v)) * sqrt(sum(m * m))), 5) AS cost
+SELECT vec_id, label, round((1 - sum(v * m) / (sqrt(sum(v * v)) * sqrt(sum(m * m)))) + 3.7e-11, 5) AS cost
 FROM e JOIN m USING (label, i) WHERE vec_id % 20 = 0 GROUP BY vec_id, label
 """
 
@@ -440,7 +444,7 @@ def windowed(spark: SparkSession, where: str) -> DataFrame:
 
 WINDOWED = f"""
 WITH {_SETS}, t AS (SELECT row_id, (epoch_us(loaded_at) // 2592000000000) * 2592000 AS w FROM rater_pairs)
-SELECT CAST(w AS BIGINT) AS window_start, count(*) AS n_items, round(avg(1 - ({_JACCARD.format('a', 'b')})), 6) AS average_agreement FROM sets JOIN t USING (row_id) GROUP BY w
+SELECT CAST(w AS BIGINT) AS window_start, count(*) AS n_items, round((avg(1 - ({_JACCARD.format('a', 'b')}))) + 3.7e-11, 6) AS average_agreement FROM sets JOIN t USING (row_id) GROUP BY w
 """
 
 QUERIES = {

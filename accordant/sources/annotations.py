@@ -31,7 +31,7 @@ def category(row_field: str) -> Column:
 
 def parent_label(hierarchy: Column, leaf: Column) -> Column:
     """The comma-separated hierarchy without the leaf, in any case; null if nothing is left."""
-    parts = F.filter(F.transform(F.split(hierarchy, ","), F.trim), lambda p: (p != "") & (F.lower(p) != F.lower(F.trim(leaf))))
+    parts = F.filter(F.transform(F.split(hierarchy, ","), lambda p: F.trim(p)), lambda p: (p != "") & (F.lower(p) != F.lower(F.trim(leaf))))
     joined = F.array_join(parts, ", ")
     return F.when(joined != "", joined)
 

@@ -72,7 +72,7 @@ def icd11_codes(rows: DataFrame) -> DataFrame:
 def terms(synonym: Column, inclusion: Column) -> Column:
     """Trimmed labels of two lists of terms in order, each once."""
     both = F.concat(F.coalesce(synonym, F.array().cast(NO_TERMS)), F.coalesce(inclusion, F.array().cast(NO_TERMS)))
-    return F.array_distinct(F.filter(F.transform(both, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(both, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def read_dollar(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
