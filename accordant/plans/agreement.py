@@ -447,6 +447,42 @@ WITH {_SETS}, t AS (SELECT row_id, (epoch_us(loaded_at) // 2592000000000) * 2592
 SELECT CAST(w AS BIGINT) AS window_start, count(*) AS n_items, round((avg(1 - ({_JACCARD.format('a', 'b')}))) + 3.7e-11, 6) AS average_agreement FROM sets JOIN t USING (row_id) GROUP BY w
 """
 
+LABEL_COSTS = """
+WITH w AS (
+  SELECT dataset, mode, negative_mode, agreement_level, seed, sample_index, measure AS full_name, max_by({'a': rater_a, 'b': rater_b}, row_id) AS w
+  FROM predictions WHERE rater_a IS NOT NULL AND rater_b IS NOT NULL GROUP BY ALL
+), t AS (SELECT * EXCLUDE (w, full_name), regexp_replace(full_name, '_single$', '') AS measure, from_json(w.a, '["VARCHAR"]') AS a, from_json(w.b, '["VARCHAR"]') AS b FROM w),
+m AS (SELECT * REPLACE (regexp_replace(measure, '_single$', '') AS measure) FROM cost_matrices),
+f AS (SELECT measure, cost, a, b, loaded_at, row_id FROM m JOIN t USING (dataset, mode, negative_mode, agreement_level, seed, sample_index, measure) WHERE len(cost) = len(a) AND len(cost[1]) = len(b)),
+r AS (SELECT measure, loaded_at, row_id, b, unnest(cost) AS c, unnest(a) AS p FROM f),
+x AS (SELECT measure, loaded_at, row_id, p, unnest(c) AS cost, unnest(b) AS q FROM r)
+SELECT measure, least(p, q) AS x, greatest(p, q) AS y, max_by(cost, {'t': loaded_at, 'r': row_id, 'c': cost}) AS cost FROM x GROUP BY ALL
+"""
+_TAGS = r"""regexp_replace(regexp_replace({0}, '^[\s\x{{a0}}\p{{Z}}]+', ''), '[\s\x{{a0}}\p{{Z}}]+$', '')"""
+_GOOD = f"""good AS (
+  SELECT row_id, phash, {_TAGS.format('caption')} AS caption, disease_label, hierarchical_disease_label, skin_concept, split_part(filename, '/', 1) AS archive
+  FROM derm1_rows WHERE phash <> '' AND {_TAGS.format('caption')} <> '' AND filename LIKE '%/%')"""
+DERM_CONCEPTS = f"""
+WITH {_GOOD}, once AS (SELECT phash, min(row_id) AS r, arg_min(caption, row_id) AS caption FROM good GROUP BY phash, lower(caption)),
+cap AS (SELECT phash, list(caption ORDER BY r) AS captions FROM once GROUP BY phash HAVING count(*) >= 2),
+par AS (
+  SELECT phash, arg_min(parent, row_id) AS parent FROM (
+    SELECT phash, row_id, array_to_string(list_filter(list_transform(string_split(hierarchical_disease_label, ','), lambda p: {_TAGS.format('p')}),
+      lambda p: p <> '' AND lower(p) <> lower({_TAGS.format('disease_label')})), ', ') AS parent
+    FROM good WHERE {_TAGS.format('disease_label')} <> '' AND hierarchical_disease_label IS NOT NULL) WHERE parent <> '' GROUP BY phash)
+SELECT phash AS code, captions[1] AS preferred_term, CAST(len(captions) - 1 AS INTEGER) AS n_synonyms, coalesce(parent, '') AS parents FROM cap LEFT JOIN par USING (phash)
+"""
+DERM_ANNOTATIONS = f"""
+WITH {_GOOD}, t AS (
+  SELECT row_id, phash, archive, {_TAGS.format("lower(coalesce(disease_label, ''))")} AS d, {_TAGS.format("lower(coalesce(skin_concept, ''))")} AS s FROM good),
+u AS (
+  SELECT row_id, phash, archive, list_sort(list_distinct(list_concat(
+    CASE WHEN d IN ('', 'no definitive diagnosis') THEN [] ELSE ['disease_label:' || d] END,
+    CASE WHEN s IN ('', 'no visual concepts') THEN [] ELSE list_transform(list_filter(list_transform(string_split(s, ','), lambda x: {_TAGS.format('x')}), lambda x: x <> ''), lambda x: 'skin_concept:' || x) END))) AS c FROM t)
+SELECT phash AS key, row_id AS ord, archive AS source, array_to_string(c, '|') AS category FROM u
+WHERE len(c) > 0 AND phash IN (SELECT phash FROM u WHERE len(c) > 0 GROUP BY phash HAVING count(DISTINCT archive) >= 2)
+"""
+
 QUERIES = {
     "d_exact_match": _distance("exact_match"),
     "d_set_jaccard": _distance("set_jaccard"),
@@ -502,11 +538,14 @@ ORACLES = {
     "c_exact": CHANCE,
     "e_errors": ERRORS,
     "a_true_pairs": TRUE_PAIRS,
+    "h_label_costs": LABEL_COSTS,
     "h_matrix_fates": MATRIX_FATES,
     "n_siblings": SIBLINGS,
     "n_children": CHILDREN,
     "n_ancestors": ANCESTORS,
     "s_meddra": MEDDRA,
+    "s_derm_concepts": DERM_CONCEPTS,
+    "s_derm_annotations": DERM_ANNOTATIONS,
     "x_embedding_costs": EMBEDDINGS,
     "x_windowed": WINDOWED,
 }

@@ -122,7 +122,8 @@ def concept_cycles(spark: SparkSession, where: str) -> DataFrame:
 
 def concept_paths(spark: SparkSession, where: str) -> DataFrame:
     paths = concept_hierarchy(spark, where).paths()
-    return paths.select(F.col("group").alias("taxonomy"), "code", F.array_join("path", " > ").alias("path"), "depth", "root")
+    # a depth of -1 where there is no path
+    return paths.select(F.col("group").alias("taxonomy"), "code", F.array_join("path", " > ").alias("path"), F.coalesce("depth", F.lit(-1)).alias("depth"), "root")
 
 
 def concept_descendants(spark: SparkSession, where: str) -> DataFrame:

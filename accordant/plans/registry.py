@@ -33,8 +33,8 @@ WITH keys AS (
   UNION ALL SELECT 's', concat_ws('~', dataset, mode, negative_mode, agreement_level, seed, sample_index), loaded_at, retired_at FROM predictions
 ), refs AS (
   SELECT 'concepts' AS tbl, row_id, ref, loaded_at AS t, 'c/' || taxonomy AS d, {_KEY.format('ref')} AS k FROM (
-    SELECT row_id, taxonomy, loaded_at, unnest(list_distinct(parent_codes)) AS ref FROM concepts) WHERE trim(ref, E' \\t\\n\\r\\u00a0') <> ''
-  UNION ALL SELECT 'meddra_llt', row_id, pt_code, loaded_at, 'p', {_KEY.format('pt_code')} FROM meddra_llt WHERE trim(pt_code, E' \\t\\n\\r\\u00a0') <> ''
+    SELECT row_id, taxonomy, loaded_at, unnest(list_distinct(parent_codes)) AS ref FROM concepts) WHERE NOT regexp_full_match(ref, '[\\s\\x{{a0}}]*')
+  UNION ALL SELECT 'meddra_llt', row_id, pt_code, loaded_at, 'p', {_KEY.format('pt_code')} FROM meddra_llt WHERE NOT regexp_full_match(pt_code, '[\\s\\x{{a0}}]*')
   UNION ALL SELECT 'cost_matrices', row_id, sample_index::VARCHAR, loaded_at, 's', concat_ws('~', dataset, mode, negative_mode, agreement_level, seed, sample_index)
     FROM cost_matrices WHERE sample_index IS NOT NULL
 ), f AS (
@@ -60,8 +60,76 @@ JOIN c ON c.taxonomy = a.taxonomy AND c.k = a.u JOIN c o ON o.taxonomy = a.taxon
 GROUP BY a.taxonomy, c.code
 """
 
+_LINKS = r"""
+rows AS (
+  SELECT taxonomy, upper(trim(code, E' \t\n\r ')) AS k, code, parent_codes, hierarchy_key,
+    row_number() OVER (PARTITION BY taxonomy, upper(trim(code, E' \t\n\r ')) ORDER BY loaded_at DESC, row_id DESC) AS n
+  FROM concepts WHERE trim(code, E' \t\n\r ') <> ''
+), c AS (SELECT * FROM rows WHERE n = 1),
+names AS (SELECT DISTINCT taxonomy, k, upper(trim(x, E' \t\n\r ')) AS name FROM (SELECT taxonomy, k, unnest(list_concat([code], coalesce(hierarchy_key, []))) AS x FROM c)),
+links AS (
+  SELECT p.taxonomy, p.k AS u, names.k AS v, min(place) AS place FROM (
+    SELECT taxonomy, k, generate_subscripts(parent_codes, 1) AS place, upper(trim(unnest(parent_codes), E' \t\n\r ')) AS name FROM c) p
+  JOIN names USING (taxonomy, name) WHERE p.k <> names.k GROUP BY ALL
+), up AS (SELECT taxonomy, u, min_by(v, place) AS v FROM links GROUP BY taxonomy, u)"""
+_PATHS = "WITH RECURSIVE " + _LINKS + """,
+way AS (
+  SELECT c.taxonomy, c.k, [c.code] AS path FROM c LEFT JOIN up ON up.taxonomy = c.taxonomy AND up.u = c.k WHERE up.u IS NULL
+  UNION ALL
+  SELECT c.taxonomy, c.k, list_append(way.path, c.code) FROM way JOIN up ON up.taxonomy = way.taxonomy AND up.v = way.k JOIN c ON c.taxonomy = up.taxonomy AND c.k = up.u
+)
+SELECT c.taxonomy, c.code, array_to_string(path, ' > ') AS path, CAST(coalesce(len(path), 0) - 1 AS INTEGER) AS depth, path[1] AS root
+FROM c LEFT JOIN way ON way.taxonomy = c.taxonomy AND way.k = c.k
+"""
+_DESCENDANTS = "WITH RECURSIVE " + _LINKS + """,
+way AS (
+  SELECT c.taxonomy, c.k, [c.code] AS path FROM c LEFT JOIN up ON up.taxonomy = c.taxonomy AND up.u = c.k WHERE up.u IS NULL
+  UNION ALL
+  SELECT c.taxonomy, c.k, list_append(way.path, c.code) FROM way JOIN up ON up.taxonomy = way.taxonomy AND up.v = way.k JOIN c ON c.taxonomy = up.taxonomy AND c.k = up.u
+), pairs AS (SELECT taxonomy, path, unnest(range(1, len(path))) AS i FROM way)
+SELECT taxonomy, path[i] AS code, path[len(path)] AS descendant, CAST(len(path) - i AS INTEGER) AS distance FROM pairs
+"""
+
+_DEFECTS = r"""
+WITH l AS (
+  SELECT line_id, feed, CASE feed WHEN 'icd11' THEN chr(9) ELSE ',' END AS sep,
+    regexp_replace(regexp_replace(line, '^\x{FEFF}', ''), '(\r\n|\n|\r)$', '') AS t
+  FROM raw_lines
+), q AS (
+  SELECT *, CASE feed
+    WHEN 'icd11' THEN regexp_full_match(t, '(?s)(?:"(?:[^"]|"")*"|[^"\t]*)(?:\t(?:"(?:[^"]|"")*"|[^"\t]*))*')
+    ELSE regexp_full_match(t, '(?s)(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') END AS quoted,
+    regexp_replace(t, '(?s)"(?:[^"]|"")*"', 'Q', 'g') AS bare
+  FROM l
+), n AS (
+  SELECT *, len(bare) - len(replace(bare, sep, '')) + 1 AS n, contains(bare, chr(10)) AS broken,
+    list_transform(
+      CASE feed WHEN 'icd11' THEN regexp_extract_all(chr(9) || t, '(?s)\t("(?:[^"]|"")*"|[^"\t]*)', 1)
+      ELSE regexp_extract_all(',' || t, '(?s),("(?:[^"]|"")*"|[^",]*)', 1) END,
+      lambda f: CASE WHEN f LIKE '"%' THEN replace(substr(f, 2, len(f) - 2), '""', '"') ELSE f END) AS f
+  FROM q
+), d AS (
+  SELECT line_id, CASE
+    WHEN NOT quoted THEN 'quoting'
+    WHEN broken OR n <> CASE feed WHEN 'icd11' THEN 10 ELSE 14 END THEN 'columns'
+    WHEN feed = 'icd11' THEN CASE
+      WHEN f[5] NOT IN ('chapter', 'block', 'category') OR (f[2] = '' AND f[5] = 'category')
+        OR (f[2] <> '' AND NOT regexp_full_match(f[2], '[A-Z0-9]+([.][A-Z0-9]+)*'))
+        OR regexp_full_match(f[4], '[\s\x{a0}\p{Z}\p{Pd}]*') OR regexp_matches(f[4], '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}\x{fffd}]') THEN 'value' END
+    ELSE CASE
+      WHEN NOT regexp_full_match(f[9], '[0-9]+') OR NOT regexp_full_match(f[14], '[0-9]+([.][0-9]+)?') OR coalesce(TRY_CAST(f[14] AS DOUBLE) > 1, TRUE)
+        OR NOT regexp_full_match(f[12], '(?s)\s*\[\s*("(?:[^"\\\x00-\x1f]|\\.)*"\s*(,\s*"(?:[^"\\\x00-\x1f]|\\.)*"\s*)*)?\]\s*') OR regexp_matches(f[12], '[\[,]\s*"[\s\p{Z}]*"\s*[,\]]')
+        OR NOT regexp_full_match(f[13], '(?s)\s*\[\s*("(?:[^"\\\x00-\x1f]|\\.)*"\s*(,\s*"(?:[^"\\\x00-\x1f]|\\.)*"\s*)*)?\]\s*') OR regexp_matches(f[13], '[\[,]\s*"[\s\p{Z}]*"\s*[,\]]') THEN 'value' END
+  END AS defect FROM n
+)
+SELECT line_id, defect FROM d WHERE defect IS NOT NULL
+"""
+
 ORACLES: dict[str, str] = {
     "p2_found": _CYCLES,
+    "p2_paths": _PATHS,
+    "p2_descendants": _DESCENDANTS,
+    "p4_found": _DEFECTS,
     "p5_found": _ORPHANS + "SELECT * FROM f WHERE fate <> 'there'",
     "p5_by_month": _ORPHANS + "SELECT tbl, loaded_month, fate, count(*) AS n, count(DISTINCT ref) AS n_keys FROM f WHERE fate <> 'there' GROUP BY ALL",
     **agreement.ORACLES,

@@ -31,15 +31,15 @@ def category(row_field: str) -> Column:
 
 def parent_label(hierarchy: Column, leaf: Column) -> Column:
     """The comma-separated hierarchy without the leaf, in any case; null if nothing is left."""
-    parts = F.filter(F.transform(F.split(hierarchy, ","), lambda p: F.trim(p)), lambda p: (p != "") & (F.lower(p) != F.lower(F.trim(leaf))))
+    parts = F.filter(F.transform(F.split(hierarchy, ","), stripped), lambda p: (p != "") & (F.lower(p) != F.lower(stripped(leaf))))
     joined = F.array_join(parts, ", ")
     return F.when(joined != "", joined)
 
 
 def usable(rows: DataFrame) -> DataFrame:
     """Rows with a path, a caption and a hash, and their archive (the path's first segment)."""
-    kept = rows.filter("phash is not null and phash <> '' and caption is not null and trim(caption) <> '' and filename like '%/%'")
-    return kept.withColumn("archive", F.substring_index("filename", "/", 1)).withColumn("caption", stripped(F.col("caption")))
+    kept = rows.filter("phash is not null and phash <> '' and filename like '%/%'").withColumn("caption", stripped(F.col("caption")))
+    return kept.filter("caption <> ''").withColumn("archive", F.substring_index("filename", "/", 1))
 
 
 def derm1_concepts(rows: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def derm1_concepts(rows: DataFrame) -> DataFrame:
     once = good.groupBy("phash", "key").agg(F.min(F.struct("row_id", "caption")).alias("x"))
     captions = once.groupBy("phash").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["caption"]).alias("captions"), F.min("x.row_id").alias("ord"))
     parent = parent_label(F.col("hierarchical_disease_label"), F.col("disease_label"))
-    parents = good.filter("trim(disease_label) <> ''").withColumn("parent", parent).filter("parent is not null").groupBy("phash").agg(F.min_by("parent", "row_id").alias("parent"))
+    parents = good.filter(stripped(F.col("disease_label")) != "").withColumn("parent", parent).filter("parent is not null").groupBy("phash").agg(F.min_by("parent", "row_id").alias("parent"))
     return (
         captions.filter(F.size("captions") >= 2)
         .join(parents, "phash", "left")
