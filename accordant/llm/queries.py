@@ -128,7 +128,25 @@ def p8_classes(spark: SparkSession, where: str) -> DataFrame:
     return shared.classes.join(degree, "rep", "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+P8_FOUND = """
+WITH w AS (
+  SELECT DISTINCT doc_id, md5(substr(text, i, 200)) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)
+)
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.s = b.s AND a.doc_id < b.doc_id
+"""
+P8_COVERAGE = """
+WITH w AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+common AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT doc_id, i, i + 200 AS e, coalesce(max(i + 200) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT DISTINCT doc_id, i FROM w JOIN common USING (s))),
+n AS (SELECT doc_id, sum(greatest(e - greatest(i, before), 0)) AS shared FROM m GROUP BY doc_id),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id FROM documents WHERE length(text) >= 200)
+SELECT d.doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars, coalesce(class_id, d.doc_id) AS class_id, CAST(coalesce(shared, 0) AS BIGINT) AS shared_chars,
+  CASE WHEN shared IS NULL THEN 0.0 ELSE shared / length(text) END AS share
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_items, p1_reliability, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_coverage, p8_classes)
 }
-ORACLES: dict[str, str] = {"p6_decoded": P6_DECODED}
+ORACLES: dict[str, str] = {"p6_decoded": P6_DECODED, "p8_found": P8_FOUND, "p8_coverage": P8_COVERAGE}
