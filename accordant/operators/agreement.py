@@ -21,6 +21,11 @@ def corrected(observed: Column, expected: Column) -> Column:
     )
 
 
+def distances_of(pairs: DataFrame, measure: Measure, costs: DataFrame | None = None) -> DataFrame:
+    """a, b, matching, distance of the distinct pairs, each computed once."""
+    return _scored([pairs], measure, costs)
+
+
 def _scored(uses: list[DataFrame], measure: Measure, costs: DataFrame | None) -> DataFrame:
     """Distances of the distinct pairs of all uses, each computed once."""
     distinct = reduce(DataFrame.unionByName, [u.select("a", "b") for u in uses]).distinct()

@@ -87,6 +87,52 @@ def ks_by_group(samples: DataFrame, group: list[str]) -> DataFrame:
     return run.groupBy(*group).agg(F.max(F.col("fo") - F.col("fe")).alias("ks"))
 
 
+def ks_pointwise(samples: DataFrame, group: list[str]) -> DataFrame:
+    """group, ks: the mean over observed distances of one minus the p-value of that one distance against the expected.
+
+    Against n expected distances of which k are no larger, the one-sided exact p-value of a single one is
+    (k + 1) / (n + 1).
+    """
+    side = lambda k: F.sum(F.when(F.col("kind") == k, F.col("weight")).otherwise(0.0))
+    by_value = samples.groupBy(*group, "value").agg(side("observed").alias("o"), side("expected").alias("e"))
+    upto = Window.partitionBy(*group).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = by_value.withColumn("k", F.sum("e").over(upto)).withColumn("n", F.sum("e").over(Window.partitionBy(*group)))
+    return run.groupBy(*group).agg((F.sum(F.col("o") * (1 - (F.col("k") + 1) / (F.col("n") + 1))) / F.sum("o")).alias("ks"))
+
+
+def different_item_pairs(annotations: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """About ``n`` pairs a, b of labels of different items, drawn by seeded hash ranks: two top-n lists, paired by rank.
+
+    ``annotations`` has item, labels and pos.  Pairs of the same item that the draw brings together are left out.
+    """
+    ranked = []
+    for name in "ab":
+        order = Window.orderBy(F.xxhash64(F.lit(seed), F.lit(name), "pos"), "pos")
+        top = annotations.orderBy(F.xxhash64(F.lit(seed), F.lit(name), "pos"), "pos").limit(n)  # a distributed top-n
+        ranked.append(top.select("item", F.col("labels").alias(name), F.row_number().over(order).alias("rank")))
+    x, y = ranked[0].alias("x"), ranked[1].alias("y")
+    return x.join(y, "rank").filter(F.col("x.item") != F.col("y.item")).select("a", "b")
+
+
+def distance_matrix(annotations: DataFrame, distance, pairs: DataFrame | None = None) -> DataFrame:
+    """i, j, d with i > j of annotations (pos, labels): all pairs, or those of ``pairs`` (i, j) in either order.
+
+    All pairs are as many as their definition says; ask for pairs where annotations are many.
+    """
+    x, y = annotations.select(F.col("pos").alias("i"), F.col("labels").alias("a")), annotations.select(F.col("pos").alias("j"), F.col("labels").alias("b"))
+    if pairs is None:
+        both = x.join(y, F.col("i") > F.col("j"))
+    else:
+        both = pairs.select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j")).distinct().join(x, "i").join(y, "j")
+    return both.select("i", "j", distance(F.col("a"), F.col("b")).alias("d"))
+
+
+def alpha_by_chunk(pairs: DataFrame, chunks: DataFrame, expected: float, distance) -> DataFrame:
+    """chunk, observed, alpha of same-item pairs (item, a, b) by their item's chunk, against one expected distance."""
+    met = pairs.join(chunks.select("item", "chunk"), "item").groupBy("chunk").agg(F.avg(distance(F.col("a"), F.col("b"))).alias("observed"))
+    return met.withColumn("alpha", alpha(F.col("observed"), F.lit(expected)))
+
+
 def alpha(observed_mean: Column, expected_mean: Column) -> Column:
     return 1.0 - observed_mean / expected_mean
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from accordant.functions import distances
 from accordant.functions.text import label_set, words
 from accordant.operators import ablation, agreement, chance, distribution, matching, measures, neighbours, summaries, synthetic
+from accordant.plans import experiments
 from accordant.plans.quality import table
 from accordant.sources import annotations, results, taxonomies
 from accordant.streaming.agreement import windowed_agreement
@@ -59,6 +60,19 @@ _LEV = """CASE WHEN len(array_to_string(a, ' ')) = 0 AND len(array_to_string(b,
   ELSE levenshtein(array_to_string(a, ' '), array_to_string(b, ' ')) / greatest(len(array_to_string(a, ' ')), len(array_to_string(b, ' '))) END"""
 
 
+#: Word tokens of a text in SQL, as far as these labels need the rules: commas, colons and a last full stop.
+_TOKENS = r"""list_filter(string_split_regex(regexp_replace(regexp_replace(lower({0}), '([^0-9\s]|^)([,:])|([,:])([^0-9]|$)', '\1 \2\3 \4', 'g'),
+  '([^.])[.]\s*$', '\1 . '), '\s+'), lambda w: w <> '')"""
+_WORDS = f"""
+WITH {_SETS}, w AS (
+  SELECT row_id, list_distinct({_TOKENS.format("array_to_string(a, ' ')")}) AS x, list_distinct({_TOKENS.format("array_to_string(b, ' ')")}) AS y FROM sets),
+n AS (SELECT row_id, len(x) AS nx, len(y) AS ny, len(list_filter(x, lambda v: list_contains(y, v))) AS i, len(list_distinct(list_concat(x, y))) AS u FROM w)
+SELECT row_id, round((CASE WHEN nx = 0 AND ny = 0 THEN 0.0 WHEN nx = 0 OR ny = 0 THEN 1.0 ELSE {{0}} END) + 3.7e-11, 9) AS distance FROM n
+"""
+WORD_JACCARD = _WORDS.format("(u - i) / u")
+MASI = _WORDS.format("1.0 - i / u * CASE WHEN i = nx AND i = ny THEN 1.0 WHEN i = least(nx, ny) THEN 0.67 WHEN i > 0 THEN 0.33 ELSE 0.0 END")
+
+
 def word_tokens(spark: SparkSession, where: str) -> DataFrame:
     """Word tokens of each label of the vocabulary."""
     terms = table(spark, where, "label_terms")
@@ -88,10 +102,11 @@ def _matched(name: str):
 
 
 # sets here have two labels at most: the best of two assignments, and the cheapest cell first
-MATCHED_LEVENSHTEIN = f"""
+def _matched_sql(cost: str) -> str:
+    return f"""
 WITH {_SETS}, cells AS (
   SELECT row_id, len(a) AS n, len(b) AS m, a = b AS same,
-    [[levenshtein(a[i], b[j]) / greatest(len(a[i]), len(b[j])) FOR j IN range(1, len(b) + 1)] FOR i IN range(1, len(a) + 1)] AS c
+    [[{cost} FOR j IN range(1, len(b) + 1)] FOR i IN range(1, len(a) + 1)] AS c
   FROM sets
 ), best AS (
   SELECT row_id, n, m, same, c,
@@ -109,6 +124,13 @@ FROM sets s LEFT JOIN best USING (row_id)
 """
 
 
+MATCHED_LEVENSHTEIN = _matched_sql("levenshtein(a[i], b[j]) / greatest(len(a[i]), len(b[j]))")
+MATCHED_JACCARD = _matched_sql(
+    f"""1 - len(list_filter(list_distinct({_TOKENS.format('a[i]')}), lambda v: list_contains({_TOKENS.format('b[j]')}, v)))
+      / len(list_distinct(list_concat({_TOKENS.format('a[i]')}, {_TOKENS.format('b[j]')})))"""
+)
+
+
 def matrix_assignments(spark: SparkSession, where: str) -> DataFrame:
     """Distances of stored cost matrices under both assignments, the JVM's and the kernel's, and confident matches."""
     rows = table(spark, where, "cost_matrices").filter((F.size("cost") > 0) & (F.size(F.get("cost", 0)) > 0)).select("row_id", "cost")
@@ -405,6 +427,30 @@ def populations(spark: SparkSession, where: str) -> DataFrame:
     )
 
 
+def synthetic_results(spark: SparkSession, where: str) -> DataFrame:
+    """Errors of two measures on ten seeded populations of MeSH concepts."""
+    concepts = _concepts(spark, where).filter("taxonomy = 'mesh' and size(synonyms) > 0")
+    made = synthetic.populations(concepts, list(range(52, 62)), samples=50)
+    out = experiments.synthetic_results(made, [measures.MEASURES["levenshtein"], measures.MEASURES["bipartite_levenshtein"]])
+    return out.select("seed", "measure", "matching", *[c for k in experiments.COEFFICIENTS for c in (k, f"true_{k}", f"mae_{k}")])
+
+
+def synthetic_predictions(spark: SparkSession, where: str) -> DataFrame:
+    concepts = _concepts(spark, where).filter("taxonomy = 'mesh' and size(synonyms) > 0")
+    made = synthetic.populations(concepts, list(range(52, 62)), samples=50)
+    out = experiments.predictions(made, measures.MEASURES["bipartite_levenshtein"])
+    return out.select("seed", "sample_index", "true_match", "distance", "distance_greedy", "distance_true", F.size("confident").alias("n_confident"))
+
+
+def real_results(spark: SparkSession, where: str) -> DataFrame:
+    """Agreement of the captions of annotated images against that of their categories."""
+    return experiments.real_results(_long(spark, where).filter("caption is not null"), [measures.MEASURES["jaccard"], measures.MEASURES["levenshtein"]])
+
+
+def real_chance(spark: SparkSession, where: str) -> DataFrame:
+    return experiments.chance_rows(_long(spark, where).filter("caption is not null"), measures.MEASURES["jaccard"])
+
+
 # --- image captions, embeddings, streams
 
 
@@ -523,13 +569,20 @@ QUERIES = {
     "s_derm_annotations": derm_annotations,
     "x_embedding_costs": embedding_costs,
     "x_windowed": windowed,
+    "x_synthetic_results": synthetic_results,
+    "x_synthetic_predictions": synthetic_predictions,
+    "x_real_results": real_results,
+    "x_real_chance": real_chance,
 }
 ORACLES = {
     "d_exact_match": _sql_distance("CASE WHEN a = b THEN 0.0 ELSE 1.0 END"),
     "d_set_jaccard": _sql_distance(_JACCARD.format("a", "b")),
+    "d_word_jaccard": WORD_JACCARD,
+    "d_masi": MASI,
     "d_levenshtein": _sql_distance(_LEV),
     "word_tokens": WORD_TOKENS,
     "m_levenshtein": MATCHED_LEVENSHTEIN,
+    "m_jaccard": MATCHED_JACCARD,
     "g_two_raters_exact_match": _two_raters_sql(_EXACT),
     "g_two_raters_set_jaccard": _two_raters_sql(_JACCARD),
     "g_items": ITEMS,
