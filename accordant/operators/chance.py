@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from accordant.storage import written
+
 MAX_EXACT = 1000
 MIN_SHUFFLES = 3
 TARGET = 300
@@ -42,12 +44,17 @@ def chance_pairs(
         a.groupBy(*group).agg(F.count(F.lit(1)).alias("da"), F.sum("n_a").alias("na"))
         .join(b.groupBy(*group).agg(F.count(F.lit(1)).alias("db"), F.sum("n_b").alias("nb")), group)
     )
-    exact = sizes.filter(F.col("da") * F.col("db") <= max_exact)
+    sizes = written(sizes, "sizes")  # a row per group
+    fits = F.col("da") * F.col("db") <= max_exact
+    kinds = sizes.agg(F.max(fits).alias("some"), F.min(fits).alias("all")).first()
+    exact = sizes.filter(fits)
     every = (
         exact.join(a, group).join(b, group)
         .select(*group, "a", "b", ((F.col("n_a") / F.col("na")) * (F.col("n_b") / F.col("nb"))).alias("weight"))
     )
-    drawn = sizes.filter(F.col("da") * F.col("db") > max_exact).withColumn("n", F.least("na", "nb"))
+    if kinds["all"] is None or kinds["all"]:
+        return every
+    drawn = sizes.filter(~fits).withColumn("n", F.least("na", "nb"))
     if shuffles is not None:
         drawn = drawn.withColumn("rounds", F.lit(shuffles)).withColumn("most", F.col("n"))
     else:
@@ -70,7 +77,8 @@ def chance_pairs(
         pairs = pairs.withColumn("keep", F.row_number().over(order)).filter(F.col("keep") <= target)
     per = pairs.groupBy(*group, "a", "b").agg(F.count(F.lit(1)).alias("n"))
     totals = per.groupBy(*group).agg(F.sum("n").alias("all"))
-    return every.unionByName(per.join(totals, group).select(*group, "a", "b", (F.col("n") / F.col("all")).alias("weight")))
+    sampled = per.join(totals, group).select(*group, "a", "b", (F.col("n") / F.col("all")).alias("weight"))
+    return every.unionByName(sampled) if kinds["some"] else sampled
 
 
 def pooled(sides: list[DataFrame], group: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accordant.operators.measures import total_agreement
 from accordant.storage import written
 
 THRESHOLD = 0.05
@@ -154,19 +155,23 @@ def same_item_pairs(annotations: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def krippendorff(annotations: DataFrame, group: list[str], distance) -> DataFrame:
+def krippendorff(annotations: DataFrame, group: list[str], measure) -> DataFrame:
     """group, observed, expected, alpha with all pairs of different items, from counts of label sets.
 
     The sum over pairs of different items is the sum over all pairs less that over pairs of the same item; the former
-    takes one row per two distinct label sets, whatever the number of annotations.
+    takes one row per two distinct label sets, whatever the number of annotations, or with a measure that has keys
+    only the sets that share one.
     """
-    d = distance(F.col("a"), F.col("b"))
+    d = measure.pair(F.col("a"), F.col("b"))
     same = same_item_pairs(annotations, group).groupBy(*group).agg(F.sum(d).alias("s"), F.count(F.lit(1)).alias("n"))
     n = annotations.groupBy(*group, "labels").agg(F.count(F.lit(1)).alias("c"))
     x, y = n.select(*group, F.col("labels").alias("a"), F.col("c").alias("ca")), n.select(*group, F.col("labels").alias("b"), F.col("c").alias("cb"))
-    pairs = x.join(y, group) if group else x.crossJoin(y)
-    total = pairs.groupBy(*group).agg((F.sum(d * F.col("ca") * F.col("cb")) / 2).alias("all"), F.sum(F.col("ca") * F.col("cb")).alias("square"))
     rows = n.groupBy(*group).agg(F.sum("c").alias("m"))
+    if measure.keys is not None:
+        agreed = total_agreement(x.withColumnRenamed("ca", "n_a"), y.withColumnRenamed("cb", "n_b"), group, measure)
+        total = rows.join(agreed, group).select(*group, ((F.col("m") * F.col("m") - F.col("agreement")) / 2).alias("all"))
+    else:
+        total = x.join(y, group).groupBy(*group).agg((F.sum(d * F.col("ca") * F.col("cb")) / 2).alias("all"))
     both = total.join(same, group).join(rows, group)
     observed = F.col("s") / F.col("n")
     others = (F.col("m") * (F.col("m") - 1)) / 2 - F.col("n")

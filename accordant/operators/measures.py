@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordant.functions import distances
+from accordant.functions.text import word_set
 from accordant.operators import matching
 
 
@@ -16,12 +17,15 @@ from accordant.operators import matching
 class Measure:
     """``pair`` gives a distance, or ``matrix`` a cost matrix to be matched; tags say what a measure needs.
 
+    ``keys`` gives an array of keys of a set, so that sets without a common key are at distance 1: sums of agreement
+    over all pairs then only need the pairs that share one.
     A measure over a model has neither: its costs come from a table (x, y, cost), see ``matching_costs``.
     """
 
     name: str
     pair: Callable[[Column, Column], Column] | None = None
     matrix: Callable[[Column, Column], Column] | None = None
+    keys: Callable[[Column], Column] | None = None
     single: bool = False
     threshold: float = matching.CONFIDENT
     tags: frozenset[str] = field(default_factory=frozenset)
@@ -37,11 +41,14 @@ class Measure:
 
 def _build() -> dict[str, Measure]:
     simple = frozenset({"simple"})
+    whole = lambda a: F.array(F.xxhash64(a))
+    own = lambda a: F.when(F.size(a) == 0, F.array(F.lit(0).cast("long"))).otherwise(F.transform(a, lambda x: F.xxhash64(x)))
+    by_word = lambda a: own(word_set(a))
     out = [
-        Measure("exact_match", distances.exact_match, tags=simple),
-        Measure("jaccard", distances.word_jaccard, tags=simple),
-        Measure("set_jaccard", distances.set_jaccard, tags=simple),
-        Measure("masi", distances.masi, tags=simple),
+        Measure("exact_match", distances.exact_match, keys=whole, tags=simple),
+        Measure("jaccard", distances.word_jaccard, keys=by_word, tags=simple),
+        Measure("set_jaccard", distances.set_jaccard, keys=own, tags=simple),
+        Measure("masi", distances.masi, keys=by_word, tags=simple),
         Measure("levenshtein", distances.levenshtein, tags=simple),
         Measure("indel", distances.indel, tags=simple),
         Measure("lcsseq", distances.lcs_distance, tags=simple),
@@ -96,6 +103,17 @@ def score_pairs(pairs: DataFrame, measure: Measure, costs: DataFrame | None = No
     return both.select("a", "b", F.explode(F.array(*[F.struct(F.lit(n).alias("matching"), F.col(c).alias("distance")) for n, c in ways])).alias("x")).select("a", "b", "x.*")
 
 
+def total_agreement(left: DataFrame, right: DataFrame, group: list[str], measure: Measure) -> DataFrame:
+    """group, agreement: the sum of n_a n_b (1 - distance) over all pairs of sets, from the pairs with a common key.
+
+    ``left`` has the group, a and n_a, ``right`` the group, b and n_b, one row a set.
+    """
+    x = left.select(*group, "a", "n_a", F.explode(F.array_distinct(measure.keys(F.col("a")))).alias("key"))
+    y = right.select(*group, "b", "n_b", F.explode(F.array_distinct(measure.keys(F.col("b")))).alias("key"))
+    met = x.join(y, [*group, "key"]).select(*group, "a", "b", "n_a", "n_b").distinct()
+    return met.groupBy(*group).agg(F.sum(F.col("n_a") * F.col("n_b") * (1 - measure.pair(F.col("a"), F.col("b")))).alias("agreement"))
+
+
 def matching_costs(pairs: DataFrame, costs: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with a cost matrix from an unordered table of label costs: every edge is looked up once."""
     edges = pairs.select("a", "b", F.posexplode("a").alias("i", "p")).select("a", "b", "i", "p", F.posexplode("b").alias("j", "q"))

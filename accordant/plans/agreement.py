@@ -13,8 +13,6 @@ from accordant.plans.quality import table
 from accordant.sources import annotations, results, taxonomies
 from accordant.streaming.agreement import windowed_agreement
 
-MANY = 1_000_000_000  # a chance budget that keeps all groups exact
-
 
 def _pairs(spark: SparkSession, where: str) -> DataFrame:
     rows = table(spark, where, "rater_pairs")
@@ -147,11 +145,10 @@ def matrix_assignments(spark: SparkSession, where: str) -> DataFrame:
 # --- coefficients
 
 
-def _two_raters(name: str, exact: bool = True, with_distribution: bool = False):
+def _two_raters(name: str, with_distribution: bool = False):
     def run(spark: SparkSession, where: str) -> DataFrame:
         rows = table(spark, where, "rater_pairs")
-        options = {"max_exact": MANY} if exact else {}
-        out = agreement.two_raters(rows, ["pass_no"], measures.MEASURES[name], key="row_id", distribution=with_distribution, **options)
+        out = agreement.two_raters(rows, ["pass_no"], measures.MEASURES[name], key="row_id", distribution=with_distribution)
         rounded = [_rounded(F.col(c), 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes]
         return out.select(*rounded)
 
@@ -199,7 +196,7 @@ SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY ord, source) - 1 A
 
 def many_raters(spark: SparkSession, where: str) -> DataFrame:
     long = _long(spark, where).select(F.lit("all").alias("corpus"), F.col("key").alias("item"), "slot", F.col("category").alias("labels"))
-    out = agreement.many_raters(long, ["corpus"], measures.MEASURES["set_jaccard"], distribution=False, max_exact=MANY)
+    out = agreement.many_raters(long, ["corpus"], measures.MEASURES["set_jaccard"], distribution=False)
     return out.select(*[_rounded(F.col(c), 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
@@ -233,7 +230,7 @@ def krippendorff(spark: SparkSession, where: str) -> DataFrame:
     rows = _long(spark, where).select(
         F.lit("all").alias("corpus"), F.col("key").alias("item"), F.col("source").alias("worker"), label_set(F.col("category")).alias("labels"), F.xxhash64("key", "slot").alias("pos")
     )
-    out = distribution.krippendorff(rows, ["corpus"], distances.exact_match)
+    out = distribution.krippendorff(rows, ["corpus"], measures.MEASURES["exact_match"])
     return out.select("corpus", *[_rounded(F.col(c), 6).alias(c) for c in ("observed", "expected", "alpha")])
 
 
@@ -250,18 +247,24 @@ SELECT 'all' AS corpus, round((o) + 3.7e-11, 6) AS observed, round((e) + 3.7e-11
 
 
 def chance_sample(spark: SparkSession, where: str) -> DataFrame:
-    """Exact chance pairs of the raters by pass with their weights."""
-    rows = _pairs(spark, where)
-    left, right = rows.select("pass_no", F.col("a").alias("labels"), F.col("row_id").alias("pos")), rows.select("pass_no", F.col("b").alias("labels"), F.col("row_id").alias("pos"))
-    pairs = chance.chance_pairs(left, right, ["pass_no"], max_exact=MANY)
-    return pairs.groupBy("pass_no").agg(F.count(F.lit(1)).alias("n_pairs"), _rounded(F.sum("weight")).alias("weight"), _rounded(F.max("weight")).alias("most"))
-
-
-CHANCE = f"""
-WITH {_SETS}, ca AS (SELECT pass_no, a AS l, count(*) AS n FROM sets GROUP BY ALL), cb AS (SELECT pass_no, b AS l, count(*) AS n FROM sets GROUP BY ALL),
-t AS (SELECT pass_no, count(*) AS n FROM sets GROUP BY pass_no)
-SELECT x.pass_no, count(*) AS n_pairs, round((sum((x.n / t.n) * (y.n / t.n))) + 3.7e-11, 9) AS weight, round((max((x.n / t.n) * (y.n / t.n))) + 3.7e-11, 9) AS most
-FROM ca x JOIN cb y USING (pass_no) JOIN t USING (pass_no) GROUP BY x.pass_no
+    """Exact chance pairs of every two people whose label sets are within the budget."""
+    rows = table(spark, where, "rater_pairs").select("row_id", "rater_a_id", "rater_b_id", label_set(F.col("rater_a")).alias("a"), label_set(F.col("rater_b")).alias("b"))
+    group = ["rater_a_id", "rater_b_id"]
+    sizes = rows.groupBy(*group).agg(F.countDistinct("a").alias("da"), F.countDistinct("b").alias("db"))
+    small = rows.join(sizes.filter(F.col("da") * F.col("db") <= chance.MAX_EXACT), group, "left_semi")
+    left, right = (small.select(*group, F.col(c).alias("labels"), F.col("row_id").alias("pos")) for c in "ab")
+    pairs = chance.chance_pairs(left, right, group)
+    return pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("n_pairs"), _rounded(F.sum("weight")).alias("weight"), _rounded(F.max("weight")).alias("most"))
+
+
+CHANCE = """
+WITH s AS (
+  SELECT rater_a_id, rater_b_id, list_sort(list_distinct(list_filter(coalesce(rater_a, []), lambda x: x IS NOT NULL))) AS a,
+    list_sort(list_distinct(list_filter(coalesce(rater_b, []), lambda x: x IS NOT NULL))) AS b FROM rater_pairs),
+ca AS (SELECT rater_a_id, rater_b_id, a AS l, count(*) AS n FROM s GROUP BY ALL), cb AS (SELECT rater_a_id, rater_b_id, b AS l, count(*) AS n FROM s GROUP BY ALL),
+t AS (SELECT rater_a_id, rater_b_id, count(*) AS n FROM s GROUP BY ALL HAVING count(DISTINCT a) * count(DISTINCT b) <= 1000)
+SELECT rater_a_id, rater_b_id, count(*) AS n_pairs, round((sum((x.n / t.n) * (y.n / t.n))) + 3.7e-11, 9) AS weight, round((max((x.n / t.n) * (y.n / t.n))) + 3.7e-11, 9) AS most
+FROM ca x JOIN cb y USING (rater_a_id, rater_b_id) JOIN t USING (rater_a_id, rater_b_id) GROUP BY rater_a_id, rater_b_id
 """
 
 
@@ -545,7 +548,7 @@ QUERIES = {
     "m_matrices": matrix_assignments,
     "g_two_raters_exact_match": _two_raters("exact_match"),
     "g_two_raters_set_jaccard": _two_raters("set_jaccard"),
-    "g_two_raters_matched": _two_raters("bipartite_levenshtein", exact=False, with_distribution=True),
+    "g_two_raters_matched": _two_raters("bipartite_levenshtein", with_distribution=True),
     "g_items": items_of_sources,
     "g_many_raters": many_raters,
     "g_many_raters_distribution": many_raters_distribution,

@@ -101,6 +101,21 @@ def test_two_of_many_equal_two(spark):
     assert (a["average_agreement"], a["cohens_kappa"], a["scotts_pi"]) == pytest.approx((b["average_agreement"], b["cohens_kappa"], b["fleiss_kappa"]))
 
 
+@pytest.mark.parametrize("name", ["exact_match", "jaccard", "set_jaccard", "masi"])
+def test_keys_give_the_exact_chance(spark, name):
+    rng = random.Random(5)
+    some = lambda: rng.sample(["red rash", "rash", "cyst", "red cyst", "scale"], rng.randint(0, 3))
+    pairs = {"g": [(some(), some()) for _ in range(60)], "h": [([], []), (["x"], [])]}
+    a, b = two(spark, pairs, name, distribution=False), two(spark, pairs, name, distribution=False, max_exact=10**6)
+    for k in a:
+        for c in ("n_items", "average_agreement", "cohens_kappa", "scotts_pi"):
+            assert a[k][c] == pytest.approx(b[k][c])
+    items = [[some() for _ in range(rng.randint(2, 4))] for _ in range(25)]
+    x = agreement.many_raters(long(spark, items), ["g"], M[name], distribution=False).first()
+    y = agreement.many_raters(long(spark, items), ["g"], M[name], distribution=False, max_exact=10**6).first()
+    assert x[2:] == pytest.approx(y[2:])
+
+
 def test_empty_frames(spark):
     empty = spark.createDataFrame([], TWO)
     assert agreement.two_raters(empty, ["g"], M["set_jaccard"]).count() == 0
@@ -143,9 +158,9 @@ def test_krippendorff_by_brute_force(spark):
     rng = random.Random(4)
     rows = [("g", str(i), f"w{k}", [rng.choice("ab")], i * 5 + k) for i in range(12) for k in range(rng.randint(1, 4))]
     df = spark.createDataFrame(rows, "g string, item string, worker string, labels array<string>, pos long")
-    from accordant.functions.distances import exact_match
-
-    r = distribution.krippendorff(df, ["g"], exact_match).first()
+    r = distribution.krippendorff(df, ["g"], M["exact_match"]).first()
+    plain = distribution.krippendorff(df, ["g"], measures.Measure("plain", M["exact_match"].pair)).first()
+    assert tuple(plain)[1:] == pytest.approx(tuple(r)[1:])
     same = [x[3] != y[3] for x in rows for y in rows if x[4] > y[4] and x[1] == y[1]]
     other = [x[3] != y[3] for x in rows for y in rows if x[4] > y[4] and x[1] != y[1]]
     assert (r["observed"], r["expected"]) == pytest.approx((np.mean(same), np.mean(other)))
