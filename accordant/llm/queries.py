@@ -33,7 +33,8 @@ def _readings(spark: SparkSession, where: str) -> tuple[DataFrame, dict[int, str
     every = read[0].unionByName(read[1]).unionByName(read[2]).filter("item is not null")
     chosen = every.select("tbl", "item", "annotator", "place", labels.resolved(F.col("labels"), F.col("caption"), words).alias("votes"))
     first = chosen.filter(F.size("votes") > 0).groupBy("tbl", "item", "annotator").agg(F.min_by("votes", "place").alias("votes"))
-    votes = first.select("tbl", "item", "annotator", F.explode("votes").alias("x")).select("tbl", "item", "annotator", "x.kind", "x.term", F.lit(1).alias("n"))
+    kind, term = labels.votes(F.col("x"))
+    votes = first.select("tbl", "item", "annotator", F.explode("votes").alias("x")).select("tbl", "item", "annotator", kind.alias("kind"), term.alias("term"), F.lit(1).alias("n"))
     return written(votes, "readings"), names
 
 
