@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from accordant.storage import written
+
 #: Candidates: name, pattern, prior.
 CANDIDATES: list[tuple[str, str, float]] = [
     (",", r",", 1.0),
@@ -210,8 +212,6 @@ def infer_delimiters(rows: DataFrame, fields: list[str]) -> DataFrame:
     )
     sums = [F.sum(F.col("cells")[i]).alias(f"c{i}") for i in range(CELLS * CELLS)]
     by_source = counted.groupBy("field", "source", "name").agg(F.sum("rows").alias("rows"), F.sum("sound").alias("sound"), F.sum("long").alias("long"), *sums)
-    from accordant.storage import written
-
     by_source = written(by_source, "delimiters")
     by_field = by_source.groupBy("field", "name").agg(F.sum("rows").alias("rows"), F.sum("long").alias("long"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(CELLS * CELLS)]).collect()
     prior = {n: p for n, _, p in CANDIDATES}
@@ -241,6 +241,9 @@ def _split(text: pd.Series, delimiters: pd.Series) -> pd.Series:
     return pd.Series([split_values(t, tuple(standard if d is None else d)) for t, d in zip(text, delimiters)])
 
 
+_split = _split.asNondeterministic()  # a filter on the values must not split twice
+
+
 def source_of(path: Column) -> Column:
     """The first segment of a path; paths without one share the source ``''``."""
     return F.when(path.contains("/"), F.substring_index(path, "/", 1)).otherwise(F.lit(""))
@@ -255,7 +258,8 @@ def unpack(df: DataFrame, key: str, fields: list[str], source: Column, nothing:
     of ``df``, whatever their names, are not touched.
     """
     rows = df.select(F.col(key).alias("key"), F.coalesce(source, F.lit("")).alias("source"), *fields)
-    found = infer_delimiters(rows, fields).select("field", "source", "delimiters")
+    # written, so that its size is known: where it is small the rows are not shuffled to meet it
+    found = written(infer_delimiters(rows, fields).select("field", "source", "delimiters"), "sources")
     long = rows.select(
         "key", "source", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x")
     ).select("key", "source", "x.field", "x.text")
