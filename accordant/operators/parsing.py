@@ -232,6 +232,9 @@ def _parse(line: pd.Series, feed: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["defect", "at", "detail", "fields"])
 
 
+_parse = _parse.asNondeterministic()  # a filter on the defect must not parse twice
+
+
 def parse_lines(df: DataFrame, keys: list[str], line: str = "line", feed: str = "feed") -> DataFrame:
     """``keys``, ``feed``, ``defect``, ``at``, ``detail`` and ``fields`` of each row of ``df``.
 
