@@ -174,6 +174,9 @@ def _extent(text_a: pd.Series, at_a: pd.Series, text_b: pd.Series, at_b: pd.Seri
     return pd.DataFrame(out, columns=["before", "after"])
 
 
+_extent = _extent.asNondeterministic()  # a filter on the extent must not compare twice
+
+
 def verify(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b, start_a, start_b, length of the hits with at least ``SPAN`` equal characters around them.
 
@@ -241,7 +244,7 @@ class SharedSpans:
         # one pass over the texts of all representatives; batches are read from it
         self.docs = long.join(reps, "doc_id", "left_semi").select("doc_id", "text")
         prints = fingerprints(long.select("doc_id", "text")).join(reps.select("doc_id", number.alias("batch")), "doc_id")
-        self.prints = written(prints.select("h", "chain", "doc_id", "pos", "batch").repartition("batch", "h"), "fresh")
+        self.prints = written(prints.select("h", "chain", "doc_id", "pos", "batch"), "fresh")
         self.index = Index(self.spark, every=every)
         hits, hot = [], None
         for i in range(batches):
