@@ -105,7 +105,8 @@ def find_orphans(keys: DataFrame, refs: DataFrame, payload: list[str]) -> DataFr
         pieces = F.coalesce(F.create_map(*[F.lit(x) for kv in crowded.items() for x in kv])[F.col("r")], F.lit(1))
     else:
         pieces = F.lit(1)
-    refs = refs.withColumn("s", F.floor(F.rand(17) * pieces).cast("int"))
+    # dealt by a hash of the row, so that a task that runs again deals alike
+    refs = refs.withColumn("s", F.pmod(F.xxhash64(F.lit(17), *payload), pieces).cast("int"))
     keys = keys.withColumn("s", F.explode(F.sequence(F.lit(0), (pieces - 1).cast("int"))))
     kinds = {f.name: f.dataType.simpleString() for f in refs.schema.fields}
 
