@@ -19,6 +19,8 @@ children of one node, since links are grouped by child.
 from __future__ import annotations
 
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -286,22 +288,47 @@ class Hierarchy:
         smallest = named.groupBy("label").agg(F.min("code").alias("cycle_code"))
         return named.join(smallest, "label").select("group", "cycle_code", "code")
 
+    def _climbed(self, step: Column) -> DataFrame:
+        """u, seg (``step`` of each node from the root down to u; null on or below a cycle) over first parents."""
+        first = self.edges.filter("u <> p").groupBy("u").agg(F.min_by("p", F.struct("place", "p")).alias("p"))
+        links = self.nodes.select(F.col("id").alias("u"), F.array(step).alias("seg")).join(first, "u", "left")
+        return forest(written(links.select("u", "p", "seg"), "links"), self.ranges)
+
     def paths(self) -> DataFrame:
         """group, code, path (codes from the root), depth (0 for a root), root; all null for a node on or below a cycle.
 
         The way up takes the first parent in the list that is a record other than the node itself.
         """
-        first = self.edges.filter("u <> p").groupBy("u").agg(F.min_by("p", F.struct("place", "p")).alias("p"))
-        links = self.nodes.select(F.col("id").alias("u"), F.array("code").alias("seg")).join(first, "u", "left")
-        up = forest(written(links.select("u", "p", "seg"), "links"), self.ranges)
+        up = self._climbed(F.col("code"))
         return self.nodes.select(F.col("id").alias("u"), "group", "code").join(up, "u", "left").select(
             "group", "code", F.col("seg").alias("path"), (F.size("seg") - 1).alias("depth"), F.get("seg", 0).alias("root")
         )
 
     def descendants(self) -> DataFrame:
-        """group, code, descendant, distance: every pair on a path."""
-        paths = self.paths().filter("path is not null")
-        pairs = paths.select("group", F.col("code").alias("descendant"), "depth", F.posexplode("path").alias("at", "code"))
-        return pairs.filter(F.col("at") < F.col("depth")).select("group", "code", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
-
+        """group, code, descendant: every pair of different nodes joined by a way up, over all parents.
 
+        The paths over first parents give most pairs at once.  Other links (further parents, and all links of nodes on
+        or below cycles) are jumps: climb a path, take one such link.  Pairs grow by one jump a round until none is
+        new, so the rounds are as many as a way has jumps, not as it has steps.
+        """
+        up = self._climbed(F.col("id").cast("string")).filter("seg is not null")
+        tree = written(up.select(F.explode(F.transform("seg", lambda x: x.cast("long"))).alias("a"), F.col("u").alias("d")), "tree")
+        tree = written(tree.unionByName(self.nodes.select(F.col("id").alias("a"), F.col("id").alias("d"))).distinct(), "pairs")
+        first = up.select(F.col("u"), F.get("seg", F.size("seg") - 2).cast("long").alias("p"))
+        other = self.edges.select("u", "p").filter("u <> p").join(first, ["u", "p"], "left_anti")
+        jumps = written(tree.join(other.withColumnRenamed("u", "a"), "a").select("d", F.col("p").alias("q")).distinct(), "jumps")
+        found, fresh = [tree], tree
+        while True:
+            reached = jumps.join(fresh.select("a", F.col("d").alias("q")), "q").select("a", "d").distinct()
+            for known in found:
+                reached = reached.join(known, ["a", "d"], "left_anti")
+            fresh = written(reached, "pairs")
+            if fresh.isEmpty():
+                break
+            found.append(fresh)
+            if len(found) > 4:
+                found = [written(reduce(DataFrame.unionByName, found), "pairs")]
+        pairs = reduce(DataFrame.unionByName, found).filter("a <> d")
+        name = self.nodes.select("id", "group", "code")
+        named = pairs.join(name.withColumnRenamed("id", "a"), "a").join(self.nodes.select(F.col("id").alias("d"), F.col("code").alias("descendant")), "d")
+        return named.select("group", "code", "descendant")

@@ -81,13 +81,19 @@ way AS (
 SELECT c.taxonomy, c.code, array_to_string(path, ' > ') AS path, CAST(coalesce(len(path), 0) - 1 AS INTEGER) AS depth, path[1] AS root
 FROM c LEFT JOIN way ON way.taxonomy = c.taxonomy AND way.k = c.k
 """
-_DESCENDANTS = "WITH RECURSIVE " + _LINKS + """,
-way AS (
-  SELECT c.taxonomy, c.k, [c.code] AS path FROM c LEFT JOIN up ON up.taxonomy = c.taxonomy AND up.u = c.k WHERE up.u IS NULL
-  UNION ALL
-  SELECT c.taxonomy, c.k, list_append(way.path, c.code) FROM way JOIN up ON up.taxonomy = way.taxonomy AND up.v = way.k JOIN c ON c.taxonomy = up.taxonomy AND c.k = up.u
-), pairs AS (SELECT taxonomy, path, unnest(range(1, len(path))) AS i FROM way)
-SELECT taxonomy, path[i] AS code, path[len(path)] AS descendant, CAST(len(path) - i AS INTEGER) AS distance FROM pairs
+_DESCENDANTS = r"""
+WITH RECURSIVE rows AS (
+  SELECT taxonomy, upper(trim(code, E' \t\n\r ')) AS k, code, parent_codes, hierarchy_key,
+    row_number() OVER (PARTITION BY taxonomy, upper(trim(code, E' \t\n\r ')) ORDER BY loaded_at DESC, row_id DESC) AS n
+  FROM concepts WHERE trim(code, E' \t\n\r ') <> ''
+), c AS (SELECT * FROM rows WHERE n = 1),
+names AS (SELECT DISTINCT taxonomy, k, upper(trim(x, E' \t\n\r ')) AS name FROM (SELECT taxonomy, k, unnest(list_concat([code], coalesce(hierarchy_key, []))) AS x FROM c)),
+e AS (
+  SELECT DISTINCT p.taxonomy, p.k AS u, names.k AS v FROM (SELECT taxonomy, k, upper(trim(x, E' \t\n\r ')) AS name FROM (SELECT taxonomy, k, unnest(parent_codes) AS x FROM c)) p
+  JOIN names USING (taxonomy, name)
+), r AS (SELECT taxonomy, u, v FROM e UNION SELECT r.taxonomy, r.u, e.v FROM r JOIN e ON e.taxonomy = r.taxonomy AND e.u = r.v)
+SELECT DISTINCT r.taxonomy, a.code AS code, d.code AS descendant
+FROM r JOIN c a ON a.taxonomy = r.taxonomy AND a.k = r.v JOIN c d ON d.taxonomy = r.taxonomy AND d.k = r.u WHERE r.u <> r.v
 """
 
 _DEFECTS = r"""

@@ -35,8 +35,8 @@ def test_small_forest_and_cycles(spark):
     assert paths["m", "C"] == (["A", "b ", "C"], 2, "A") and paths["m", "A"] == (["A"], 0, "A")
     assert paths["n", "A"] == (["A"], 0, "A") and paths["m", "S"] == (["S"], 0, "S")
     assert paths["m", "F"][0] is None and paths["m", "D"][1] is None
-    pairs = sorted((r["code"], r["descendant"], r["distance"]) for r in h.descendants().collect())
-    assert pairs == [("A", "C", 2), ("A", "b ", 1), ("b ", "C", 1)]
+    pairs = sorted((r["code"], r["descendant"]) for r in h.descendants().collect())
+    assert pairs == [("A", "C"), ("A", "D"), ("A", "E"), ("A", "F"), ("A", "b "), ("D", "E"), ("D", "F"), ("E", "D"), ("E", "F"), ("b ", "C")]
 
 
 def test_empty(spark):
@@ -69,6 +69,16 @@ def test_many_ranges_against_brute_force(spark, monkeypatch, seed):
     h = build(spark, [("g", c, None, parents[c]) for c in order])
     assert h.ranges > hierarchy.FAN**2
     assert {(r["cycle_code"], r["code"]) for r in h.cycles().collect()} == strong(parents, names)
+    reach = {u: set() for u in names}
+    for u in names:
+        todo = list(parents[u])
+        while todo:
+            v = todo.pop()
+            if v not in reach[u]:
+                reach[u].add(v)
+                todo.extend(parents[v])
+    got = [(r["code"], r["descendant"]) for r in h.descendants().collect()]
+    assert len(got) == len(set(got)) and set(got) == {(v, u) for u in names for v in reach[u] if v != u}
     for r in h.paths().collect():
         way, at = [], r["code"]
         while at is not None and at not in way:
