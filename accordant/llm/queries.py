@@ -34,18 +34,19 @@ def _readings(spark: SparkSession, where: str) -> tuple[DataFrame, dict[int, str
     chosen = every.select("tbl", "item", "annotator", "place", labels.resolved(F.col("labels"), F.col("caption"), words).alias("votes"))
     first = chosen.filter(F.size("votes") > 0).groupBy("tbl", "item", "annotator").agg(F.min_by("votes", "place").alias("votes"))
     kind, term = labels.votes(F.col("x"))
-    votes = first.select("tbl", "item", "annotator", F.explode("votes").alias("x")).select("tbl", "item", "annotator", kind.alias("kind"), term.alias("term"), F.lit(1).alias("n"))
+    alike = F.size(F.filter("votes", lambda v: labels.votes(v)[0] == kind))  # votes of one kind divide one
+    votes = first.select("tbl", "item", "annotator", "votes", F.explode("votes").alias("x")).select("tbl", "item", "annotator", kind.alias("kind"), term.alias("term"), (F.lit(1.0) / alike).alias("share"))
     return written(votes, "readings"), names
 
 
 def consensus_of(spark: SparkSession, where: str) -> Consensus:
-    return Consensus(_readings(spark, where)[0])
+    return Consensus(_readings(spark, where)[0], shared=True)
 
 
 def p1_items(spark: SparkSession, where: str) -> DataFrame:
     """tbl, item, consensus, confidence, agreement, n_annotators of every item that is to have a label."""
     votes, names = _readings(spark, where)
-    found = Consensus(votes).labels()
+    found = Consensus(votes, shared=True).labels()
     rows, pairs = _table(spark, where, "annotation_rows"), _table(spark, where, "rater_pairs")
     items = (
         rows.filter("item_key is not null and source is not null")
