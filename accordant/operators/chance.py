@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from accordant.storage import written
 
 MAX_EXACT = 1000
+#: A budget that every group is within.
+UNBOUNDED = 2**62
 MIN_SHUFFLES = 3
 TARGET = 300
 

@@ -247,7 +247,7 @@ SELECT 'all' AS corpus, round((o) + 3.7e-11, 6) AS observed, round((e) + 3.7e-11
 
 
 def chance_sample(spark: SparkSession, where: str) -> DataFrame:
-    """Exact chance pairs of every two people whose label sets are within the budget."""
+    """Exact chance pairs of every two people whose label sets are within the budget; ``chance_all`` has the others too."""
     rows = table(spark, where, "rater_pairs").select("row_id", "rater_a_id", "rater_b_id", label_set(F.col("rater_a")).alias("a"), label_set(F.col("rater_b")).alias("b"))
     group = ["rater_a_id", "rater_b_id"]
     sizes = rows.groupBy(*group).agg(F.countDistinct("a").alias("da"), F.countDistinct("b").alias("db"))
@@ -268,6 +268,26 @@ FROM ca x JOIN cb y USING (rater_a_id, rater_b_id) JOIN t USING (rater_a_id, rat
 """
 
 
+def chance_all(spark: SparkSession, where: str) -> DataFrame:
+    """Exact chance pairs of every two people: pairs come from counts of label sets, so no number of them is too large."""
+    rows = table(spark, where, "rater_pairs").select("row_id", "rater_a_id", "rater_b_id", label_set(F.col("rater_a")).alias("a"), label_set(F.col("rater_b")).alias("b"))
+    group = ["rater_a_id", "rater_b_id"]
+    left, right = (rows.select(*group, F.col(c).alias("labels"), F.col("row_id").alias("pos")) for c in "ab")
+    pairs = chance.chance_pairs(left, right, group, max_exact=chance.UNBOUNDED)
+    return pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("n_pairs"), _rounded(F.sum("weight")).alias("weight"), _rounded(F.max("weight")).alias("most"))
+
+
+CHANCE_ALL = """
+WITH s AS (
+  SELECT rater_a_id, rater_b_id, list_sort(list_distinct(list_filter(coalesce(rater_a, []), lambda x: x IS NOT NULL))) AS a,
+    list_sort(list_distinct(list_filter(coalesce(rater_b, []), lambda x: x IS NOT NULL))) AS b FROM rater_pairs),
+ca AS (SELECT rater_a_id, rater_b_id, a AS l, count(*) AS n FROM s GROUP BY ALL), cb AS (SELECT rater_a_id, rater_b_id, b AS l, count(*) AS n FROM s GROUP BY ALL),
+t AS (SELECT rater_a_id, rater_b_id, count(*) AS n FROM s GROUP BY ALL)
+SELECT rater_a_id, rater_b_id, count(*) AS n_pairs, round((sum((x.n / t.n) * (y.n / t.n))) + 3.7e-11, 9) AS weight, round((max((x.n / t.n) * (y.n / t.n))) + 3.7e-11, 9) AS most
+FROM ca x JOIN cb y USING (rater_a_id, rater_b_id) JOIN t USING (rater_a_id, rater_b_id) GROUP BY rater_a_id, rater_b_id
+"""
+
+
 def drawn_chance_sample(spark: SparkSession, where: str) -> DataFrame:
     """The drawn sample where pairs exceed the budget: a few hundred pairs a group, equal weights by repetition."""
     rows = _pairs(spark, where)
@@ -554,6 +574,7 @@ QUERIES = {
     "g_many_raters_distribution": many_raters_distribution,
     "g_krippendorff": krippendorff,
     "c_exact": chance_sample,
+    "c_all": chance_all,
     "c_drawn": drawn_chance_sample,
     "e_errors": error_table,
     "e_significance": significance,
@@ -592,6 +613,7 @@ ORACLES = {
     "g_many_raters": MANY_RATERS,
     "g_krippendorff": KRIPPENDORFF,
     "c_exact": CHANCE,
+    "c_all": CHANCE_ALL,
     "e_errors": ERRORS,
     "a_true_pairs": TRUE_PAIRS,
     "h_label_costs": LABEL_COSTS,
