@@ -1,11 +1,12 @@
 """Registered queries do the whole job on inputs larger than their operators' budgets."""
 
+import os
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
-from accordant.operators import chance
+from accordant.functions.text import lcs
+from accordant.operators import chance, neighbours
 from accordant.plans import agreement
 
 
@@ -23,3 +24,39 @@ def test_chance_has_every_group(spark, large_pairs):
     assert set(got) == {("p", "q"), ("p", "r")}
     assert got["p", "q"]["n_pairs"] == 1600 and got["p", "q"]["most"] == pytest.approx(1 / 1600, abs=1e-9) and got["p", "q"]["weight"] == pytest.approx(1, abs=1e-9)
     assert got["p", "r"]["n_pairs"] == 2 and got["p", "r"]["most"] == 0.5
+
+
+SMALL = "/root/testdata/sf0.01"
+
+
+def like(a, b):
+    return 2 * lcs(a, b) / (len(a) + len(b))
+
+
+def test_terms_meet_all_at_once():
+    rng = random.Random(0)
+    texts = ["".join(rng.choice("abcdé 😀") for _ in range(n)) for n in [0, 1, 2, 5, 30, 63, 64, 65, 127, 128, 129, 200] * 3]
+    rng.shuffle(texts)
+    held = neighbours.Terms(texts)
+    for a in [*texts, "zz", "z" * 70 + "a"]:
+        assert held.lcs(a).tolist() == [lcs(a, b) for b in texts]
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+@pytest.mark.parametrize("chunks", [(512, 8192), (7, 50)])
+def test_lexical_neighbours_of_the_concepts_are_those_of_all_pairs(spark, monkeypatch, chunks):
+    monkeypatch.setattr(neighbours, "QUERIES_AT_ONCE", chunks[0])
+    monkeypatch.setattr(neighbours, "CONCEPTS_AT_ONCE", chunks[1])
+    rows = [r for r in agreement._concepts(spark, SMALL).collect() if r["preferred_term"] is not None]
+    forms = lambda r: [x for x in (r["preferred_term"], *(r["synonyms"] or ())) if x is not None]
+    want = {}
+    for r in rows:
+        if r["ord"] % 20 == 0:
+            others = [x for x in rows if x["taxonomy"] == r["taxonomy"] and x["code"] != r["code"]]
+            pool = sorted(others, key=lambda x: (-like(r["preferred_term"], x["preferred_term"]), x["code"]))[:50]
+            mean = {x["code"]: sum(like(a, b) for a in forms(r) for b in forms(x)) / len(forms(r)) / len(forms(x)) for x in pool}
+            want[r["code"]] = sorted(mean.values(), reverse=True)[:10]
+    got = {}
+    for r in agreement.QUERIES["n_lexical"](spark, SMALL).orderBy("rank").collect():
+        got.setdefault(r["code"], []).append(r["similarity"])
+    assert set(got) == set(want) and all(got[c] == pytest.approx(want[c]) for c in want)
