@@ -11,6 +11,7 @@ from accordant.operators import ablation, agreement, chance, distribution, match
 from accordant.plans import experiments
 from accordant.plans.quality import table
 from accordant.sources import annotations, results, taxonomies
+from accordant.storage import written
 from accordant.streaming.agreement import windowed_agreement
 
 
@@ -487,12 +488,17 @@ def derm_annotations(spark: SparkSession, where: str) -> DataFrame:
     return found.select("key", "ord", "source", F.array_join("category", "|").alias("category"))
 
 
-def embedding_costs(spark: SparkSession, where: str) -> DataFrame:
-    """1 - cosine of each vector whose id is divisible by 20 with the mean vector of every label."""
-    rows = table(spark, where, "embeddings").filter("embedding is not null")
+def _label_means(rows: DataFrame) -> DataFrame:
+    """label, centre: the mean vector of each label."""
     long = rows.select("vec_id", "label", F.posexplode("embedding").alias("i", "v"))
     means = long.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    centre = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre"))
+    return means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre"))
+
+
+def embedding_costs(spark: SparkSession, where: str) -> DataFrame:
+    """1 - cosine of each vector whose id is divisible by 20 with the mean vector of its own label; ``label_mean_costs`` has all."""
+    rows = table(spark, where, "embeddings").filter("embedding is not null")
+    centre = _label_means(rows)
     asked = rows.filter("vec_id % 20 = 0").select("vec_id", "embedding", F.col("label").alias("own"))
     pairs = asked.join(centre, asked["own"] == centre["label"])
     return pairs.select("vec_id", "label", _rounded(distances.cosine_cost(F.col("embedding"), F.col("centre")), 5).alias("cost"))
@@ -506,6 +512,26 @@ FROM e JOIN m USING (label, i) WHERE vec_id % 20 = 0 GROUP BY vec_id, label
 """
 
 
+#: Mean vectors travel to every worker up to this number of labels; beyond it they are joined without that.
+MOST_LABELS = 10_000
+
+
+def label_mean_costs(spark: SparkSession, where: str) -> DataFrame:
+    """1 - cosine of each vector with the mean vector of every label."""
+    rows = table(spark, where, "embeddings").filter("embedding is not null")
+    centre = written(_label_means(rows), "means")  # a row per label
+    few = centre.count() <= MOST_LABELS
+    pairs = rows.select("vec_id", "embedding").crossJoin(F.broadcast(centre) if few else centre)
+    return pairs.select("vec_id", "label", _rounded(distances.cosine_cost(F.col("embedding"), F.col("centre")), 5).alias("cost"))
+
+
+LABEL_MEANS = """
+WITH e AS (SELECT vec_id, label AS own, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE embedding IS NOT NULL),
+m AS (SELECT own AS label, i, avg(v) AS m FROM e GROUP BY own, i)
+SELECT vec_id, label, round((1 - sum(v * m) / (sqrt(sum(v * v)) * sqrt(sum(m * m)))) + 3.7e-11, 5) AS cost FROM e JOIN m USING (i) GROUP BY vec_id, label
+"""
+
+
 def windowed(spark: SparkSession, where: str) -> DataFrame:
     out = windowed_agreement(table(spark, where, "rater_pairs"), measures.MEASURES["set_jaccard"], "loaded_at", window="30 days")
     return out.select(F.unix_seconds("window_start").alias("window_start"), "n_items", _rounded(F.col("average_agreement"), 6).alias("average_agreement"))
@@ -592,6 +618,7 @@ QUERIES = {
     "s_derm_concepts": derm_concepts,
     "s_derm_annotations": derm_annotations,
     "x_embedding_costs": embedding_costs,
+    "x_label_mean_costs": label_mean_costs,
     "x_windowed": windowed,
     "x_synthetic_results": synthetic_results,
     "x_synthetic_predictions": synthetic_predictions,
@@ -625,5 +652,6 @@ ORACLES = {
     "s_derm_concepts": DERM_CONCEPTS,
     "s_derm_annotations": DERM_ANNOTATIONS,
     "x_embedding_costs": EMBEDDINGS,
+    "x_label_mean_costs": LABEL_MEANS,
     "x_windowed": WINDOWED,
 }

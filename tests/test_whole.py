@@ -60,3 +60,13 @@ def test_lexical_neighbours_of_the_concepts_are_those_of_all_pairs(spark, monkey
     for r in agreement.QUERIES["n_lexical"](spark, SMALL).orderBy("rank").collect():
         got.setdefault(r["code"], []).append(r["similarity"])
     assert set(got) == set(want) and all(got[c] == pytest.approx(want[c]) for c in want)
+
+
+def test_every_vector_has_a_cost_to_every_label(spark, tmp_path, monkeypatch):
+    rows = [(i, label, v) for i, (label, v) in enumerate([("x", [1.0, 0.0]), ("x", [1.0, 0.0]), ("y", [0.0, 2.0]), ("y", [0.0, 4.0]), ("y", None)])]
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {(i, label): float((i < 2) != (label == "x")) for i in range(4) for label in "xy"}
+    for most in (agreement.MOST_LABELS, 1):
+        monkeypatch.setattr(agreement, "MOST_LABELS", most)
+        got = {(r["vec_id"], r["label"]): r["cost"] for r in agreement.QUERIES["x_label_mean_costs"](spark, str(tmp_path)).collect()}
+        assert got == want
