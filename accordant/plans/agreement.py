@@ -332,7 +332,7 @@ def significance(spark: SparkSession, where: str) -> DataFrame:
 
 def ablation_rows(spark: SparkSession, where: str) -> DataFrame:
     met = results.with_true_pairs(table(spark, where, "cost_matrices"), table(spark, where, "predictions"))
-    return ablation.run(met.drop("loaded_at"), ["row_id", "measure"], permutations=5)
+    return ablation.run(met.drop("loaded_at"), ["row_id", "measure"])
 
 
 def ablation_summary(spark: SparkSession, where: str) -> DataFrame:

@@ -26,7 +26,7 @@ def test_chance_has_every_group(spark, large_pairs):
     assert got["p", "r"]["n_pairs"] == 2 and got["p", "r"]["most"] == 0.5
 
 
-SMALL = "/root/testdata/sf0.01"
+SMALL, SMALLEST = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
 
 def like(a, b):
@@ -70,3 +70,11 @@ def test_every_vector_has_a_cost_to_every_label(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(agreement, "MOST_LABELS", most)
         got = {(r["vec_id"], r["label"]): r["cost"] for r in agreement.QUERIES["x_label_mean_costs"](spark, str(tmp_path)).collect()}
         assert got == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALLEST), reason="no test tables")
+def test_ablation_scores_thirty_layouts(spark):
+    per = agreement.QUERIES["a_rows"](spark, SMALLEST).groupBy("row_id", "measure").count().collect()
+    assert per and {r["count"] for r in per} == {30}
+    summary = agreement.QUERIES["a_summary"](spark, SMALLEST).collect()
+    assert sum(r["matrices"] for r in summary) == len(per)
