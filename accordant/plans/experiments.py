@@ -27,19 +27,20 @@ def _against_truth(scores: DataFrame, truth: DataFrame, on: list[str], coefficie
     return both
 
 
-def synthetic_results(made: DataFrame, chosen: Iterable[Measure], costs: DataFrame | None = None, chance_measure: Measure | None = None, **options: int) -> DataFrame:
+def synthetic_results(made: DataFrame, chosen: Iterable[Measure], costs: DataFrame | None = None, chance_measure: Measure | None = None, group: list[str] | None = None, **options: int) -> DataFrame:
     """seed, measure, matching, the five coefficients, the true ones and the errors.
 
     ``made`` is what ``synthetic.populations`` gives; the truth scores the concepts themselves by set overlap.
-    All populations are scored in one plan per measure.
+    All populations are scored in one plan per measure.  ``group`` has the columns of a population, ``seed`` if not given.
     """
+    group = group or ["seed"]
     made = written(made, "populations")
-    truth = agreement.two_raters(made, ["seed"], measures.MEASURES["set_jaccard"], a="rater_a_concepts", b="rater_b_concepts", key="sample_index", **options)
+    truth = agreement.two_raters(made, group, measures.MEASURES["set_jaccard"], a="rater_a_concepts", b="rater_b_concepts", key="sample_index", **options)
     truth = written(truth, "truth")
     out = []
     for m in chosen:
-        scores = agreement.two_raters(made, ["seed"], m, key="sample_index", chance_measure=chance_measure, costs=costs, **options)
-        out.append(_against_truth(scores, truth, ["seed"], COEFFICIENTS).withColumn("measure", F.lit(m.name)))
+        scores = agreement.two_raters(made, group, m, key="sample_index", chance_measure=chance_measure, costs=costs, **options)
+        out.append(_against_truth(scores, truth, group, COEFFICIENTS).withColumn("measure", F.lit(m.name)))
     return reduce(DataFrame.unionByName, out)
 
 

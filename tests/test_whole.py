@@ -78,3 +78,16 @@ def test_ablation_scores_thirty_layouts(spark):
     assert per and {r["count"] for r in per} == {30}
     summary = agreement.QUERIES["a_summary"](spark, SMALLEST).collect()
     assert sum(r["matrices"] for r in summary) == len(per)
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+@pytest.mark.parametrize("name", ["s_populations", "x_synthetic_predictions"])
+def test_populations_of_every_taxonomy(spark, name):
+    per = {(r["taxonomy"], r["seed"]): r["count"] for r in agreement.QUERIES[name](spark, SMALL).groupBy("taxonomy", "seed").count().collect()}
+    assert per == {(t, seed): 100 for t in ("icd11", "mesh") for seed in range(52, 82)}
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_results_of_every_taxonomy(spark):
+    got = {(r["taxonomy"], r["seed"], r["measure"]) for r in agreement.QUERIES["x_synthetic_results"](spark, SMALL).collect()}
+    assert got == {(t, seed, m) for t in ("icd11", "mesh") for seed in range(52, 82) for m in ("levenshtein", "bipartite_levenshtein")}
