@@ -2,14 +2,20 @@
 
 A pair of sets has a cost for each pair of labels.  The least-cost assignment and the greedy one come out of one pass
 over the matrix, and so do the distances under both: one minus the soft Dice overlap of the matched labels.
+
+Matrices of one shape are a stack, and both algorithms go through all of a stack at once: a step of the search for
+augmenting paths, or of the greedy choice, is a few array operations however many matrices there are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,55 +24,135 @@ from accordant.functions import distances
 from accordant.functions.text import lcs
 
 Matrix = list[list[float]]
-_INF = float("inf")
 #: Below this cost a matched pair counts as confident.
 CONFIDENT, CONFIDENT_EMBEDDING = 1 / 3, 0.9
 
 
+def best_columns(costs: np.ndarray) -> np.ndarray:
+    """The column of each row in an assignment of least total cost; -1 throughout where none has a finite cost.
+
+    ``costs`` is a stack (matrix, row, column) with at least as many columns as rows.  Rows join one by one, each over
+    a shortest augmenting path in costs reduced by potentials; of equally near columns the first goes first.
+    """
+    count, n, m = costs.shape
+    row_of, column_of = np.full((count, m), -1), np.full((count, n), -1)
+    u, v = np.zeros((count, n)), np.zeros((count, m))
+    possible = np.ones(count, bool)
+    everyone = np.arange(count)
+    for row in range(n):
+        far, via = np.full((count, m), np.inf), np.full((count, m), -1)
+        closed = np.zeros((count, m), bool)
+        length, end = np.zeros(count), np.full(count, -1)
+        live, at = everyone[possible], np.full(count, row)
+        while len(live):
+            here = at[live]
+            reach = length[live, None] + costs[live, here] - u[live, here, None] - v[live]
+            nearer = ~closed[live] & (reach < far[live])
+            far[live] = np.where(nearer, reach, far[live])
+            via[live] = np.where(nearer, here[:, None], via[live])
+            open_ = np.where(closed[live], np.inf, far[live])
+            column = open_.argmin(1)
+            length[live] = open_[np.arange(len(live)), column]
+            stuck = np.isinf(length[live])
+            possible[live[stuck]] = False
+            live, column = live[~stuck], column[~stuck]
+            closed[live, column] = True
+            owner = row_of[live, column]
+            end[live[owner < 0]] = column[owner < 0]
+            at[live] = owner
+            live = live[owner >= 0]
+        done = everyone[possible]
+        # potentials of the rows and columns on the way, so that reduced costs stay at zero or above
+        b, c = np.nonzero(closed & possible[:, None])
+        slack, owner = length[b] - far[b, c], row_of[b, c]
+        u[done, row] += length[done]
+        np.add.at(u, (b[owner >= 0], owner[owner >= 0]), slack[owner >= 0])
+        v[b, c] -= slack
+        column = end[done]
+        while len(done):
+            taker = via[done, column]
+            row_of[done, column] = taker
+            left = column_of[done, taker]
+            column_of[done, taker] = column
+            more = taker != row
+            done, column = done[more], left[more]
+    column_of[~possible] = -1
+    return column_of
+
+
+def greedy_cells(costs: np.ndarray, tolerance: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """The cells (row times columns plus column) that a greedy choice takes in its order, and whether a step had a rival.
+
+    Cheapest cell first, of equal ones the first by row and column; its row and column are then out.  A rival is
+    another cell still in that costs at most ``tolerance`` more.
+    """
+    count, n, m = costs.shape
+    left = np.minimum(costs, np.finfo(float).max)
+    taken, tied = np.empty((count, min(n, m)), np.int64), np.zeros(count, bool)
+    each = np.arange(count)
+    for step in range(min(n, m)):
+        flat = left.reshape(count, n * m)
+        cell = flat.argmin(1)
+        taken[:, step] = cell
+        tied |= (flat <= flat[each, cell, None] + tolerance).sum(1) > 1
+        left[each, cell // m, :] = np.inf
+        left[each, :, cell % m] = np.inf
+    return taken, tied
+
+
+def best_cells(costs: np.ndarray) -> np.ndarray:
+    """The cells of a least-cost assignment in the order of their rows; -1 where there is none of finite cost."""
+    count, n, m = costs.shape
+    if n <= m:
+        columns = best_columns(costs)
+        return np.where(columns < 0, -1, np.arange(n) * m + columns)
+    rows = best_columns(costs.transpose(0, 2, 1))
+    return np.sort(np.where(rows < 0, -1, rows * m + np.arange(m)), axis=1)
+
+
 def least_cost(cost: Matrix) -> list[tuple[int, int]]:
-    """An assignment of least total cost (shortest augmenting paths with potentials), rows in order."""
-    n, m = len(cost), len(cost[0]) if cost else 0
-    if not n or not m:
+    """An assignment of least total cost, rows in order."""
+    if not cost or not cost[0]:
         return []
-    if n > m:
-        return sorted((i, j) for j, i in least_cost([list(col) for col in zip(*cost)]))
-    u, v, owner = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
-    for i in range(1, n + 1):
-        owner[0], at = i, 0
-        gap, back, done = [_INF] * (m + 1), [0] * (m + 1), [False] * (m + 1)
-        while owner[at]:
-            done[at] = True
-            row, best, to = owner[at], _INF, 0
-            for j in range(1, m + 1):
-                if not done[j]:
-                    reduced = cost[row - 1][j - 1] - u[row] - v[j]
-                    if reduced < gap[j]:
-                        gap[j], back[j] = reduced, at
-                    if gap[j] < best:
-                        best, to = gap[j], j
-            if best == _INF:
-                raise ValueError("no assignment has a finite cost")
-            for j in range(m + 1):
-                if done[j]:
-                    u[owner[j]] += best
-                    v[j] -= best
-                else:
-                    gap[j] -= best
-            at = to
-        while at:
-            owner[at], at = owner[back[at]], back[at]
-    return sorted((owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j])
+    cells = best_cells(np.array([cost], float))[0].tolist()
+    if cells[0] < 0:
+        raise ValueError("no assignment has a finite cost")
+    return [divmod(c, len(cost[0])) for c in cells]
 
 
 def greedy(cost: Matrix) -> list[tuple[int, int]]:
-    """Cells in the order of cost, row and column, each taken if its row and column are still free."""
-    rows, cols, out = set(), set(), []
-    for _, i, j in sorted((c, i, j) for i, row in enumerate(cost) for j, c in enumerate(row)):
-        if i not in rows and j not in cols:
-            rows.add(i)
-            cols.add(j)
-            out.append((i, j))
-    return out
+    """The cells of the greedy choice in its order."""
+    if not cost or not cost[0]:
+        return []
+    return [divmod(c, len(cost[0])) for c in greedy_cells(np.array([cost], float))[0][0].tolist()]
+
+
+def stacks(cost: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the matrices of each shape in an array of lists of lists, and their stack.
+
+    Null and empty matrices, those whose rows differ in length and those with a null or NaN cost are left out.
+    """
+    if isinstance(cost, pa.ChunkedArray):
+        cost = cost.combine_chunks()
+    n = pc.fill_null(pc.list_value_length(cost), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = cost.flatten()
+    width = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = rows.flatten().to_numpy(zero_copy_only=False).astype(float)
+    some = np.flatnonzero(n)
+    if not len(some):
+        return
+    first = np.cumsum(n) - n
+    least, most = np.minimum.reduceat(width, first[some]), np.maximum.reduceat(width, first[some])
+    even = (least == most) & (least > 0)
+    some, m = some[even], least[even]
+    start = (np.cumsum(width) - width)[first[some]]
+    shape = np.stack([n[some], m])
+    for k in np.unique(shape, axis=1).T:
+        of = np.flatnonzero((shape == k[:, None]).all(0))
+        stack = values[start[of][:, None] + np.arange(k[0] * k[1])].reshape(-1, *k)
+        sound = ~np.isnan(stack).any((1, 2))
+        if sound.any():
+            yield some[of[sound]], stack[sound]
 
 
 def soft_dice(cost: Matrix, pairs: list[tuple[int, int]]) -> float:
@@ -80,18 +166,38 @@ MATCHED = T.StructType(
 )
 
 
-@F.pandas_udf(MATCHED)
-def match(cost: pd.Series) -> pd.DataFrame:
-    """Both assignments of a cost matrix and the distances under them; null for a null or empty matrix."""
-    out = []
-    for c in cost:
-        m = None if c is None else [list(map(float, row)) for row in c]
-        if not m or not m[0]:
-            out.append((None, None, None, None))
-            continue
-        best, quick = least_cost(m), greedy(m)
-        out.append((soft_dice(m, best), soft_dice(m, quick), *([{"i": i, "j": j} for i, j in p] for p in (best, quick))))
-    return pd.DataFrame(out, columns=[f.name for f in MATCHED.fields])
+def _lists(count: int, found: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.Array:
+    """Lists of pairs from (places, cells, columns) of each shape; null for a place that none has."""
+    size = np.zeros(count, np.int64)
+    for at, cells, _ in found:
+        size[at] = cells.shape[1]
+    upto = np.concatenate([[0], np.cumsum(size)])
+    i, j = np.empty(upto[-1], np.int32), np.empty(upto[-1], np.int32)
+    for at, cells, m in found:
+        to = upto[at][:, None] + np.arange(cells.shape[1])
+        i[to], j[to] = np.divmod(cells, m)
+    pairs = pa.StructArray.from_arrays([pa.array(i), pa.array(j)], ["i", "j"])
+    return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pairs, mask=pa.array(size == 0))
+
+
+@F.arrow_udf(MATCHED)
+def match(cost: pa.Array) -> pa.Array:
+    """Both assignments of a cost matrix and the distances under them; null for a null, empty, uneven or NaN matrix and
+    one that no assignment covers at a finite cost."""
+    count = len(cost)
+    distance = [np.full(count, np.nan), np.full(count, np.nan)]
+    found: tuple[list, list] = ([], [])
+    for at, stack in stacks(cost):
+        b, n, m = stack.shape
+        best = best_cells(stack)
+        finite = best[:, 0] >= 0
+        at, stack, best = at[finite], stack[finite], best[finite]
+        for k, cells in enumerate((best, greedy_cells(stack)[0])):
+            value = np.take_along_axis(stack.reshape(len(stack), n * m), cells, 1)
+            distance[k][at] = 1.0 - 2.0 * (1.0 - value).sum(1) / (n + m)
+            found[k].append((at, cells, m))
+    sides = [pa.array(d, mask=np.isnan(d)) for d in distance] + [_lists(count, f) for f in found]
+    return pa.StructArray.from_arrays(sides, [f.name for f in MATCHED.fields])
 
 
 def under(cost: Column, pairs: Column) -> Column:

@@ -1,6 +1,8 @@
+import itertools
 import random
 from itertools import permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,20 +75,74 @@ def test_registry():
     assert len(measures.MEASURES) == 27
 
 
+def decisive(cost):
+    return bool(ablation.decisive(np.array([cost], float))[0])
+
+
 def test_decisive():
-    assert ablation.decisive([[0.1, 0.9], [0.8, 0.2]])
-    assert not ablation.decisive([[0.5, 0.5], [0.5, 0.5]])
-    assert not ablation.decisive([[0.1, 0.1], [0.9, 0.2]])
-    assert ablation.decisive([[0.3]]) and ablation.decisive([[0.1, 0.5, 0.9]])
+    assert decisive([[0.1, 0.9], [0.8, 0.2]])
+    assert not decisive([[0.5, 0.5], [0.5, 0.5]])
+    assert not decisive([[0.1, 0.1], [0.9, 0.2]])
+    assert decisive([[0.3]]) and decisive([[0.1, 0.5, 0.9]]) and decisive([[0.1], [0.5]])
+    assert not decisive([[0.2, 0.9], [0.2, 0.8]]) and decisive([[0.2, 0.9], [0.3, 0.8]])
+
+
+def second_best(cost):
+    """How much worse the next assignment is, by trying all of them."""
+    wide = cost if len(cost) <= len(cost[0]) else [list(c) for c in zip(*cost)]
+    totals = sorted(sum(wide[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(len(wide[0])), len(wide)))
+    return totals[1] - totals[0] if len(totals) > 1 else float("inf")
+
+
+def has_rival(cost):
+    free = {(i, j): x for i, row in enumerate(cost) for j, x in enumerate(row)}
+    for i, j in greedy(cost):
+        if any(x <= free[i, j] + ablation.TOLERANCE for at, x in free.items() if at != (i, j)):
+            return True
+        free = {at: x for at, x in free.items() if at[0] != i and at[1] != j}
+    return False
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (1, 4), (2, 2), (3, 3), (3, 5), (4, 2), (5, 4), (5, 5)])
+def test_margins_against_all_assignments(shape):
+    rng = random.Random(5)
+    costs = [[[rng.choice([0.1, 0.25, 0.4, rng.random()]) for _ in range(shape[1])] for _ in range(shape[0])] for _ in range(60)]
+    want = [second_best(c) > ablation.TOLERANCE and not has_rival(c) for c in costs]
+    assert ablation.decisive(np.array(costs)).tolist() == want
+
+
+def test_stacked_assignments_against_all():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (2, 5), (5, 2), (4, 4), (5, 6)):
+        stack = np.where(rng.random((200, n, m)) < 0.4, 0.5, rng.random((200, n, m)) - 0.2)
+        best = matching.best_cells(stack)
+        for c, cells in zip(stack.tolist(), best.tolist()):
+            assert sum(c[x // m][x % m] for x in cells) == pytest.approx(brute(c)) and cells == sorted(cells)
+            assert len({x // m for x in cells}) == len({x % m for x in cells}) == min(n, m)
 
 
 def test_decisive_matrices_do_not_hang_on_order():
-    rng = random.Random(3)
-    for _ in range(40):
-        c = [[rng.random() for _ in range(4)] for _ in range(3)]
-        if ablation.decisive(c):
-            truth = {(0, 0), (1, 2)}
-            assert len({ablation.recalls(c, truth, r, k) for r, k in ablation.layouts(3, 4, 10, 1)}) == 1
+    rng = np.random.default_rng(3)
+    stack = rng.random((80, 3, 4))
+    stack = stack[ablation.decisive(stack)]
+    true = rng.random((len(stack), 12)) < 0.3
+    for found in ablation.hits(stack, true, np.arange(len(stack)), 12):
+        assert (found == found[:, :1]).all()
+
+
+def test_layouts_are_permutations():
+    order = ablation.layouts(np.arange(50) - 25, 30, 4)
+    assert (np.sort(order, 2) == np.arange(4)).all() and (order[:, 0] == np.arange(4)).all()
+    assert len({tuple(o) for o in order[:, 1:].reshape(-1, 4).tolist()}) == 24
+
+
+def test_stacks_leave_out_what_is_no_matrix():
+    import pyarrow as pa
+
+    cost = pa.array([None, [], [[]], [[0.1, 0.2], [0.3]], [[1.0]], [[0.1, 0.2]], [None], [[None]], [[float("nan")]], [[3.0]]], pa.list_(pa.list_(pa.float64())))
+    got = {tuple(at.tolist()): stack.tolist() for at, stack in matching.stacks(cost)}
+    assert got == {(4, 9): [[[1.0]], [[3.0]]], (5,): [[[0.1, 0.2]]]}
+    assert {tuple(at.tolist()) for at, _ in matching.stacks(cost.slice(4, 2))} == {(0,), (1,)}
 
 
 def test_ablation(spark):
