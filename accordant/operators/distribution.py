@@ -200,13 +200,13 @@ def ranked_globally(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
 
     Rows are sorted in ranges; the ranges' sizes, one number each, give their first ranks.
     """
-    ranges = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()), "ranges")
-    ranges = ranges.withColumn("range", F.shiftrightunsigned("id", 33))
-    sizes = sorted((r["range"], r["n"]) for r in ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect())
+    ranges = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ranges")
+    ranges = ranges.withColumn("_range", F.shiftrightunsigned("_id", 33))
+    sizes = sorted((r["_range"], r["n"]) for r in ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())
     firsts, total = [], 0
     for number, n in sizes:
         firsts.append((number, total))
         total += n
-    base = df.sparkSession.createDataFrame(firsts, "range long, base long")
-    low = F.col("id") - F.shiftleft("range", 33)
-    return ranges.join(F.broadcast(base), "range").withColumn("rank", F.col("base") + low).drop("id", "range", "base"), total
+    base = df.sparkSession.createDataFrame(firsts, "_range long, _base long")  # a row per range
+    low = F.col("_id") - F.shiftleft("_range", 33)
+    return ranges.join(F.broadcast(base), "_range").withColumn("rank", F.col("_base") + low).drop("_id", "_range", "_base"), total

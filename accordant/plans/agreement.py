@@ -448,39 +448,30 @@ FROM meddra_llt JOIN f USING (pt_code) WHERE llt_currency = 'Y' AND llt_name <>
 SEEDS, SAMPLES = list(range(52, 82)), 100
 
 
-def _by_taxonomy(spark: SparkSession, where: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What ``run`` makes of the concepts with synonyms of each taxonomy, with the taxonomy."""
-    concepts = _concepts(spark, where).filter("size(synonyms) > 0")
-    names = sorted(r["taxonomy"] for r in concepts.select("taxonomy").distinct().collect())
-    return reduce(DataFrame.unionByName, [run(concepts.filter(F.col("taxonomy") == t)).withColumn("taxonomy", F.lit(t)) for t in names])
+def _with_synonyms(spark: SparkSession, where: str) -> DataFrame:
+    return written(_concepts(spark, where).filter("size(synonyms) > 0"), "concepts")
 
 
 def populations(spark: SparkSession, where: str) -> DataFrame:
     """Thirty seeded populations of sets of each taxonomy's concepts with siblings as negatives, and their true assignments."""
-
-    def run(concepts: DataFrame) -> DataFrame:
-        made = synthetic.populations(concepts, SEEDS, samples=SAMPLES, negatives=neighbours.sibling_index(concepts))
-        return made.withColumn("truth", synthetic.true_assignment(F.col("rater_a_concepts"), F.col("rater_b_concepts"))).select(
-            "seed", "agreement_level", "sample_index", F.size("rater_a").alias("a_size"), F.size("rater_b").alias("b_size"), F.size("truth").alias("n_true")
-        )
-
-    return _by_taxonomy(spark, where, run)
+    concepts = _with_synonyms(spark, where)
+    made = synthetic.populations(concepts, SEEDS, samples=SAMPLES, negatives=neighbours.sibling_index(concepts), by=["taxonomy"])
+    return made.withColumn("truth", synthetic.true_assignment(F.col("rater_a_concepts"), F.col("rater_b_concepts"))).select(
+        "taxonomy", "seed", "agreement_level", "sample_index", F.size("rater_a").alias("a_size"), F.size("rater_b").alias("b_size"), F.size("truth").alias("n_true")
+    )
 
 
 def synthetic_results(spark: SparkSession, where: str) -> DataFrame:
     """Errors of two measures on thirty seeded populations of each taxonomy's concepts."""
-    made = _by_taxonomy(spark, where, lambda concepts: synthetic.populations(concepts, SEEDS, samples=SAMPLES))
+    made = synthetic.populations(_with_synonyms(spark, where), SEEDS, samples=SAMPLES, by=["taxonomy"])
     out = experiments.synthetic_results(made, [measures.MEASURES["levenshtein"], measures.MEASURES["bipartite_levenshtein"]], group=["taxonomy", "seed"])
     return out.select("taxonomy", "seed", "measure", "matching", *[c for k in experiments.COEFFICIENTS for c in (k, f"true_{k}", f"mae_{k}")])
 
 
 def synthetic_predictions(spark: SparkSession, where: str) -> DataFrame:
-    def run(concepts: DataFrame) -> DataFrame:
-        made = synthetic.populations(concepts, SEEDS, samples=SAMPLES)
-        out = experiments.predictions(made, measures.MEASURES["bipartite_levenshtein"])
-        return out.select("seed", "sample_index", "true_match", "distance", "distance_greedy", "distance_true", F.size("confident").alias("n_confident"))
-
-    return _by_taxonomy(spark, where, run)
+    made = synthetic.populations(_with_synonyms(spark, where), SEEDS, samples=SAMPLES, by=["taxonomy"])
+    out = experiments.predictions(made, measures.MEASURES["bipartite_levenshtein"], group=["taxonomy", "seed"])
+    return out.select("taxonomy", "seed", "sample_index", "true_match", "distance", "distance_greedy", "distance_true", F.size("confident").alias("n_confident"))
 
 
 def real_results(spark: SparkSession, where: str) -> DataFrame:

@@ -53,12 +53,12 @@ def errors(results: DataFrame, coefficients: list[str]) -> DataFrame:
     return long.select("measure", "seed", "x.*")
 
 
-def predictions(made: DataFrame, measure: Measure) -> DataFrame:
-    """seed, agreement_level, sample_index, sets, distance and, for a matching measure, cost, both assignments, the
+def predictions(made: DataFrame, measure: Measure, group: list[str] | None = None) -> DataFrame:
+    """The columns of a population (``group``, seed if not given), agreement_level, sample_index, sets, distance and, for a matching measure, cost, both assignments, the
     distances under the greedy and the true assignment, and whether the sets are the same concepts."""
     a, b = F.col("rater_a"), F.col("rater_b")
     base = made.select(
-        "seed", "agreement_level", "sample_index", "rater_a", "rater_b", F.size("rater_a").alias("rater_a_set_size"), F.size("rater_b").alias("rater_b_set_size"),
+        *(group or ["seed"]), "agreement_level", "sample_index", "rater_a", "rater_b", F.size("rater_a").alias("rater_a_set_size"), F.size("rater_b").alias("rater_b_set_size"),
         (label_set(F.col("rater_a_concepts")) == label_set(F.col("rater_b_concepts"))).alias("true_match"),
         synthetic.true_assignment(F.col("rater_a_concepts"), F.col("rater_b_concepts")).alias("true_assignment"),
     )

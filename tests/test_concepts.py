@@ -101,8 +101,34 @@ def test_true_assignment(spark):
     assert [tuple(p) for p in got[0]] == [(0, 0), (2, 1)] and got[1] == [] and got[2] is None
 
 
-def test_shared_counts_are_unbiased():
-    rng = random.Random(1)
+def test_shared_counts_are_unbiased(spark):
+    draws = spark.range(4000).select(synthetic.uniform("test", "id").alias("u"))
     for level in (0.1, 0.5, 0.83):
-        counts = [synthetic.shared_count(level, 4, 5, rng) for _ in range(4000)]
-        assert sum(k / (9 - k) for k in counts) / 4000 == pytest.approx(level if level < 0.8 else 0.8, abs=0.02)
+        k = synthetic.shared_count(F.lit(level), F.lit(4), F.lit(5), F.col("u"))
+        mean = draws.select(F.avg(k / (9 - k))).first()[0]
+        assert mean == pytest.approx(level if level < 0.8 else 0.8, abs=0.02)
+
+
+def test_samples_have_different_concepts_evenly(spark):
+    out = synthetic.populations(pool(spark, 7), [5], samples=2000, least=3, most=3)
+    assert out.filter(F.size(F.array_distinct("rater_a_concepts")) < 3).count() == 0
+    first = [r["count"] for r in out.groupBy(F.get("rater_a_concepts", 0)).count().collect()]
+    assert len(first) == 7 and min(first) > 220 and max(first) < 350
+    assert out.filter(F.size(F.array_distinct("rater_b_concepts")) < F.size("rater_b_concepts")).count() == 0
+    words = out.select(F.explode(F.arrays_zip("rater_b", "rater_b_concepts")).alias("x"))
+    assert words.filter(F.substring("x.rater_b", 2, 9) != F.substring("x.rater_b_concepts", 6, 9)).count() == 0
+
+
+def test_pools_apart(spark):
+    c = pool(spark, 12).withColumn("kind", F.when(F.col("ord") < 5, "x").otherwise("y"))
+    out = synthetic.populations(c, [1, 2], samples=20, by=["kind"])
+    assert {(r["kind"], r["seed"]): r["count"] for r in out.groupBy("kind", "seed").count().collect()} == {(k, s): 20 for k in "xy" for s in (1, 2)}
+    terms = {k: set() for k in "xy"}
+    for r in out.collect():
+        terms[r["kind"]] |= set(r["rater_a_concepts"]) | set(r["rater_b_concepts"])
+    assert terms["x"] == {f"term {i}" for i in range(5)} and terms["y"] == {f"term {i}" for i in range(5, 12)}
+
+
+def test_an_exhausted_pool_repeats(spark):
+    out = synthetic.populations(pool(spark, 2), [1], samples=50, least=2, most=5)
+    assert out.count() == 50 and out.filter("size(rater_a) <> 2 or size(rater_b) < 2").count() == 0
