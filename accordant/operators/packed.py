@@ -1,68 +1,86 @@
 """Several values packed in one field: infer the delimiters, split, explode with position.
 
-Delimiters are inferred, not given.  Every candidate is scored on all rows of a field:
-
-* piece type regularity: a true delimiter joins values freely, so the piece on its left says little about the piece on
-  its right.  A character that belongs to a value (``salt & pepper``, ``flat-topped``) always stands between the same
-  two pieces.  The score is one minus the mutual information of hashed neighbour pieces over the smaller entropy, from
-  an 8 x 8 table of counts, which stays the same size whatever the input.
-* piece-count consistency: per source, the share of the rows with the candidate in which it cuts off no empty
-  inner piece, i.e. the number of pieces is the number of delimiters plus one.
-* piece counts of the field: a true delimiter makes lists of any length, a joint within words nearly always cuts a
-  field in two.  The score is the share of rows with three pieces or more over ``LONG_SHARE``, at most one.
-
-Few rows prove little, so both are blended with a prior (common separators 1, other marks 0) that counts as many rows
-as ``PRIOR_ROWS``.  A source uses the candidates whose product of the scores reaches ``THRESHOLD``.
+Delimiters are inferred for each source of a field, from all its rows and no list of what is usual.  A field is cut at
+every candidate; a candidate is scored on the pieces at its two sides:
+
+* piece-count consistency: the share of the rows with the candidate in which it cuts off no empty inner piece, i.e.
+  the number of pieces is the number of delimiters plus one; and the counts themselves: a delimiter makes lists of
+  any length, or cuts most rows of its source in the same way.  A joint within some words (``scar-like``) cuts few
+  rows, and these in two.  The share of rows with three pieces or more counts over ``LONG_SHARE``, that of all rows
+  over ``COVERED_SHARE``, the larger of the two, at most one.
+* piece type regularity: values of a list are of one kind, so the types of the pieces before a delimiter (how many
+  words, with numbers or not, with marks or not) are as frequent behind it.  The mark of ``grade 2+ oedema`` always has
+  a number before it and a word behind.  The score is the overlap of the two tables of types.
+* freedom of the neighbours: a delimiter joins values freely, so the piece before says little about the piece behind.
+  The comma of values like ``plaque, thick`` always stands between the same two pieces.  With the chances that two
+  occurrences agree in the piece before (a), in the piece behind (b) and in both (c), the score is
+  1 - (c - ab) / (max(a, b) - ab): 1 where both are independent, 0 where each piece fixes the other.  These chances
+  have unbiased estimates however few the rows are; pieces are compared by a hash.
+
+The score is consistency times the geometric mean of the two others.  A source with few rows borrows from the whole
+field: its own score counts as many rows as it has, that of the field ``POOLED_ROWS``, and a field with hardly any
+rows is near the neutral threshold itself.  A source uses the candidates that reach ``THRESHOLD``.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accordant.storage import written
 
-#: Candidates: name, pattern, prior.
-CANDIDATES: list[tuple[str, str, float]] = [
-    (",", r",", 1.0),
-    (";", r";", 1.0),
-    ("|", r"\|", 1.0),
-    ("->", r"->", 1.0),
-    (">", r"(?<!-)>", 1.0),
-    (" / ", r"(?<=\s)/(?=\s|$)|^/(?=\s)", 1.0),
-    ("newline", r"[\n\r]+", 1.0),
-    ("tab", r"\t", 1.0),
-    ("»", r"»", 1.0),
-    ("，", r"，", 1.0),
-    ("；", r"；", 1.0),
-    ("、", r"、", 1.0),
-    ("&", r"&", 0.0),
-    ("+", r"\+", 0.0),
-    (":", r":", 0.0),
-    ("-", r"-(?!>)", 0.0),
+#: Candidates: name and pattern.
+CANDIDATES: list[tuple[str, str]] = [
+    (",", r","),
+    (";", r";"),
+    ("|", r"\|"),
+    ("->", r"->"),
+    (">", r"(?<!-)>"),
+    (" / ", r"(?<=\s)/(?=\s|$)|^/(?=\s)"),
+    ("newline", r"[\n\r]+"),
+    ("tab", r"\t"),
+    ("»", r"»"),
+    ("，", r"，"),
+    ("；", r"；"),
+    ("、", r"、"),
+    ("&", r"&"),
+    ("+", r"\+"),
+    (":", r":"),
+    ("-", r"-(?!>)"),
+    ("~", r"~"),
+    ("•", r"•"),
 ]
-PRIOR_ROWS = 50
-THRESHOLD = 0.5
-LONG_SHARE = 0.15
-CELLS = 8
+POOLED_ROWS = 40
+NEUTRAL, NEUTRAL_ROWS = 0.6, 4
+THRESHOLD = 0.6
+LONG_SHARE, COVERED_SHARE = 0.15, 0.5
+CELLS, TYPES = 128, 12
+#: A mark with so many occurrences beside the same piece stands within a value.
+CONSTANT = 0.75
 _NAMES = [c[0] for c in CANDIDATES]
-_STANDARD = tuple(c[0] for c in CANDIDATES if c[2] == 1.0)
+_NUMBER = {n: i for i, n in enumerate(_NAMES)}
+_ALL = tuple(_NAMES)
+_WRITTEN = {"/": " / ", "\t": "tab"}
+#: White space of any kind, for patterns that the JVM runs.
+_SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 
 
 @lru_cache(maxsize=512)
 def _scanner(delimiters: tuple[str, ...]) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-    some = "|".join(f"(?:{p})" for n, p, _ in CANDIDATES if n in delimiters) or r"(?!)"
-    after = "|".join(f"(?:{p})" for n, p, _ in CANDIDATES if n in delimiters and n != " / ") or r"(?!)"
+    some = "|".join(f"(?:{p})" for n, p in CANDIDATES if n in delimiters) or r"(?!)"
+    after = "|".join(f"(?:{p})" for n, p in CANDIDATES if n in delimiters and n != " / ") or r"(?!)"
     slash = r"|\s+/(?:\s|$)" if " / " in delimiters else ""
-    return re.compile(some), re.compile(rf"[\"'(]|{some}"), re.compile(rf"\s*(?:{after}|$){slash}")
+    return re.compile(f"({some})"), re.compile(rf"[\"'(]|{some}"), re.compile(rf"\s*(?:{after}|$){slash}")
 
 
 def _quote_end(text: str, start: int, after: re.Pattern) -> int:
@@ -93,8 +111,11 @@ def _paren_end(text: str, start: int) -> int:
     return -1
 
 
-def raw_pieces(text: str, delimiters: tuple[str, ...]) -> list[str]:
-    """Pieces as written, empty ones too; nothing is cut within quotes that enclose a piece or within parentheses."""
+def cut(text: str, delimiters: tuple[str, ...]) -> list[str]:
+    """Pieces as written, empty ones too, and between each two the delimiter that cut them apart.
+
+    Nothing is cut within quotes that enclose a piece or within parentheses.
+    """
     plain, tokens, after = _scanner(delimiters)
     if not ('"' in text or "'" in text or "(" in text):
         return plain.split(text)
@@ -109,7 +130,7 @@ def raw_pieces(text: str, delimiters: tuple[str, ...]) -> list[str]:
             dead = dead or end < 0
             pos = end if end > 0 else m.end()
         else:
-            out.append(text[start : m.start()])
+            out += [text[start : m.start()], c]
             start = pos = m.end()
     out.append(text[start:])
     return out
@@ -135,110 +156,166 @@ def unbracket(text: str) -> str:
     return text[1:-1] if len(text) > 1 and text[0] == "[" and text[-1] == "]" else text
 
 
-def split_values(text: str | None, delimiters: tuple[str, ...] = _STANDARD) -> list[str]:
+def split_values(text: str | None, delimiters: tuple[str, ...]) -> list[str]:
     """The non-empty values of one field, in order; null and blank give none."""
     if text is None or not text.strip():
         return []
-    return [v for p in raw_pieces(unbracket(text), delimiters) if (v := unwrap(p))]
+    return [v for p in cut(unbracket(text), delimiters)[::2] if (v := unwrap(p))]
 
 
-def _counts(fields: list[str]):
-    everything = tuple(_NAMES)
+# --- scores of candidates
+
+_WORDS = re.compile(r"\S+")
+
+
+@lru_cache(maxsize=200_000)
+def _code(piece: str) -> tuple[int, int]:
+    """Content class and type of a piece."""
+    piece = unwrap(piece).casefold()
+    n_words = min(len(_WORDS.findall(piece)), 3) - 1
+    kind = (n_words * 2 + any(c.isdigit() for c in piece)) * 2 + any(not c.isalnum() and not c.isspace() for c in piece)
+    return zlib.crc32(piece.encode("utf-8", "replace")) % CELLS, kind
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Per batch and source: rows with each candidate, sound rows, and the table of neighbouring pieces."""
-        for pdf in batches:
-            got: dict[tuple[str, str, str], list] = {}
+
+_COUNTED = pa.schema([("field", pa.string()), ("source", pa.string()), ("name", pa.int32()), ("code", pa.int32()), ("n", pa.int64())])
+#: Codes of a candidate's counts: rows with it, sound rows, rows of three pieces or more, then types on the left and on
+#: the right, then pairs of content classes.
+_ROWS, _SOUND, _LONG, _LEFT = 0, 1, 2, 3
+_RIGHT, _PAIRS = _LEFT + TYPES, _LEFT + 2 * TYPES
+#: The number, in place of a candidate's, under which all rows of a source are counted.
+_FILLED = len(_NAMES)
+
+
+def _counts(fields: list[str]):
+    size = _PAIRS + CELLS * CELLS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per batch, source and candidate: rows, sound rows, and how often each two types of pieces are neighbours."""
+        for batch in batches:
+            sources: dict[str, int] = {}
+            at = [sources.setdefault(s, len(sources)) for s in batch.column("source").to_pylist()]
+            names = list(sources)
             for field in fields:
-                for source, text in zip(pdf["source"], pdf[field]):
-                    if text is None or not isinstance(text, str) or not (text := unbracket(text)).strip():
+                found: list[int] = []
+                for source, text in zip(at, batch.column(field).to_pylist()):
+                    if text is None or not (text := unbracket(text)).strip():
+                        continue
+                    base = source * (_FILLED + 1)
+                    found.append((base + _FILLED) * size + _ROWS)
+                    parts = cut(text, _ALL)
+                    if len(parts) < 3:
                         continue
-                    finest = None
-                    for name, _, _ in CANDIDATES:
-                        if name.strip() not in text and name not in ("newline", "tab"):
-                            continue
-                        pieces = [p.strip().casefold() for p in raw_pieces(text, (name,))]
-                        if len(pieces) < 2:
-                            continue
-                        cell = got.setdefault((field, source, name), [0, 0, 0, np.zeros(CELLS * CELLS, np.int64)])
-                        cell[0] += 1
-                        cell[1] += all(pieces[1:-1])
-                        cell[2] += len(pieces) > 2
-                        # neighbours: the last finest piece on the left, the first on the right
-                        finest = finest or everything
-                        # a pair counts once a row, and a value next to itself says nothing
-                        for a, b in {(a, b) for a, b in zip(pieces, pieces[1:]) if a and b and a != b}:
-                            left = raw_pieces(a, finest)[-1].strip()
-                            right = raw_pieces(b, finest)[0].strip()
-                            cell[3][_cell(left) * CELLS + _cell(right)] += 1
-            if got:
-                yield pd.DataFrame(
-                    [(f, s, n, c[0], c[1], c[2], c[3].tolist()) for (f, s, n), c in got.items()],
-                    columns=["field", "source", "name", "rows", "sound", "long", "cells"],
-                )
+                    pieces = [p.strip() for p in parts[::2]]
+                    # a pair counts once a row, and a value next to itself says nothing
+                    pairs, broken, seen = set(), set(), {}
+                    last = len(pieces) - 1
+                    for i, mark in enumerate(parts[1::2]):
+                        name = _NUMBER[_WRITTEN.get(mark) or (mark if mark in _NUMBER else "newline")]
+                        seen[name] = seen.get(name, 0) + 1
+                        a, b = pieces[i], pieces[i + 1]
+                        if a and b:
+                            if a != b:
+                                pairs.add((name, *_code(a), *_code(b)))
+                        elif (not a and i > 0) or (not b and i + 1 < last):
+                            broken.add(name)
+                    for name, times in seen.items():
+                        found.append((base + name) * size + _ROWS)
+                        if times > 1:
+                            found.append((base + name) * size + _LONG)
+                        if name not in broken:
+                            found.append((base + name) * size + _SOUND)
+                    for name, x, left, y, right in pairs:
+                        code = (base + name) * size
+                        found += (code + _LEFT + left, code + _RIGHT + right, code + _PAIRS + x * CELLS + y)
+                if found:
+                    key, n = np.unique(np.array(found, np.int64), return_counts=True)
+                    key, code = np.divmod(key, size)
+                    source, name = np.divmod(key, _FILLED + 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([field] * len(key)), pa.array([names[s] for s in source]), pa.array(name, pa.int32()), pa.array(code, pa.int32()), pa.array(n)], schema=_COUNTED
+                    )
 
     return run
 
 
-@lru_cache(maxsize=100_000)
-def _cell(piece: str) -> int:
-    import zlib
+def regularity(left: np.ndarray, right: np.ndarray) -> float:
+    """How much the tables of types on both sides overlap, from 0 to 1."""
+    if not left.sum():
+        return NEUTRAL
+    return float(np.minimum(left / left.sum(), right / right.sum()).sum())
+
 
-    return zlib.crc32(unwrap(piece).encode("utf-8", "replace")) % CELLS
+def freedom(pairs: np.ndarray) -> float:
+    """How little two neighbours say about each other, from 0 to 1: from a square table of content classes."""
+    n = pairs.sum()
+    if n < 2:
+        return NEUTRAL
+    agree = lambda t: float((t * (t - 1)).sum() / (n * (n - 1)))
+    a, b, both = agree(pairs.sum(1)), agree(pairs.sum(0)), agree(pairs)
+    if max(a, b) > CONSTANT:
+        return 0.0
+    if max(a, b) == 0.0:  # no piece came twice
+        return NEUTRAL
+    return min(max(1.0 - (both - a * b) / (max(a, b) - a * b), 0.0), 1.0)
 
 
-def regularity(cells: np.ndarray, prior: float, rows: float) -> float:
-    """One minus the predictability of a piece from its neighbour, blended with the prior."""
-    n = cells.sum()
-    rows = min(rows, n)
-    t = cells.reshape(CELLS, CELLS) / max(n, 1)
-    a, b = t.sum(1), t.sum(0)
-    entropy = lambda p: float(-(p[p > 0] * np.log(p[p > 0])).sum())
-    least = min(entropy(a), entropy(b))
-    shared = entropy(a) + entropy(b) - entropy(t.ravel())
-    # a mark that only ever stands between the same two pieces is part of a value
-    free = 0.0 if least < 0.15 else max(0.0, 1.0 - max(0.0, shared - (CELLS - 1) ** 2 / (2 * max(n, 1))) / least)
-    return (rows * free + PRIOR_ROWS * prior) / (rows + PRIOR_ROWS)
+def score(code: np.ndarray, n: np.ndarray, filled: int) -> tuple[int, float]:
+    """Rows with a candidate and its score, from its counts by code and the number of all rows."""
+    rows, sound, long = (int(n[code == k].sum()) for k in (_ROWS, _SOUND, _LONG))
+    counts = np.bincount(code, n, _PAIRS + CELLS * CELLS)
+    left, right, table = counts[_LEFT:_RIGHT], counts[_RIGHT:_PAIRS], counts[_PAIRS:].reshape(CELLS, CELLS)
+    lists = (long + NEUTRAL_ROWS * LONG_SHARE) / (rows + NEUTRAL_ROWS) / LONG_SHARE
+    consistent = sound / max(rows, 1) * min(1.0, max(lists, rows / max(filled, 1) / COVERED_SHARE))
+    return rows, consistent * (regularity(left, right) * freedom(table)) ** 0.5
+
+
+def _scores(pdf: pd.DataFrame) -> dict[str, tuple[int, float]]:
+    name, code, n = (pdf[c].to_numpy() for c in ("name", "code", "n"))
+    filled = int(n[name == _FILLED].sum())
+    return {_NAMES[k]: score(code[name == k], n[name == k], filled) for k in np.unique(name) if k != _FILLED}
 
 
 def infer_delimiters(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """``rows`` has ``source`` and the fields.  Gives field, source, delimiters (array of names) and the scores.
+    """``rows`` has ``source`` and the fields.  Gives field, source, delimiters (sorted names), scores (map) and ``pattern``,
+    the delimiters as one regular expression with the white space around them.  A candidate that does not occur in a
+    source is not listed there.
 
-    All rows are counted.  Only the table of candidates by field (fixed size) comes to the driver.
+    All rows are counted.  Sources without a text are not listed.  Only the scores of the candidates by field (a fixed
+    number) come to the driver.
     """
-    spark = rows.sparkSession
-    counted = rows.select("source", *fields).mapInPandas(
-        _counts(fields), "field string, source string, name string, rows long, sound long, long long, cells array<long>"
-    )
-    sums = [F.sum(F.col("cells")[i]).alias(f"c{i}") for i in range(CELLS * CELLS)]
-    by_source = counted.groupBy("field", "source", "name").agg(F.sum("rows").alias("rows"), F.sum("sound").alias("sound"), F.sum("long").alias("long"), *sums)
-    by_source = written(by_source, "delimiters")
-    by_field = by_source.groupBy("field", "name").agg(F.sum("rows").alias("rows"), F.sum("long").alias("long"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(CELLS * CELLS)]).collect()
-    prior = {n: p for n, _, p in CANDIDATES}
-    free = {(f, n): p for f in fields for n, p in prior.items()}
-    for r in by_field:
-        p = prior[r["name"]]
-        lists = min(1.0, (r["long"] + p * PRIOR_ROWS) / (LONG_SHARE * (r["rows"] + PRIOR_ROWS)))
-        free[r["field"], r["name"]] = lists * regularity(np.array([r[f"c{i}"] for i in range(CELLS * CELLS)], float), p, r["rows"])
-    scores = spark.createDataFrame([(f, n, float(x), prior[n]) for (f, n), x in free.items()], "field string, name string, regular double, prior double")
-    sources = by_source.select("field", "source").distinct()
-    return (
-        sources.join(scores, "field")
-        .join(by_source.select("field", "source", "name", "rows", "sound"), ["field", "source", "name"], "left")
-        .withColumn("consistent", (F.coalesce("sound", F.lit(0)) + PRIOR_ROWS) / (F.coalesce("rows", F.lit(0)) + PRIOR_ROWS))
-        .withColumn("score", F.col("regular") * F.col("consistent"))
-        .groupBy("field", "source")
-        .agg(
-            F.sort_array(F.collect_list(F.when(F.col("score") >= THRESHOLD, F.col("name")))).alias("delimiters"),
-            F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "score")))).alias("scores"),
-        )
-    )
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _split(text: pd.Series, delimiters: pd.Series) -> pd.Series:
-    standard = list(_STANDARD)
-    return pd.Series([split_values(t, tuple(standard if d is None else d)) for t, d in zip(text, delimiters)])
+    counted = rows.select("source", *fields).mapInArrow(_counts(fields), "field string, source string, name int, code int, n long")
+    by_source = written(counted.groupBy("field", "source", "name", "code").agg(F.sum("n").alias("n")), "delimiters")
+    by_field = by_source.groupBy("field", "name", "code").agg(F.sum("n").alias("n"))
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [(pdf["field"].iloc[0], name, (rows * x + NEUTRAL_ROWS * NEUTRAL) / (rows + NEUTRAL_ROWS)) for name, (rows, x) in _scores(pdf).items()]
+        return pd.DataFrame(out, columns=["field", "name", "score"])
+
+    pooled: dict[str, dict[str, float]] = {f: {} for f in fields}
+    for r in by_field.groupBy("field").applyInPandas(whole, "field string, name string, score double").collect():
+        pooled[r["field"]][r["name"]] = r["score"]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        field, own = pdf["field"].iloc[0], _scores(pdf)
+        mixed = {}
+        for name, (n, mine) in sorted(own.items()):
+            mixed[name] = (n * mine + POOLED_ROWS * pooled[field][name]) / (n + POOLED_ROWS)
+        names = [name for name, x in mixed.items() if x >= THRESHOLD]
+        return pd.DataFrame({"field": [field], "source": [pdf["source"].iloc[0]], "delimiters": [names], "scores": [mixed], "pattern": [jvm_pattern(names)]})
+
+    return by_source.groupBy("field", "source").applyInPandas(one, "field string, source string, delimiters array<string>, scores map<string,double>, pattern string")
+
+
+def jvm_pattern(delimiters: list[str]) -> str:
+    """Any of the delimiters with the white space around it."""
+    some = "|".join(f"(?:{p})" for n, p in CANDIDATES if n in delimiters).replace(r"\s", _SPACE)
+    return f"{_SPACE}*(?:{some}){_SPACE}*" if some else "(?!)"
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _split(text: pa.Array, delimiters: pa.Array) -> pa.Array:
+    out = [None if t is None else split_values(t, tuple(d or ())) for t, d in zip(text.to_pylist(), delimiters.to_pylist())]
+    return pa.array(out, pa.list_(pa.string()))
 
 
 _split = _split.asNondeterministic()  # a filter on the values must not split twice
@@ -249,24 +326,34 @@ def source_of(path: Column) -> Column:
     return F.when(path.contains("/"), F.substring_index(path, "/", 1)).otherwise(F.lit(""))
 
 
+def values(text: Column, delimiters: Column, pattern: Column) -> Column:
+    """The values of a field; fields without quotes and parentheses, most of them, don't leave the JVM."""
+    plain = ~text.rlike("[\"'(]")
+    bare = F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
+    inner = F.when(bare.startswith("[") & bare.endswith("]") & (F.length(bare) > 1), F.regexp_replace(bare, f"^\\[{_SPACE}*|{_SPACE}*\\]$", "")).otherwise(bare)
+    pieces = F.filter(F.split(inner, pattern), lambda p: p != "")
+    return F.coalesce(_split(F.when(~plain, text), delimiters), pieces)
+
+
 def unpack(df: DataFrame, key: str, fields: list[str], source: Column, nothing: dict[str, str] | None = None) -> DataFrame:
     """One row for each value: the key, ``field_name``, ``pos`` (from 1 over non-empty values) and ``val``.
 
     Null and blank fields give no row, nor does a field whose only value is ``nothing[field]`` in any case.  Repeated
     rows and repeated values are kept.  Quotes that never close and parentheses that never close are ordinary
-    characters.  A field of a source that was never seen with a delimiter uses the common separators.  Other columns
-    of ``df``, whatever their names, are not touched.
+    characters.  Of a source with no text nothing is cut.  Other columns of ``df``, whatever their
+    names, are not touched.
     """
     rows = df.select(F.col(key).alias("key"), F.coalesce(source, F.lit("")).alias("source"), *fields)
     # written, so that its size is known: where it is small the rows are not shuffled to meet it
-    found = written(infer_delimiters(rows, fields).select("field", "source", "delimiters"), "sources")
+    found = written(infer_delimiters(rows, fields).select("field", "source", "delimiters", "pattern"), "sources")
     long = rows.select(
         "key", "source", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x")
     ).select("key", "source", "x.field", "x.text")
     long = long.filter(F.col("text").isNotNull() & (F.trim("text") != ""))
-    values = long.join(found, ["field", "source"], "left").select("key", "field", _split("text", "delimiters").alias("vals"))
+    vals = values(F.col("text"), F.col("delimiters"), F.coalesce("pattern", F.lit("(?!)")))
+    split = long.join(found, ["field", "source"], "left").select("key", "field", vals.alias("vals"))
     for field, word in (nothing or {}).items():
-        values = values.filter(~((F.col("field") == field) & (F.size("vals") == 1) & (F.lower(F.get("vals", 0)) == word)))
-    return values.select(
+        split = split.filter(~((F.col("field") == field) & (F.size("vals") == 1) & (F.lower(F.get("vals", 0)) == word)))
+    return split.select(
         F.col("key").alias(key), F.col("field").alias("field_name"), F.posexplode("vals").alias("pos", "val")
     ).withColumn("pos", F.col("pos") + 1)
