@@ -1,24 +1,26 @@
 """Parent-child links of unknown depth: paths, depths, roots, descendants and cycles.
 
-Nodes get numbers in the order of a sort key that keeps relatives together; the high bits of a number are its range.
-Both algorithms below go up and down the same tower of groups of ranges:
-
-* ``forest``: each node has one parent.  Every group builds a disjoint-set forest over its own links, weighted by the
-  steps (and the codes) between a node and its set's root.  A set's root is a true root, a cycle, or a node of another
-  group.  Only nodes that other groups point to go up, as one link each from node to set root; the next level merges
-  the forests of ``FAN`` groups in the same way, and the results come down by one join per level.
-* ``cycles``: nodes may have several parents, whose directed cycles a disjoint set can't tell from diamonds.  Every
-  group condenses its links to strongly connected components by a traversal of an index of parents and sends up, for
-  each node other groups point to, the foreign nodes it reaches.  On the way down a group marks the nodes that lie
-  between an entry and an exit of the same component.
-
-No group holds more than ``NODES_PER_RANGE`` nodes at the lowest level, whatever the size of a tree or the number of
-children of one node, since links are grouped by child.
+Links are merged in a disjoint-set forest whose offsets are heights: a parent is one step above its child, so every
+node has a height over the root of its set.  A link within a set that agrees with the heights of its ends changes
+nothing; one that doesn't is a ring of unequal sides, and every directed cycle has such a link, since its steps all go
+up and yet come back.
+
+* Over first parents only (one link a node), a set is a tree, whose root is its one node without a parent and whose
+  depths are the differences of heights, or it holds a cycle.
+* Over all links, cycles can only be in sets with a link that disagrees.  Their links are told apart by strongly
+  connected components, set by set, since a disagreeing link may as well close a diamond.
+
+A forest is built in three steps.  Each range of nodes merges its own links (``_merged``).  Only nodes that several
+ranges met go on, each as a link to its local root.  What is left is merged at once if it is at most ``LINKS_AT_ONCE``
+links, and else contracted by rounds: every node points to its smallest neighbour, pointers are followed by doubling,
+and the stars become nodes.  So no task ever holds more than a range or ``LINKS_AT_ONCE`` links, whatever the shape.
+
+Paths are built along the index of parents by doubling: in each round a node's known stretch gets that of the node it
+ends at, so a path of n steps takes log2(n) rounds and no task holds more than single paths.
 """
 
 from __future__ import annotations
 
-
 from functools import reduce
 
 import numpy as np
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from accordant.storage import written
 
 NODES_PER_RANGE = 100_000
-FAN = 16
+#: Links that one task merges or searches.
+LINKS_AT_ONCE = 300_000
 SHIFT = 33  # bits of monotonically_increasing_id below the partition's number
 
 
@@ -42,77 +45,116 @@ def numbered(nodes: DataFrame, sort_key: list[Column], rows: int | None = None)
     return written(spread, "nodes"), ranges
 
 
-def _group(c: str, width: int) -> Column:
-    return F.floor(F.shiftright(c, SHIFT) / F.lit(width)).cast("int")
-
-
-# --- one parent each
-
-
-def _forest(table: pa.Table) -> pa.Table:
-    """Links u -> p (null: a root) with the codes ``seg`` on the way; each u's set root, or a cycle."""
-    u = table.column("u").to_pylist()
-    p = table.column("p").to_pylist()
-    seg = table.column("seg").to_pylist()
-    at = dict(zip(u, range(len(u))))
-    top: list[int | None] = [None] * len(u)
-    codes: list[list[str] | None] = [None] * len(u)
-    state = bytearray(len(u))  # 0 new, 1 on the way, 2 done, 3 leads into a cycle
-    for i in range(len(u)):
-        chain, j = [], i
-        while state[j] == 0:
-            state[j] = 1
-            chain.append(j)
-            up = p[j]
-            if up is None or up not in at:
-                top[j], codes[j], state[j] = up, seg[j], 2
-                break
-            j = at[up]
-        bad = state[j] in (1, 3)
-        for k in reversed(chain):
-            if state[k] == 2:
-                continue
-            if bad:
-                state[k] = 3
-            else:
-                parent = at[p[k]]
-                top[k], codes[k], state[k] = top[parent], codes[parent] + seg[k], 2
-    return pa.table(
-        {
-            "u": pa.array(u, pa.int64()),
-            "top": pa.array(top, pa.int64()),
-            "seg": pa.array(codes, pa.list_(pa.string())),
-            "cyclic": pa.array([s == 3 for s in state], pa.bool_()),
-        }
+# --- the weighted disjoint-set forest
+
+
+class Sets:
+    """Disjoint sets of 0 .. n - 1 with the height of each element over the root of its set."""
+
+    def __init__(self, n: int):
+        self.up, self.over, self.size = list(range(n)), [0] * n, [1] * n
+        self.odd = [False] * n  # of a root: its set has a link that disagrees
+
+    def find(self, x: int) -> tuple[int, int]:
+        """The root of x and the height of x over it; the way there is shortened."""
+        up, over = self.up, self.over
+        way = []
+        while up[x] != x:
+            way.append(x)
+            x = up[x]
+        height = 0
+        for y in reversed(way):
+            height += over[y]
+            up[y], over[y] = x, height
+        return x, height
+
+    def link(self, a: int, b: int, step: int) -> None:
+        """b is ``step`` higher than a."""
+        (x, h), (y, k) = self.find(a), self.find(b)
+        if x == y:
+            if k - h != step:
+                self.odd[x] = True
+            return
+        # y is h + step - k higher than x
+        gap = h + step - k
+        if self.size[x] < self.size[y]:
+            x, y, gap = y, x, -gap
+        self.up[y], self.over[y] = x, gap
+        self.size[x] += self.size[y]
+        self.odd[x] = self.odd[x] or self.odd[y]
+
+
+_SETS = "x long, root long, height long, odd boolean"
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """Each node of the links u -> p, its set's root, its height over the root and whether the set has an odd link."""
+    u, p, step = (table.column(c).to_numpy() for c in ("u", "p", "step"))
+    nodes, at = np.unique(np.concatenate([u, p]), return_inverse=True)
+    sets = Sets(len(nodes))
+    for a, b, w in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), step.tolist()):
+        sets.link(a, b, w)
+    found = [sets.find(i) for i in range(len(nodes))]
+    root = np.fromiter((r for r, _ in found), np.int64, len(found))
+    return pa.table({"x": nodes, "root": nodes[root], "height": np.fromiter((h for _, h in found), np.int64, len(found)), "odd": np.array(sets.odd, bool)[root]})
+
+
+def _composed(lower: DataFrame, upper: DataFrame) -> DataFrame:
+    """Sets whose roots ``upper`` merged further; a root that ``upper`` doesn't know stays."""
+    above = upper.select(F.col("x").alias("root"), F.col("root").alias("top"), F.col("height").alias("more"), F.col("odd").alias("odd_above"))
+    return lower.join(above, "root", "left").select(
+        "x", F.coalesce("top", "root").alias("root"), (F.col("height") + F.coalesce("more", F.lit(0))).alias("height"), (F.col("odd") | F.coalesce("odd_above", F.lit(False))).alias("odd")
     )
 
 
-_FOREST = "u long, top long, seg array<string>, cyclic boolean"
+def forest(links: DataFrame, ranges: int) -> DataFrame:
+    """x, root, height, odd of every node of the links u -> p (p is a step higher); a node may come several times.
 
-
-def forest(links: DataFrame, ranges: int, width: int = 1) -> DataFrame:
-    """``links``: u, p (null for a root), seg (codes from below p to u).  Gives u, seg (from the root), cyclic.
-
-    ``seg`` is null and ``cyclic`` true for a node whose way up enters a cycle.
+    All rows of a set have the same root; ``odd`` is true in at least one of its rows if some link of it disagrees with
+    the heights, and the heights of such a set mean nothing.
     """
-    own = links.withColumn("g", _group("u", width))
-    local = written(own.groupBy("g").applyInArrow(lambda t: _forest(t.select(["u", "p", "seg"])), _FOREST), "forest")
-    if ranges <= width:
-        return local.select("u", "seg", "cyclic")
-    entries = own.filter(F.col("p").isNotNull() & (_group("p", width) != F.col("g"))).select(F.col("p").alias("u")).distinct()
-    up = local.join(entries, "u", "left_semi").filter("not cyclic").select("u", F.col("top").alias("p"), "seg")
-    above = forest(written(up, "links"), ranges, width * FAN).select(
-        F.col("u").alias("top"), F.col("seg").alias("over"), F.col("cyclic").alias("lost")
-    )
-    # a top that did not come back was cyclic in its own group
-    done = local.filter("top is null").select("u", "seg", "cyclic")
-    rest = local.filter("top is not null").join(above, "top", "left")
-    return done.unionByName(
-        rest.select("u", F.concat("over", "seg").alias("seg"), (F.col("over").isNull()).alias("cyclic"))
+    own = links.select("u", "p", F.lit(1).cast("long").alias("step"), F.shiftright("u", SHIFT).alias("g"))
+    local = written(own.groupBy("g").applyInArrow(lambda t: _merged(t), _SETS), "forest")
+    if ranges <= 1:
+        return local
+    met = local.groupBy("x").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("x")
+    left = local.filter("x <> root").join(met, "x", "left_semi").select(F.col("root").alias("u"), F.col("x").alias("p"), F.col("height").alias("step"))
+    return _composed(local, _contracted(written(left, "links")))
+
+
+def _contracted(links: DataFrame, turn: int = 0) -> DataFrame:
+    """The forest of links u -> p with any steps, at once or after a round of stars."""
+    if links.count() <= LINKS_AT_ONCE:
+        return written(links.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(lambda t: _merged(t), _SETS), "merged")
+    both = links.filter("u <> p").select(F.col("u").alias("x"), F.col("p").alias("y"), (-F.col("step")).alias("w")).unionByName(
+        links.filter("u <> p").select(F.col("p").alias("x"), F.col("u").alias("y"), F.col("step").alias("w"))
     )
-
-
-# --- any number of parents
+    # numbers mixed anew each round: no order of theirs makes a round idle
+    rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c), c)
+    pick = both.filter(rank(F.col("y")) < rank(F.col("x"))).groupBy("x").agg(F.min_by(F.struct(F.col("y").alias("root"), F.col("w").alias("height")), rank(F.col("y"))).alias("s"))
+    stars = written(pick.select("x", "s.root", "s.height"), "stars")
+    while True:  # pointers by doubling
+        far = stars.select(F.col("x").alias("root"), F.col("root").alias("top"), F.col("height").alias("more"))
+        jumped = stars.join(far, "root", "left")
+        moved = written(jumped.select("x", F.coalesce("top", "root").alias("root"), (F.col("height") + F.coalesce("more", F.lit(0))).alias("height"), F.col("top").isNotNull().alias("moved")), "stars")
+        stars = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            break
+
+    def end(df: DataFrame, c: str) -> DataFrame:
+        at = stars.select(F.col("x").alias(c), F.col("root").alias(f"{c}_root"), F.col("height").alias(f"{c}_height"))
+        met = df.join(at, c, "left")
+        return met.withColumn(f"{c}_root", F.coalesce(f"{c}_root", c)).withColumn(f"{c}_height", F.coalesce(f"{c}_height", F.lit(0)))
+
+    turned = end(end(links, "u"), "p").select(F.col("u_root").alias("u"), F.col("p_root").alias("p"), (F.col("u_height") + F.col("step") - F.col("p_height")).alias("step"))
+    turned = written(turned.distinct().filter("u <> p or step <> 0"), "links")
+    above = _contracted(turned, turn + 1)
+    every = stars.unionByName(stars.select(F.col("root").alias("x"), "root", F.lit(0).cast("long").alias("height")).distinct()).withColumn("odd", F.lit(False))
+    alone = above.join(every.select("x"), "x", "left_anti")
+    return _composed(every, above).unionByName(alone)
+
+
+# --- strongly connected components
 
 
 def _index(u: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +165,7 @@ def _index(u: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return nodes, np.searchsorted(a[order], np.arange(len(nodes) + 1)), b[order]
 
 
-def components(first: np.ndarray, parents: np.ndarray) -> np.ndarray:
+def strong(first: np.ndarray, parents: np.ndarray) -> np.ndarray:
     """Strongly connected components, numbered so that parents' components come first (or are the same)."""
     n = len(first) - 1
     first, parents = first.tolist(), parents.tolist()
@@ -162,93 +204,81 @@ def components(first: np.ndarray, parents: np.ndarray) -> np.ndarray:
     return np.array(comp, np.int64)
 
 
-def _edges(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int], dict[int, int]]:
-    """Own links, entries (nodes that other groups point to) and the labels of foreign parents and entries."""
-    kind = table.column("entry").to_numpy(zero_copy_only=False).astype(bool)
-    u, p = table.column("u").to_numpy(zero_copy_only=False), table.column("p").to_numpy(zero_copy_only=False)
-    label = {a: b for a, b in zip(table.column("p").to_pylist(), table.column("label").to_pylist()) if b is not None}
-    return u[~kind], p[~kind], p[kind].tolist(), label
-
-
-def _reach(width: int):
-    def run(table: pa.Table) -> pa.Table:
-        """For each entry the foreign nodes that it reaches."""
-        u, p, entries, _ = _edges(table)
-        g = table.column("g")[0].as_py()
-        nodes, first, parents = _index(u, p)
-        comp = components(first, parents)
-        foreign = (nodes >> SHIFT) // width != g
-        at = {x: i for i, x in enumerate(nodes.tolist())}
-        exits: list[frozenset] = [frozenset()] * (int(comp.max()) + 1 if len(comp) else 0)
-        for v in np.argsort(comp, kind="stable").tolist():
-            c = comp[v]
-            if foreign[v]:
-                exits[c] = frozenset((int(nodes[v]),))
-                continue
-            for w in parents[first[v] : first[v + 1]].tolist():
-                more = exits[comp[w]]
-                if comp[w] != c and not more <= exits[c]:
-                    exits[c] = exits[c] | more if exits[c] else more
-        found = [(b, x) for b in entries if b in at for x in exits[comp[at[b]]]]
-        return pa.table({"u": pa.array([b for b, _ in found], pa.int64()), "p": pa.array([x for _, x in found], pa.int64())})
-
-    return run
+def _strong_labels(table: pa.Table) -> pa.Table:
+    """The nodes on cycles of the links u -> p with the smallest node of their component."""
+    u, p = table.column("u").to_numpy(), table.column("p").to_numpy()
+    nodes, first, parents = _index(u, p)
+    comp = strong(first, parents)
+    size = np.bincount(comp)
+    loops = np.zeros(len(size), bool)
+    loops[comp[np.searchsorted(nodes, u[u == p])]] = True
+    smallest = np.full(len(size), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, comp, nodes)
+    on = (size[comp] > 1) | loops[comp]
+    return pa.table({"u": nodes[on], "label": smallest[comp[on]]})
+
+
+def _trimmed(links: DataFrame) -> DataFrame:
+    """The links that are left when nodes without a way in or without a way out go, again and again."""
+    n = links.count()
+    while True:
+        links = written(links.join(links.select(F.col("p").alias("u")).distinct(), "u", "left_semi").join(links.select(F.col("u").alias("p")).distinct(), "p", "left_semi"), "core")
+        left = links.count()
+        if left == n:
+            return links
+        n = left
+
+
+def _strong_by_rounds(links: DataFrame) -> DataFrame:
+    """u and label of the nodes on cycles, by rounds of joins: for one set of more links than a task may hold.
+
+    Every node takes the largest number that reaches it; a node that keeps its own is a head, and what reaches a head
+    among the nodes that took its number is the head's component.  It goes, and the rest begins again.
+    """
+    found = []
+    links = _trimmed(links)
+    while not links.isEmpty():
+        colour = written(links.select("u").distinct().withColumn("c", F.col("u")), "colour")
+        while True:
+            # a node's colour goes up its links
+            sent = links.join(colour, "u").groupBy(F.col("p").alias("u")).agg(F.max("c").alias("new"))
+            step = written(colour.join(sent, "u", "left").select("u", F.greatest("c", F.coalesce("new", "c")).alias("c"), (F.coalesce("new", "c") > F.col("c")).alias("moved")), "colour")
+            colour = step.drop("moved")
+            if step.filter("moved").isEmpty():
+                break
+        same = links.join(colour, "u").join(colour.select(F.col("u").alias("p"), F.col("c").alias("cp")), "p").filter("c = cp").select("u", "p", "c")
+        same = written(same, "same")
+        inside = fresh = written(colour.filter("u = c"), "inside")
+        while True:  # against the links, from the heads down
+            fresh = written(same.join(fresh.select(F.col("u").alias("p")), "p").select("u", "c").distinct().join(inside, ["u", "c"], "left_anti"), "inside")
+            if fresh.isEmpty():
+                break
+            inside = written(inside.unionByName(fresh), "inside")
+        found.append(inside.select("u", F.col("c").alias("label")))
+        links = _trimmed(written(links.join(inside.select("u"), "u", "left_anti").join(inside.select(F.col("u").alias("p")), "p", "left_anti"), "links"))
+    every = reduce(DataFrame.unionByName, found) if found else links.select("u", F.col("p").alias("label"))
+    first = every.groupBy("label").agg(F.min("u").alias("first"), F.count(F.lit(1)).alias("n"))
+    return every.join(first, "label").select("u", F.col("first").alias("label"))
 
 
-def _label(table: pa.Table) -> pa.Table:
-    """The nodes on cycles with the label of their component: one given from above, else the smallest number."""
-    u, p, entries, label = _edges(table)
-    nodes, first, parents = _index(u, p)
-    comp = components(first, parents)
-    out: dict[int, int] = {}
-    at = {x: i for i, x in enumerate(nodes.tolist())}
-    if label:
-        children: dict[int, list[int]] = {}
-        for a, b in zip(np.searchsorted(nodes, u).tolist(), np.searchsorted(nodes, p).tolist()):
-            children.setdefault(b, []).append(a)
-        inside = set(entries)
-        for s in set(label.values()):
-            above, todo = set(), [at[b] for b in entries if label.get(b) == s and b in at]
-            while todo:
-                v = todo.pop()
-                if v not in above:
-                    above.add(v)
-                    todo.extend(parents[first[v] : first[v + 1]].tolist())
-            back, todo = set(), [at[x] for x, y in label.items() if y == s and x not in inside and x in at and at[x] in above]
-            while todo:
-                v = todo.pop()
-                if v not in back:
-                    back.add(v)
-                    todo.extend(w for w in children.get(v, ()) if w in above)
-            out |= {int(nodes[v]): s for v in back}
-            out |= {b: s for b in entries if label.get(b) == s}
-    sizes = np.bincount(comp) if len(comp) else np.zeros(0, np.int64)
-    loops = set(comp[np.searchsorted(nodes, u[u == p])].tolist())
-    smallest: dict[int, int] = {}
-    for v in np.flatnonzero(sizes[comp] > 1).tolist() if len(comp) else []:
-        smallest.setdefault(int(comp[v]), int(nodes[v]))
-    for v in np.flatnonzero((sizes[comp] > 1) | np.isin(comp, list(loops))).tolist() if len(comp) else []:
-        out.setdefault(int(nodes[v]), smallest.get(int(comp[v]), int(nodes[v])))
-    own = set(u.tolist())
-    rows = [(a, b) for a, b in out.items() if a in own]
-    return pa.table({"u": pa.array([a for a, _ in rows], pa.int64()), "label": pa.array([b for _, b in rows], pa.int64())})
-
-
-def cycles(edges: DataFrame, ranges: int, width: int = 1) -> DataFrame:
+def cycles(edges: DataFrame, ranges: int) -> DataFrame:
     """``edges``: u, p.  Gives the nodes u that reach themselves, with a label that their component shares."""
-    own = edges.withColumn("g", _group("u", width))
-    if ranges <= width:
-        rows = own.select("g", "u", "p", F.lit(False).alias("entry"), F.lit(None).cast("long").alias("label"))
-        return written(rows.groupBy("g").applyInArrow(_label, "u long, label long"), "cyclic")
-    crossing = own.filter(_group("p", width) != F.col("g"))
-    entries = crossing.select(_group("p", width).alias("g"), "p").distinct().select("g", F.col("p").alias("u"), "p", F.lit(True).alias("entry"))
-    rows = own.select("g", "u", "p", F.lit(False).alias("entry")).unionByName(entries)
-    up = rows.withColumn("label", F.lit(None).cast("long")).groupBy("g").applyInArrow(_reach(width), "u long, p long")
-    above = cycles(written(up, "reach"), ranges, width * FAN)
-    labelled = rows.join(above.select(F.col("u").alias("p"), "label"), "p", "left")
-    # labels of parents in the same group are no entries or exits
-    labelled = labelled.withColumn("label", F.when(F.col("entry") | (_group("p", width) != F.col("g")), F.col("label")))
-    return written(labelled.groupBy("g").applyInArrow(_label, "u long, label long"), "cyclic")
+    sets = forest(edges, ranges)
+    odd = written(sets.filter("odd").select("root").distinct(), "odd")
+    empty = edges.select("u", F.col("p").alias("label")).filter("false")
+    if odd.isEmpty():
+        return empty
+    member = sets.join(odd, "root", "left_semi").groupBy("x").agg(F.first("root").alias("root"))
+    links = written(edges.join(member.withColumnRenamed("x", "u"), "u").select("root", "u", "p"), "odd_links")
+    sizes = links.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    large = [r["root"] for r in sizes.filter(F.col("n") > LINKS_AT_ONCE).collect()]  # at most all links over LINKS_AT_ONCE
+    total = sizes.filter(F.col("n") <= LINKS_AT_ONCE).agg(F.sum("n")).first()[0] or 0
+    bins = max(1, -(-2 * total // LINKS_AT_ONCE))
+    small = links.filter(~F.col("root").isin(large)) if large else links
+    packed = small.withColumn("g", F.pmod(F.xxhash64("root"), F.lit(bins)))
+    parts = [written(packed.groupBy("g").applyInArrow(lambda t: _strong_labels(t), "u long, label long"), "cyclic")]
+    parts += [_strong_by_rounds(links.filter(F.col("root") == root).select("u", "p")) for root in large]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- records with lists of parent keys
@@ -288,20 +318,41 @@ class Hierarchy:
         smallest = named.groupBy("label").agg(F.min("code").alias("cycle_code"))
         return named.join(smallest, "label").select("group", "cycle_code", "code")
 
-    def _climbed(self, step: Column) -> DataFrame:
-        """u, seg (``step`` of each node from the root down to u; null on or below a cycle) over first parents."""
+    def places(self) -> DataFrame:
+        """u, p (the first parent, null for a root), depth and root (its number) of every node, over first parents.
+
+        The depth is -1 and the root null for a node on or below a cycle.  A set of n nodes is a tree if it has n - 1
+        links, i.e. one node without a parent, and else holds a cycle.
+        """
         first = self.edges.filter("u <> p").groupBy("u").agg(F.min_by("p", F.struct("place", "p")).alias("p"))
-        links = self.nodes.select(F.col("id").alias("u"), F.array(step).alias("seg")).join(first, "u", "left")
-        return forest(written(links.select("u", "p", "seg"), "links"), self.ranges)
+        links = written(self.nodes.select(F.col("id").alias("u")).join(first, "u", "left"), "links")
+        sets = forest(links.filter("p is not null"), self.ranges).groupBy("x").agg(F.first("root").alias("set"), F.first("height").alias("height"))
+        placed = written(links.join(sets.withColumnRenamed("x", "u"), "u", "left").select("u", "p", F.coalesce("set", "u").alias("set"), F.coalesce("height", F.lit(0)).alias("height")), "placed")
+        tops = placed.filter("p is null").select("set", F.col("u").alias("root"), F.col("height").alias("top"))
+        depth = F.coalesce(F.col("top") - F.col("height"), F.lit(-1)).cast("int")
+        return written(placed.join(tops, "set", "left").select("u", "p", depth.alias("depth"), "root"), "places")
+
+    def _climbed(self, step: Column) -> DataFrame:
+        """u, depth, root and seg: ``step`` of each node from the root down to u, null on or below a cycle."""
+        places = self.places()
+        named = self.nodes.select(F.col("id").alias("u"), F.array(step).alias("seg"))
+        most = places.agg(F.max("depth")).first()[0] or 0
+        # the stretch of each node begins just below ``p``, the node that the next round goes on from
+        known = written(places.join(named, "u"), "stretches")
+        for _ in range(int(most).bit_length()):
+            over = known.filter("depth >= 0").select(F.col("u").alias("p"), F.col("p").alias("next"), F.col("seg").alias("above"))
+            open_ = known.filter("depth >= 0 and p is not null").join(over, "p").select("u", F.col("next").alias("p"), "depth", "root", F.concat("above", "seg").alias("seg"))
+            known = written(known.filter("depth < 0 or p is null").unionByName(open_.select(known.columns)), "stretches")
+        return known.select("u", "depth", "root", F.when(F.col("depth") >= 0, F.col("seg")).alias("seg"))
 
     def paths(self) -> DataFrame:
         """group, code, path (codes from the root), depth (0 for a root), root; all null for a node on or below a cycle.
 
         The way up takes the first parent in the list that is a record other than the node itself.
         """
-        up = self._climbed(F.col("code"))
-        return self.nodes.select(F.col("id").alias("u"), "group", "code").join(up, "u", "left").select(
-            "group", "code", F.col("seg").alias("path"), (F.size("seg") - 1).alias("depth"), F.get("seg", 0).alias("root")
+        up = self._climbed(F.col("code")).select("u", "depth", "seg")
+        return self.nodes.select(F.col("id").alias("u"), "group", "code").join(up, "u").select(
+            "group", "code", F.col("seg").alias("path"), F.when(F.col("depth") >= 0, F.col("depth")).alias("depth"), F.get("seg", 0).alias("root")
         )
 
     def descendants(self) -> DataFrame:
@@ -311,10 +362,10 @@ class Hierarchy:
         or below cycles) are jumps: climb a path, take one such link.  Pairs grow by one jump a round until none is
         new, so the rounds are as many as a way has jumps, not as it has steps.
         """
-        up = self._climbed(F.col("id").cast("string")).filter("seg is not null")
-        tree = written(up.select(F.explode(F.transform("seg", lambda x: x.cast("long"))).alias("a"), F.col("u").alias("d")), "tree")
+        up = self._climbed(F.col("id")).filter("seg is not null")
+        tree = written(up.select(F.explode("seg").alias("a"), F.col("u").alias("d")), "tree")
         tree = written(tree.unionByName(self.nodes.select(F.col("id").alias("a"), F.col("id").alias("d"))).distinct(), "pairs")
-        first = up.select(F.col("u"), F.get("seg", F.size("seg") - 2).cast("long").alias("p"))
+        first = up.select(F.col("u"), F.get("seg", F.size("seg") - 2).alias("p"))
         other = self.edges.select("u", "p").filter("u <> p").join(first, ["u", "p"], "left_anti")
         jumps = written(tree.join(other.withColumnRenamed("u", "a"), "a").select("d", F.col("p").alias("q")).distinct(), "jumps")
         found, fresh = [tree], tree

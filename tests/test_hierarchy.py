@@ -56,18 +56,18 @@ def strong(edges, nodes):
     return {(min(v for v in reach[u] if u in reach[v]), u) for u in nodes if u in reach[u]}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_many_ranges_against_brute_force(spark, monkeypatch, seed):
-    monkeypatch.setattr(hierarchy, "NODES_PER_RANGE", 7)
-    monkeypatch.setattr(hierarchy, "FAN", 3)
+@pytest.mark.parametrize(("seed", "at_once"), [(0, 10_000), (1, 10_000), (2, 30)])
+def test_many_ranges_against_brute_force(spark, monkeypatch, seed, at_once):
+    monkeypatch.setattr(hierarchy, "NODES_PER_RANGE", 7 if at_once > 100 else 20)
+    monkeypatch.setattr(hierarchy, "LINKS_AT_ONCE", at_once)
     rng = random.Random(seed)
-    n = 120
+    n = 120 if at_once > 100 else 60
     names = [f"N{i:03d}" for i in range(n)]
     parents = {names[i]: [names[j] for j in ([rng.randrange(i)] if i else []) + ([rng.randrange(n)] if rng.random() < 0.08 else [])] for i in range(n)}
     order = names[:]
     rng.shuffle(order)
     h = build(spark, [("g", c, None, parents[c]) for c in order])
-    assert h.ranges > hierarchy.FAN**2
+    assert h.ranges > 2
     assert {(r["cycle_code"], r["code"]) for r in h.cycles().collect()} == strong(parents, names)
     reach = {u: set() for u in names}
     for u in names:
@@ -94,3 +94,43 @@ def test_chain_and_star(spark):
     assert h.cycles().count() == 0
     top = h.paths().agg(F.max("depth").alias("d"), F.count(F.lit(1)).alias("n")).first()
     assert (top["d"], top["n"]) == (2999, 6001)
+
+
+def test_heights_and_odd_links():
+    sets = hierarchy.Sets(6)
+    for a, b in ((0, 1), (1, 2), (3, 2), (0, 4), (4, 2)):
+        sets.link(a, b, 1)
+    heights = [sets.find(i)[1] for i in range(5)]
+    assert [h - heights[0] for h in heights] == [0, 1, 2, 1, 1] and not sets.odd[sets.find(0)[0]]
+    sets.link(2, 0, 1)  # closes a cycle
+    sets.link(5, 3, 1)
+    assert sets.odd[sets.find(5)[0]]
+
+
+def test_no_cycles_without_the_forest(spark, monkeypatch):
+    h = build(spark, [("m", "A", None, ["B"]), ("m", "B", None, ["A"])])
+    assert h.cycles().count() == 2
+    monkeypatch.setattr(hierarchy, "forest", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        h.cycles()
+
+
+def test_a_group_is_never_above_its_bound(spark, monkeypatch):
+    """Random codes with two parents each: what is left after the ranges is contracted by rounds until it fits."""
+    monkeypatch.setattr(hierarchy, "NODES_PER_RANGE", 300)
+    monkeypatch.setattr(hierarchy, "LINKS_AT_ONCE", 700)
+    rng = random.Random(1)
+    number = [((i // 300) << hierarchy.SHIFT) + i % 300 for i in range(1500)]
+    rows = [(number[i], number[rng.randrange(i)]) for i in range(1, 1500) for _ in range(2)]
+    seen, contracted = [], hierarchy._contracted
+    monkeypatch.setattr(hierarchy, "_contracted", lambda links, turn=0: (seen.append(links.count()), contracted(links, turn))[1])
+    got = hierarchy.forest(spark.createDataFrame(rows, "u long, p long"), 5).select("x", "root").distinct().collect()
+    assert len({r["root"] for r in got}) == 1 and {r["x"] for r in got} == set(number)
+    assert len(seen) > 1 and seen[0] > 700 >= seen[-1]
+
+
+def test_a_long_chain_has_no_odd_link(spark, monkeypatch):
+    n = 100_000
+    chain = spark.range(1, n).select(F.col("id").alias("u"), (F.col("id") - 1).alias("p"))
+    sets = hierarchy.forest(chain, 1)
+    assert sets.agg(F.max("height") - F.min("height")).first()[0] == n - 1 and sets.filter("odd").isEmpty()
