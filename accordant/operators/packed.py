@@ -73,6 +73,7 @@ _ALL = tuple(_NAMES)
 _WRITTEN = {"/": " / ", "\t": "tab"}
 #: White space of any kind, for patterns that the JVM runs.
 _SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+_SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 @lru_cache(maxsize=512)
@@ -307,9 +308,10 @@ def infer_delimiters(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def jvm_pattern(delimiters: list[str]) -> str:
-    """Any of the delimiters with the white space around it."""
-    some = "|".join(f"(?:{p})" for n, p in CANDIDATES if n in delimiters).replace(r"\s", _SPACE)
-    return f"{_SPACE}*(?:{some}){_SPACE}*" if some else "(?!)"
+    """Any of the delimiters, those of one character as a class."""
+    single = "".join(re.escape(n) for n in delimiters if len(n) == 1 and n not in ">-")
+    some = [f"(?:{p})" for n, p in CANDIDATES if n in delimiters and (len(n) > 1 or n in ">-")]
+    return "|".join([*([f"[{single}]"] if single else []), *some]).replace(r"\s", _SPACE) or "(?!)"
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -328,10 +330,11 @@ def source_of(path: Column) -> Column:
 
 def values(text: Column, delimiters: Column, pattern: Column) -> Column:
     """The values of a field; fields without quotes and parentheses, most of them, don't leave the JVM."""
-    plain = ~text.rlike("[\"'(]")
-    bare = F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
-    inner = F.when(bare.startswith("[") & bare.endswith("]") & (F.length(bare) > 1), F.regexp_replace(bare, f"^\\[{_SPACE}*|{_SPACE}*\\]$", "")).otherwise(bare)
-    pieces = F.filter(F.split(inner, pattern), lambda p: p != "")
+    plain = ~text.rlike("[\"'(\x01]")
+    bare = lambda c: F.btrim(c, F.lit(_SPACES))
+    inner = F.when(bare(text).startswith("[") & bare(text).endswith("]") & (F.length(bare(text)) > 1), F.regexp_replace(bare(text), r"^\[|\]$", "")).otherwise(bare(text))
+    # a compiled pattern is kept as long as rows have the same one, which split alone doesn't do
+    pieces = F.filter(F.transform(F.split(F.regexp_replace(inner, pattern, F.lit("\x01")), "\x01"), bare), lambda p: p != "")
     return F.coalesce(_split(F.when(~plain, text), delimiters), pieces)
 
 
