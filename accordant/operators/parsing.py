@@ -11,6 +11,10 @@ The grammar is parsed by recursive descent, one method per rule:
 An error is recorded with its place and the parser goes on at the next place where a record can start: the beginning
 of a line that fits the feed's anchor pattern and from which a record with the right number of fields parses.  So one
 broken quote costs the record it stands in, not the rest of the file.
+
+``parse_lines`` takes each row as one record.  ``recover`` takes the rows as the lines of files, in which a record may
+span lines and a broken quote runs on: files are parsed in blocks that begin at record starts, so neither a file nor a
+record needs to fit one row, and no task holds a whole file.
 """
 
 from __future__ import annotations
@@ -18,10 +22,12 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -259,23 +265,53 @@ def typed_records(parsed: DataFrame, keys: list[str], feed: Feed) -> DataFrame:
     return parsed.filter((F.col("feed") == feed.name) & F.col("defect").isNull()).select(*keys, *out)
 
 
-def parse_files(df: DataFrame, feed: Feed, path: str = "path", text: str = "value") -> DataFrame:
-    """Records of whole files (one row a file): path, number, first character, defect, at, detail, fields.
+#: Lines of a block; a record may span at most as many.
+LINES_PER_BLOCK = 2000
+
+
+def _line_end_off(text: str) -> str:
+    text = text.removeprefix("\ufeff")
+    for end in ("\r\n", "\n", "\r"):
+        if text.endswith(end):
+            return text.removesuffix(end)
+    return text
+
+
+def _block(table: pa.Table) -> pa.Table:
+    """The records of one block of lines of a file, with the line they start in."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("line_no", "line_id", "line"))), key=lambda r: r[:2])
+    name, feed = table.column("file_name")[0].as_py(), FEEDS[table.column("feed")[0].as_py()]
+    lines = [_line_end_off(line or "") for _, _, line in rows]
+    starts, at = [], 0
+    for line in lines:
+        starts.append(at)
+        at += len(line) + 1
+    out = []
+    for r in Parser("\n".join(lines), feed).records():
+        first, last = bisect_right(starts, r.start) - 1, bisect_right(starts, max(r.start, r.end - 1)) - 1
+        out.append((name, feed.name, rows[first][0], rows[first][1], last - first + 1, r.defect, r.at - r.start if r.at is not None else None, r.detail, r.fields if r.defect is None else None))
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), RECOVERED.types)], schema=RECOVERED)
+
+
+RECOVERED = pa.schema(
+    [("file_name", pa.string()), ("feed", pa.string()), ("line_no", pa.int64()), ("line_id", pa.int64()), ("n_lines", pa.int32()), ("defect", pa.string()), ("at", pa.int32()), ("detail", pa.string()), ("fields", pa.list_(pa.string()))]
+)
+
+
+def recover(df: DataFrame) -> DataFrame:
+    """``RECOVERED`` rows: the records of the files that the lines of ``df`` make up, and where the parser stumbled.
 
-    Quoted fields may span lines, and after a broken quote the next validated record start is found.
+    ``df`` has file_name, feed, line_no, line_id and line; lines go in the order of their number, of repeated ones by
+    ``line_id``, and a null line is an empty one.  ``line_no`` and ``line_id`` are those of a record's first line,
+    ``n_lines`` how many it spans, ``at`` the place of the defect in it.  Lines without a file or of an unknown feed
+    give no row.  A block is ``LINES_PER_BLOCK`` lines; those before its first record start belong to the block before.
     """
-    name = feed.name
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["text"]):
-                rows = [
-                    (file, n, r.start, r.defect, r.at, r.detail, r.fields if r.defect is None else None)
-                    for n, r in enumerate(Parser(content or "", FEEDS[name]).records(), 1)
-                    if r.end > r.start
-                ]
-                yield pd.DataFrame(rows, columns=["path", "record", "start", "defect", "at", "detail", "fields"])
-
-    return df.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInPandas(
-        run, "path string, record int, start long, defect string, at int, detail string, fields array<string>"
-    )
+    known = df.filter(F.col("feed").isin(*FEEDS) & F.col("file_name").isNotNull()).select("file_name", "feed", F.coalesce("line_no", F.lit(0)).cast("long").alias("line_no"), F.col("line_id").cast("long").alias("line_id"), "line")
+    block = F.floor(F.col("line_no") / LINES_PER_BLOCK)
+    marked = known.select("file_name", "feed", "line_no", block.alias("block"), _parse("line", "feed").alias("p"))
+    sound = marked.filter(F.col("p.defect").isNull() | (F.col("p.defect") == "value"))
+    first = sound.groupBy("file_name", "feed", "block").agg(F.min("line_no").alias("first"))
+    placed = known.withColumn("block", block).join(first, ["file_name", "feed", "block"], "left")
+    early = (F.col("line_no") < F.col("first")) & (F.col("block") > 0)
+    placed = placed.withColumn("block", F.col("block") - early.cast("int")).drop("first")
+    return placed.groupBy("file_name", "feed", "block").applyInArrow(lambda t: _block(t), "file_name string, feed string, line_no long, line_id long, n_lines int, defect string, at int, detail string, fields array<string>")

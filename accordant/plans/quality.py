@@ -41,7 +41,8 @@ def unsound_lines(spark: SparkSession, where: str) -> DataFrame:
 
 def sound_predictions(spark: SparkSession, where: str) -> DataFrame:
     parsed = parsing.parse_lines(table(spark, where, "raw_lines"), ["line_id"])
-    return parsing.typed_records(parsed, ["line_id"], parsing.PREDICTIONS)
+    records = parsing.typed_records(parsed, ["line_id"], parsing.PREDICTIONS)
+    return records.withColumns({c: F.array_join(c, "|") for c in ("rater_a", "rater_b")})
 
 
 def sound_concepts(spark: SparkSession, where: str) -> DataFrame:
@@ -49,6 +50,11 @@ def sound_concepts(spark: SparkSession, where: str) -> DataFrame:
     return parsing.typed_records(parsed, ["line_id"], parsing.ICD11)
 
 
+def recovered_records(spark: SparkSession, where: str) -> DataFrame:
+    """The lines as whole files: where records start, how many lines they span and what is wrong with them."""
+    return parsing.recover(table(spark, where, "raw_lines")).withColumn("n_fields", F.size("fields")).drop("fields")
+
+
 # --- references to records that do not exist
 
 _SAMPLE = ["dataset", "mode", "negative_mode", "agreement_level", "seed", "sample_index"]

@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {
     "p4_found": quality.unsound_lines,
     "p4_predictions": quality.sound_predictions,
     "p4_concepts": quality.sound_concepts,
+    "p4_files": quality.recovered_records,
     "p5_found": quality.orphan_references,
     "p5_by_month": quality.orphans_by_month,
     **agreement.QUERIES,
@@ -115,7 +116,7 @@ WITH l AS (
       lambda f: CASE WHEN f LIKE '"%' THEN replace(substr(f, 2, len(f) - 2), '""', '"') ELSE f END) AS f
   FROM q
 ), d AS (
-  SELECT line_id, CASE
+  SELECT line_id, feed, f, CASE
     WHEN NOT quoted THEN 'quoting'
     WHEN broken OR n <> CASE feed WHEN 'icd11' THEN 10 ELSE 14 END THEN 'columns'
     WHEN feed = 'icd11' THEN CASE
@@ -128,14 +129,25 @@ WITH l AS (
         OR NOT regexp_full_match(f[13], '(?s)\s*\[\s*("(?:[^"\\\x00-\x1f]|\\.)*"\s*(,\s*"(?:[^"\\\x00-\x1f]|\\.)*"\s*)*)?\]\s*') OR regexp_matches(f[13], '[\[,]\s*"[\s\p{Z}]*"\s*[,\]]') THEN 'value' END
   END AS defect FROM n
 )
-SELECT line_id, defect FROM d WHERE defect IS NOT NULL
+"""
+_FOUND_DEFECTS = _DEFECTS + "SELECT line_id, defect FROM d WHERE defect IS NOT NULL"
+_ICD11_NAMES = ["Foundation_URI", "Code", "BlockId", "Title", "ClassKind", *(f"Grouping{i}" for i in range(1, 6))]
+_SOUND_CONCEPTS = _DEFECTS + f"SELECT line_id, {', '.join(f'f[{i}] AS {c}' for i, c in enumerate(_ICD11_NAMES, 1))} FROM d WHERE defect IS NULL AND feed = 'icd11'"
+_SOUND_PREDICTIONS = _DEFECTS + """
+SELECT line_id, f[1] AS dataset, f[2] AS mode, f[3] AS negative_mode, TRY_CAST(f[4] AS DOUBLE) AS agreement_level, TRY_CAST(f[5] AS BIGINT) AS seed,
+  f[6] AS measure, f[7] AS chance_measure, TRY_CAST(f[8] AS BOOLEAN) AS reasoning, TRY_CAST(f[9] AS BIGINT) AS sample_index,
+  TRY_CAST(f[10] AS INTEGER) AS rater_a_set_size, TRY_CAST(f[11] AS INTEGER) AS rater_b_set_size,
+  array_to_string(from_json(f[12], '["VARCHAR"]'), '|') AS rater_a, array_to_string(from_json(f[13], '["VARCHAR"]'), '|') AS rater_b, TRY_CAST(f[14] AS DOUBLE) AS distance
+FROM d WHERE defect IS NULL AND feed = 'predictions'
 """
 
 ORACLES: dict[str, str] = {
     "p2_found": _CYCLES,
     "p2_paths": _PATHS,
     "p2_descendants": _DESCENDANTS,
-    "p4_found": _DEFECTS,
+    "p4_found": _FOUND_DEFECTS,
+    "p4_concepts": _SOUND_CONCEPTS,
+    "p4_predictions": _SOUND_PREDICTIONS,
     "p5_found": _ORPHANS + "SELECT * FROM f WHERE fate <> 'there'",
     "p5_by_month": _ORPHANS + "SELECT tbl, loaded_month, fate, count(*) AS n, count(DISTINCT ref) AS n_keys FROM f WHERE fate <> 'there' GROUP BY ALL",
     **agreement.ORACLES,

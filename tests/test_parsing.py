@@ -1,6 +1,9 @@
+import random
+
 import pytest
 
-from accordant.operators.parsing import FEEDS, ICD11, PREDICTIONS, Parser, parse_files, parse_line, parse_lines, typed_records
+from accordant.operators import parsing
+from accordant.operators.parsing import FEEDS, ICD11, PREDICTIONS, Parser, parse_line, parse_lines, typed_records
 
 GOOD = 'http://x/1\tAB1.2\t\t"- a ""b"" c"\tcategory\tB1\t\t\t\t'
 PRED = 'icd11,set,random,0.5,7,nli,self,True,3,1,2,"[""a""]","[""b"", ""c \\""d\\""""]",0.25'
@@ -85,6 +88,36 @@ def test_lines_of_a_table(spark):
     assert parse_lines(spark.createDataFrame([], schema), ["line_id"]).count() == 0
 
 
-def test_whole_files(spark):
-    df = spark.createDataFrame([("f", GOOD + "\n" + GOOD + "\n"), ("g", None), ("h", "")], "path string, value string")
-    assert [(r["path"], r["record"], r["defect"]) for r in parse_files(df, ICD11).orderBy("record").collect()] == [("f", 1, None), ("f", 2, None)]
+def lines(spark, texts, file="f", feed="icd11", start=1):
+    return spark.createDataFrame([(file, feed, i, 100 + i, t, "x") for i, t in enumerate(texts, start)], "file_name string, feed string, line_no int, line_id long, line string, defect string")
+
+
+def test_records_of_files(spark):
+    broken = GOOD.replace("\t", '\t"oops ', 1)  # a quote that runs on into the lines behind
+    half = GOOD.split("\t")
+    half[3] = '"one ""title""\non two lines"'
+    spans = "\t".join(half).split("\n")
+    df = lines(spark, [GOOD, broken, GOOD, GOOD, *spans, GOOD, "a\tb", GOOD])
+    got = [(r["line_no"], r["n_lines"], r["defect"]) for r in parsing.recover(df).orderBy("line_no").collect()]
+    assert got == [(1, 1, None), (2, 1, "quoting"), (3, 1, None), (4, 1, None), (5, 2, None), (7, 1, None), (8, 1, "columns"), (9, 1, None)]
+
+
+def test_without_resumption_records_are_lost(spark, monkeypatch):
+    broken = GOOD.replace("\t", '\t"oops ', 1)
+    table = lines(spark, [GOOD, broken, GOOD, GOOD]).toArrow()
+    assert parsing._block(table).num_rows == 4
+    monkeypatch.setattr(Parser, "resume", lambda self, start: len(self.text))
+    assert parsing._block(table).num_rows == 2
+
+
+def test_blocks_give_what_whole_files_give(spark, monkeypatch):
+    rng = random.Random(4)
+    broken = GOOD.replace("\t", '\t"oops ', 1)
+    texts = rng.choices([GOOD, GOOD + "\r\n", broken, "", "a\tb", "\ufeff" + GOOD, None], [8, 2, 1, 1, 1, 1, 1], k=300)
+    df = lines(spark, texts).unionByName(lines(spark, [GOOD] * 3, "g")).unionByName(lines(spark, [GOOD], "h", "other")).unionByName(lines(spark, [GOOD], None))
+    shape = lambda out: sorted((r["file_name"], r["line_no"], r["n_lines"], r["defect"] or "", r["at"] or 0) for r in out.collect())
+    whole = shape(parsing.recover(df))
+    monkeypatch.setattr(parsing, "LINES_PER_BLOCK", 7)
+    assert shape(parsing.recover(df)) == whole and {f for f, *_ in whole} == {"f", "g"}
+    assert sum(n for f, _, n, *_ in whole if f == "f") == 300
+    assert parsing.recover(df.filter("false")).count() == 0
