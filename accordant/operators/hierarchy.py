@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 from accordant.storage import written
 
-NODES_PER_RANGE = 100_000
+NODES_PER_RANGE = 50_000
+#: Doublings of paths in one plan; each reads what came before twice.
+DOUBLINGS = 2
 #: Links that one task merges or searches.
 LINKS_AT_ONCE = 300_000
 SHIFT = 33  # bits of monotonically_increasing_id below the partition's number
@@ -38,9 +40,8 @@ SHIFT = 33  # bits of monotonically_increasing_id below the partition's number
 
 def numbered(nodes: DataFrame, sort_key: list[Column], rows: int | None = None) -> tuple[DataFrame, int]:
     """``nodes`` with a number ``id`` whose high bits are its range in the order of ``sort_key``; the number of ranges."""
-    spark = nodes.sparkSession
     rows = nodes.count() if rows is None else rows
-    ranges = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // 1000)), -(-rows // NODES_PER_RANGE))
+    ranges = max(1, -(-rows // NODES_PER_RANGE))
     spread = nodes.repartitionByRange(ranges, *sort_key).withColumn("id", F.monotonically_increasing_id())
     return written(spread, "nodes"), ranges
 
@@ -330,19 +331,21 @@ class Hierarchy:
         placed = written(links.join(sets.withColumnRenamed("x", "u"), "u", "left").select("u", "p", F.coalesce("set", "u").alias("set"), F.coalesce("height", F.lit(0)).alias("height")), "placed")
         tops = placed.filter("p is null").select("set", F.col("u").alias("root"), F.col("height").alias("top"))
         depth = F.coalesce(F.col("top") - F.col("height"), F.lit(-1)).cast("int")
-        return written(placed.join(tops, "set", "left").select("u", "p", depth.alias("depth"), "root"), "places")
+        return placed.join(tops, "set", "left").select("u", "p", depth.alias("depth"), "root")
 
     def _climbed(self, step: Column) -> DataFrame:
         """u, depth, root and seg: ``step`` of each node from the root down to u, null on or below a cycle."""
-        places = self.places()
         named = self.nodes.select(F.col("id").alias("u"), F.array(step).alias("seg"))
-        most = places.agg(F.max("depth")).first()[0] or 0
         # the stretch of each node begins just below ``p``, the node that the next round goes on from
-        known = written(places.join(named, "u"), "stretches")
-        for _ in range(int(most).bit_length()):
+        known = written(self.places().join(named, "u"), "stretches")
+        rounds = int(known.agg(F.max("depth")).first()[0] or 0).bit_length()
+        for k in range(1, rounds + 1):
             over = known.filter("depth >= 0").select(F.col("u").alias("p"), F.col("p").alias("next"), F.col("seg").alias("above"))
-            open_ = known.filter("depth >= 0 and p is not null").join(over, "p").select("u", F.col("next").alias("p"), "depth", "root", F.concat("above", "seg").alias("seg"))
-            known = written(known.filter("depth < 0 or p is null").unionByName(open_.select(known.columns)), "stretches")
+            grown = known.join(over, "p", "left")
+            more = F.col("above").isNotNull() & (F.col("depth") >= 0)
+            known = grown.select("u", F.when(more, F.col("next")).otherwise(F.col("p")).alias("p"), "depth", "root", F.when(more, F.concat("above", "seg")).otherwise(F.col("seg")).alias("seg"))
+            if k % DOUBLINGS == 0 and k < rounds:
+                known = written(known, "stretches")
         return known.select("u", "depth", "root", F.when(F.col("depth") >= 0, F.col("seg")).alias("seg"))
 
     def paths(self) -> DataFrame:
