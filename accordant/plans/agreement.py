@@ -87,6 +87,17 @@ SELECT term_id, label, array_to_string(list_filter(string_split(replace(lower(la
 FROM (SELECT term_id, unnest(list_concat([preferred_term], variants)) AS label FROM label_terms)
 """
 
+#: Length of the longest common subsequence of x and y: for each character of y the next row of the table over x.
+_LCS = """list_last(list_reduce(list_prepend(list_transform(range(len({0}) + 1), lambda i: 0::BIGINT), list_transform(range(1, len({1}) + 1), lambda j: [j])),
+  lambda r, j: list_reduce(list_prepend([0::BIGINT], list_transform(range(1, len({0}) + 1), lambda i: [i])),
+    lambda n, i: list_append(n, greatest(r[i[1] + 1], list_last(n), r[i[1]] + ({0}[i[1]] = {1}[j[1]])::BIGINT)))))"""
+_SUBSEQUENCE = f"""
+WITH {_SETS}, t AS (SELECT row_id, array_to_string(a, ' ') AS x, array_to_string(b, ' ') AS y FROM sets), n AS (SELECT row_id, x, y, {_LCS.format("x", "y")} AS l FROM t)
+SELECT row_id, round((CASE WHEN x = '' AND y = '' THEN 0.0 WHEN x = '' OR y = '' THEN 1.0 ELSE {{0}} END) + 3.7e-11, 9) AS distance FROM n
+"""
+INDEL = _SUBSEQUENCE.format("(len(x) + len(y) - 2 * l) / (len(x) + len(y))")
+LCS = _SUBSEQUENCE.format("1 - l / greatest(len(x), len(y))")
+
 # --- matching
 
 
@@ -132,6 +143,9 @@ MATCHED_JACCARD = _matched_sql(
       / len(list_distinct(list_concat({_TOKENS.format('a[i]')}, {_TOKENS.format('b[j]')})))"""
 )
 
+MATCHED_INDEL = _matched_sql(f"list_transform([{{'p': a[i], 'q': b[j]}}], lambda z: (len(z.p) + len(z.q) - 2 * ({_LCS.format('z.p', 'z.q')})) / (len(z.p) + len(z.q)))[1]")
+MATCHED_LCS = _matched_sql(f"list_transform([{{'p': a[i], 'q': b[j]}}], lambda z: 1 - ({_LCS.format('z.p', 'z.q')}) / greatest(len(z.p), len(z.q)))[1]")
+
 
 def matrix_assignments(spark: SparkSession, where: str) -> DataFrame:
     """Distances of stored cost matrices under both assignments, the JVM's and the kernel's, and confident matches."""
@@ -142,10 +156,40 @@ def matrix_assignments(spark: SparkSession, where: str) -> DataFrame:
         _rounded(F.col("m.d_hungarian")).alias("d_hungarian"),
         _rounded(F.col("m.d_greedy")).alias("d_greedy"),
         _rounded(matching.under(F.col("cost"), F.col("m.greedy"))).alias("d_again"),
-        F.size(matching.confident(F.col("cost"), F.col("m.hungarian"))).alias("n_confident"),
+        F.size(matching.confident(F.col("cost"), F.col("m.greedy"))).alias("n_confident"),
     )
 
 
+def _matrices_sql(most: int) -> str:
+    """Both assignments of matrices whose smaller side has at most ``most``: the least cost by columns taken so far, row after row, and the greedy cells one by one."""
+    steps = ["s0 AS (SELECT row_id, 0 AS mask, 0.0::DOUBLE AS q FROM m)", "g0 AS (SELECT row_id, 0 AS rows, 0 AS cols, 0.0::DOUBLE AS q, 0 AS sure FROM m)"]
+    for k in range(1, most + 1):
+        steps.append(
+            f"s{k} AS (SELECT row_id, mask | (1 << (l - 1)) AS mask, min(q + c) AS q FROM s{k - 1} JOIN cells USING (row_id) WHERE s = {k} AND mask & (1 << (l - 1)) = 0 GROUP BY ALL)"
+        )
+        steps.append(
+            f"""g{k} AS (SELECT row_id, rows | (1 << (i - 1)) AS rows, cols | (1 << (j - 1)) AS cols, q + 1 - c AS q, sure + (c < 1 / 3.0::DOUBLE)::INT AS sure
+              FROM g{k - 1} JOIN cells USING (row_id) WHERE rows & (1 << (i - 1)) = 0 AND cols & (1 << (j - 1)) = 0
+              QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY c, i, j) = 1)"""
+        )
+    ends = lambda t, columns: " UNION ALL ".join(f"SELECT row_id, {columns} FROM {t}{k} JOIN m USING (row_id) WHERE least(n, w) = {k}" for k in range(1, most + 1))
+    return f"""
+WITH m AS (SELECT row_id, cost, len(cost) AS n, len(cost[1]) AS w FROM cost_matrices WHERE len(cost) > 0 AND len(cost[1]) > 0),
+cells AS (
+  SELECT row_id, i, j, cost[i][j] AS c, CASE WHEN n <= w THEN i ELSE j END AS s, CASE WHEN n <= w THEN j ELSE i END AS l
+  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM m), unnest(range(1, w + 1)) AS t(j)),
+{", ".join(steps)},
+best AS (SELECT row_id, min(q) AS q FROM ({ends("s", "q")}) GROUP BY row_id),
+quick AS ({ends("g", "q, sure")})
+SELECT row_id, round(1 - 2 * (least(n, w) - best.q) / (n + w) + 3.7e-11, 9) AS d_hungarian, round(1 - 2 * quick.q / (n + w) + 3.7e-11, 9) AS d_greedy,
+  round(1 - 2 * quick.q / (n + w) + 3.7e-11, 9) AS d_again, CAST(sure AS INTEGER) AS n_confident
+FROM m JOIN best USING (row_id) JOIN quick USING (row_id)
+"""
+
+
+MATRICES = _matrices_sql(5)
+
+
 # --- coefficients
 
 
@@ -349,10 +393,10 @@ def true_pairs(spark: SparkSession, where: str) -> DataFrame:
 
 TRUE_PAIRS = """
 WITH t AS (
-  SELECT dataset, mode, negative_mode, agreement_level, seed, sample_index, max_by(true_assignment, row_id) AS t FROM predictions
+  SELECT dataset, negative_mode, measure, agreement_level, seed, sample_index, max_by(true_assignment, row_id) AS t FROM predictions
   WHERE sample_index IS NOT NULL AND true_assignment IS NOT NULL AND true_assignment <> '' GROUP BY ALL)
 SELECT row_id, CAST(json_array_length(t) AS INTEGER) AS n_true
-FROM cost_matrices JOIN t USING (dataset, mode, negative_mode, agreement_level, seed, sample_index)
+FROM cost_matrices JOIN t USING (dataset, negative_mode, measure, agreement_level, seed, sample_index)
 WHERE len(cost) > 0 AND len(cost[1]) > 0 AND json_array_length(t) > 0
 """
 
@@ -639,6 +683,11 @@ ORACLES = {
     "d_word_jaccard": WORD_JACCARD,
     "d_masi": MASI,
     "d_levenshtein": _sql_distance(_LEV),
+    "d_indel": INDEL,
+    "d_lcs": LCS,
+    "m_indel": MATCHED_INDEL,
+    "m_lcs": MATCHED_LCS,
+    "m_matrices": MATRICES,
     "word_tokens": WORD_TOKENS,
     "m_levenshtein": MATCHED_LEVENSHTEIN,
     "m_jaccard": MATCHED_JACCARD,

@@ -28,7 +28,7 @@ def packed_values(spark: SparkSession, where: str) -> DataFrame:
 def packed_delimiters(spark: SparkSession, where: str) -> DataFrame:
     rows = table(spark, where, "derm1_rows")
     found = packed.infer_delimiters(rows.select(packed.source_of(F.col("filename")).alias("source"), *FIELDS), FIELDS)
-    return found.select("field", "source", F.array_join("delimiters", " ").alias("delimiters"))
+    return found.select("field", "source", F.array_join("delimiters", "|").alias("delimiters"))
 
 
 # --- rows that fail to parse

@@ -141,10 +141,59 @@ SELECT line_id, f[1] AS dataset, f[2] AS mode, f[3] AS negative_mode, TRY_CAST(f
 FROM d WHERE defect IS NULL AND feed = 'predictions'
 """
 
+# fields cut by one expression: a quoted value, or the shortest stretch before a mark, brackets taken whole
+_W = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_MARK = rf"->|[,;|>\x{{bb}}\x{{ff0c}}\x{{ff1b}}\x{{3001}}\t]|[\n\r]+|{_W}/(?:{_W}|$)"
+
+
+def _pieces(mark: str) -> str:
+    quoted = r'"(?:[^"\\]|\\.|"")*"|\x27(?:[^\x27\\]|\\.|\x27\x27)*\x27'
+    return rf"(?s)({_W}*(?:{quoted}){_W}*|(?:\((?:[^()]|\([^()]*\))*\)|.)*?)({mark}|$)"
+
+
+_FIELDS = rf"""
+WITH t AS (
+  SELECT row_id, CASE WHEN contains(filename, '/') THEN split_part(filename, '/', 1) ELSE '' END AS source, f AS field,
+    regexp_replace(v, '^{_W}+|{_W}+$', '', 'g') AS t
+  FROM (SELECT row_id, filename, unnest(['skin_concept', 'hierarchical_disease_label']) AS f, unnest([skin_concept, hierarchical_disease_label]) AS v FROM derm1_rows)
+), u AS (SELECT row_id, source, field, CASE WHEN len(t) > 1 AND t[1] = '[' AND t[-1] = ']' THEN t[2:-2] ELSE t END AS t FROM t WHERE t <> '')"""
+_VALUES = _FIELDS + rf""", v AS (
+  SELECT row_id, field, list_filter(list_transform(list_transform(regexp_extract_all(t, '{_pieces(_MARK)}', 1),
+      lambda x: regexp_replace(x, '^{_W}+|{_W}+$', '', 'g')),
+      lambda x: regexp_replace(CASE WHEN len(x) > 1 AND x[1] = x[-1] AND x[1] IN ('"', chr(39))
+        THEN regexp_replace(replace(x[2:-2], x[1] || x[1], x[1]), '\\(["\x27\\])', '\1', 'g') ELSE x END, '^{_W}+|{_W}+$', '', 'g')),
+    lambda x: x <> '') AS vals
+  FROM u
+)
+SELECT row_id, field AS field_name, CAST(unnest(range(1, len(vals) + 1)) AS INTEGER) AS pos, unnest(vals) AS val FROM v
+WHERE NOT (field = 'skin_concept' AND len(vals) = 1 AND lower(vals[1]) = 'no visual concepts')
+"""
+# another way to tell delimiters: what stands before one also stands, somewhere in the field, before another mark or at the
+# end, and some field has it twice
+_ANY = _MARK + r"|[&+:~\x{2022}-]"
+_DELIMITERS = _FIELDS + rf""", p AS (
+  SELECT row_id, source, field, generate_subscripts(x, 1) AS i, lower(regexp_replace(unnest(x), '^[\s"\x27]+|[\s"\x27]+$', '', 'g')) AS piece,
+    unnest(m) AS mark FROM (SELECT *, regexp_extract_all(t, '{_pieces(_ANY)}', 1) AS x, regexp_extract_all(t, '{_pieces(_ANY)}', 2) AS m FROM u)
+), named AS (
+  SELECT *, CASE WHEN regexp_full_match(mark, '[\n\r]+') THEN 'newline' WHEN mark = chr(9) THEN 'tab' WHEN contains(mark, '/') THEN ' / ' ELSE mark END AS name FROM p
+), before AS (
+  SELECT field, piece, name, count(*) AS n FROM named WHERE piece <> '' GROUP BY ALL
+), free AS (
+  SELECT b.field, b.name, sum(CASE WHEN o.n > b.n THEN b.n ELSE 0 END) / sum(b.n) AS share
+  FROM before b JOIN (SELECT field, piece, sum(n) AS n FROM before GROUP BY ALL) o USING (field, piece) WHERE b.name <> '' GROUP BY ALL
+), twice AS (SELECT DISTINCT field, name FROM (SELECT row_id, field, name FROM named GROUP BY ALL HAVING count(*) > 1))
+SELECT s.field, s.source, coalesce(string_agg(free.name, '|' ORDER BY free.name), '') AS delimiters
+FROM (SELECT DISTINCT field, source FROM u) s
+LEFT JOIN (SELECT DISTINCT field, source, name FROM named WHERE name <> '') o USING (field, source)
+LEFT JOIN free ON free.field = o.field AND free.name = o.name AND free.share > 0.3 AND (free.field, free.name) IN (SELECT (field, name) FROM twice) GROUP BY s.field, s.source
+"""
+
 ORACLES: dict[str, str] = {
     "p2_found": _CYCLES,
     "p2_paths": _PATHS,
     "p2_descendants": _DESCENDANTS,
+    "p3_found": _VALUES,
+    "p3_delimiters": _DELIMITERS,
     "p4_found": _FOUND_DEFECTS,
     "p4_concepts": _SOUND_CONCEPTS,
     "p4_predictions": _SOUND_PREDICTIONS,

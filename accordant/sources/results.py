@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEY = ["dataset", "mode", "negative_mode", "agreement_level", "seed", "sample_index"]
+#: What ties a matrix to the prediction that has its true pairs.
+TRUTH_KEY = ["dataset", "negative_mode", "measure", "agreement_level", "seed", "sample_index"]
 MATRIX_SCHEMA = "dataset string, mode string, negative_mode string, agreement_level double, seed long, measure string, sample_index int, cost array<array<double>>"
 PAIR_SCHEMA = "measure string, reasoning boolean, x string, y string, cost double"
 PREDICTION_SCHEMA = (
@@ -70,20 +72,20 @@ def unordered(p: Column, q: Column) -> list[Column]:
 
 
 def with_true_pairs(matrices: DataFrame, predictions: DataFrame, measures: list[str] | None = None) -> DataFrame:
-    """Matrices with ``truth`` (array<struct<i, j>>), the non-empty true assignment of the sample of the same key.
+    """Matrices with ``truth`` (array<struct<i, j>>), the non-empty true assignment of the sample of the same ``TRUTH_KEY``.
 
     Of several predictions of a key the last by row_id counts.
     """
     truths = (
         predictions.filter("sample_index is not null and true_assignment is not null and true_assignment <> ''")
-        .groupBy(*KEY)
+        .groupBy(*TRUTH_KEY)
         .agg(F.max_by("true_assignment", "row_id").alias("t"))
         .withColumn("truth", F.transform(F.from_json("t", _LINKS), lambda p: F.struct(F.get(p, 0).alias("i"), F.get(p, 1).alias("j"))))
         .filter(F.size("truth") > 0)
         .drop("t")
     )
     wanted = matrices.filter(F.col("measure").isin(measures)) if measures is not None else matrices
-    return wanted.filter((F.size("cost") > 0) & (F.size(F.get("cost", 0)) > 0)).join(truths, KEY)
+    return wanted.filter((F.size("cost") > 0) & (F.size(F.get("cost", 0)) > 0)).join(truths, TRUTH_KEY)
 
 
 def matrix_costs(matrices: DataFrame, predictions: DataFrame, at: Column) -> DataFrame:

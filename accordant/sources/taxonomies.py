@@ -86,9 +86,13 @@ LLT, PT, LINK = ["llt_code", "llt_name", "pt_code", "w1", "w2", "w3", "w4", "w5"
 
 
 def meddra_concepts(pt: DataFrame, llt: DataFrame, hlt_pt: DataFrame | None = None) -> DataFrame:
-    """Preferred terms with a current lower-level term of another name; parents from links (parent, code) if given."""
+    """Preferred terms with a current lower-level term of another name; parents from links (parent, code) if given.
+
+    ``ord`` is the place of the term's first row in the file, or its least ``ord`` where ``pt`` has one.
+    """
     names = llt.filter("llt_currency = 'Y' and pt_code is not null")
-    first = pt.filter("pt_code is not null").groupBy("pt_code").agg(F.min("pt_name").alias("pt_name"))
+    order = F.col("ord") if "ord" in pt.columns else F.monotonically_increasing_id()  # of the file
+    first = pt.filter("pt_code is not null").withColumn("ord", order).groupBy("pt_code").agg(F.min("pt_name").alias("pt_name"), F.min("ord").alias("ord"))
     other = names.join(first, "pt_code").filter("llt_name <> pt_name")
     synonyms = other.groupBy("pt_code").agg(F.array_sort(F.collect_set("llt_name")).alias("synonyms"))
     out = first.join(synonyms, "pt_code")
@@ -96,7 +100,7 @@ def meddra_concepts(pt: DataFrame, llt: DataFrame, hlt_pt: DataFrame | None = No
         out = out.join(hlt_pt.groupBy(F.col("code").alias("pt_code")).agg(F.array_sort(F.collect_set("parent")).alias("parents")), "pt_code", "left")
     parents = F.coalesce("parents", F.array().cast(NO_TERMS)) if hlt_pt is not None else F.array().cast(NO_TERMS)
     return out.select(
-        F.xxhash64("pt_code").alias("ord"), F.col("pt_code").alias("code"), F.col("pt_name").alias("preferred_term"), "synonyms",
+        "ord", F.col("pt_code").alias("code"), F.col("pt_name").alias("preferred_term"), "synonyms",
         parents.alias("parent_codes"), F.array().cast(NO_TERMS).alias("hierarchy_key"),
     )
 

@@ -133,6 +133,14 @@ def test_costs_of_labels(spark):
     m = spark.createDataFrame([(*KEYS, "nli", 0, [[0.3, 0.0]], 1), (*KEYS, "nli", 0, [[0.4, 0.0]], 2), (*KEYS, "nli", 1, [[0.9]], 3), (*KEYS, "nli", 7, [[0.9]], 4), (*KEYS, "nli", 0, [], 5), (*KEYS, "nli", None, None, 6)], results.MATRIX_SCHEMA + ", row_id long")
     got = results.newest(results.matrix_costs(m, p, F.col("row_id")), ["measure", "x", "y"]).collect()
     assert sorted((r["measure"], r["x"], r["y"], r["cost"]) for r in got) == [("nli", "a", "b", 0.4), ("nli", "b", "b", 0.0)]
-    assert sorted(r["row_id"] for r in results.with_true_pairs(m, p).collect()) == [1, 2]
     same = p.withColumn("measure", F.lit("nli"))
+    assert sorted(r["row_id"] for r in results.with_true_pairs(m, same).collect()) == [1, 2]
     assert {r["reason"]: r["n"] for r in results.unmatched_matrices(m, same).collect()} == {"used": 2, "shape_mismatch": 2, "unmatched": 2}
+
+
+def test_true_pairs_go_by_measure_not_by_mode(spark):
+    key = "dataset string, mode string, negative_mode string, measure string, agreement_level double, seed long, sample_index int"
+    cost = spark.createDataFrame([("d", "set", "r", "m", 0.5, 1, 0, [[0.1]]), ("d", "set", "r", "n", 0.5, 1, 0, [[0.2]])], key + ", cost array<array<double>>")
+    said = spark.createDataFrame([("d", "single", "r", "m", 0.5, 1, 0, "[[0, 0]]", 1)], key + ", true_assignment string, row_id long")
+    got = results.with_true_pairs(cost, said).collect()
+    assert [(r["measure"], [tuple(p) for p in r["truth"]]) for r in got] == [("m", [(0, 0)])]
