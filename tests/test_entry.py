@@ -5,6 +5,8 @@ import pytest
 import __spark_entry__ as entry
 
 WHERE = "/root/testdata/sf0.001"
+#: Delimiters are inferred from the rows; in two hundred of them some marks come once or twice, which decides nothing.
+FULLER = "/root/testdata/sf0.01"
 
 
 def test_names_and_sql():
@@ -22,10 +24,10 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
-    db = duckdb.connect()
-    for file in os.listdir(WHERE):
-        db.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{WHERE}/{file}')")
-    got, want = entry.queries()[name](spark, WHERE).toPandas(), db.execute(entry.oracle_sql()[name]).df()
+    db, where = duckdb.connect(), FULLER if name.startswith("p3_") else WHERE
+    for file in os.listdir(where):
+        db.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{where}/{file}')")
+    got, want = entry.queries()[name](spark, where).toPandas(), db.execute(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
 
     def rows(df):
