@@ -14,6 +14,7 @@ windows around it are hashed and grouped, which only brings together texts that
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -72,47 +73,89 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Runs of fingerprints of earlier batches; ``add`` takes the next batch."""
+    """Runs of fingerprints in a folder, oldest first; ``add`` takes the next batch, ``compact`` merges runs.
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, every: bool = False):
-        self.spark, self.every = spark, every
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[tuple[int, str, str]] = []  # level, table, path
+    A run is one parquet file for each bucket of hashes, sorted by hash, and is never changed.  ``manifest-N.json``
+    names the runs that count, the one with the largest N is valid: whoever opens the folder later, in another session
+    too, goes on from there, and a batch that died half-way left nothing that counts.  Without a folder the index is a
+    temporary one.  Runs are read as bucketed, sorted tables, so a batch meets the history by merge joins that neither
+    shuffle nor sort it.
+    """
 
-    def _write(self, prints: DataFrame, level: int) -> tuple[int, str, str]:
-        name, path = f"prints_{uuid.uuid4().hex[:12]}", new_path(self.spark, "prints")
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None, every: bool = False):
+        self.spark, self.every = spark, every
+        self.folder = folder or new_path(spark, "index")
+        # a table with one file a bucket is read in its order
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        self.version, state = self._manifest()
+        self.buckets = state["buckets"] if state else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[tuple[int, str]] = [(level, run) for level, run in state["runs"]] if state else []
+        self.token = uuid.uuid4().hex[:12]
+        for _, run in self.runs:
+            spark.sql(f"CREATE TABLE {self._table(run)} (h BIGINT, chain BIGINT, doc_id BIGINT, pos INT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{run}'")
+
+    def _path(self, name: str = ""):
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _manifest(self) -> tuple[int, dict | None]:
+        files, at = self._path()
+        names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+        numbers = [int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")]
+        if not numbers:
+            return 0, None
+        text = self.spark.read.text(f"{self.folder}/manifest-{max(numbers):08d}.json", wholetext=True).first()[0]
+        return max(numbers), json.loads(text)
+
+    def _commit(self) -> None:
+        self.version += 1
+        files, at = self._path(f"manifest-{self.version:08d}.json")
+        out = files.create(at, False)  # of two writers one fails here
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "runs": self.runs}).encode()))
+        out.close()
+
+    def _table(self, run: str) -> str:
+        return f"spans_{self.token}_{run.replace('-', '_')}"
+
+    def _write(self, prints: DataFrame, level: int) -> tuple[int, str]:
+        run = f"run-{uuid.uuid4().hex[:12]}"
         (
-            prints.repartition(self.buckets, "h")
+            prints.select("h", "chain", "doc_id", "pos")
+            .repartition(self.buckets, "h")
             .sortWithinPartitions("h")
             .write.bucketBy(self.buckets, "h")
             .sortBy("h")
-            .option("path", path)
-            .saveAsTable(name)
+            .option("path", f"{self.folder}/{run}")
+            .saveAsTable(self._table(run))
         )
-        return level, name, path
+        return level, run
 
-    def _read(self, run: tuple[int, str, str]) -> DataFrame:
-        return self.spark.table(run[1])
+    def _read(self, run: tuple[int, str]) -> DataFrame:
+        return self.spark.table(self._table(run[1]))
 
-    def _drop(self, run: tuple[int, str, str]) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {run[1]}")
-        _remove(self.spark, run[2])
+    def _drop(self, run: tuple[int, str]) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(run[1])}")
+        _remove(self.spark, f"{self.folder}/{run[1]}")
 
     def add(self, prints: DataFrame) -> DataFrame:
         """Indexes a batch; a, b, pos_a, pos_b of its hits within itself and in the history (not yet verified).
 
-        Hits on hashes with more than ``HOT`` entries are left to ``hot``.
+        Only hashes of the batch are counted and looked up in the history.  Hits on hashes with more than ``HOT``
+        entries are left to ``entries``: these hashes are in ``hot_hashes``, null if there are none.
         """
         new = self._write(prints, 0)
         fresh, all_runs = self._read(new), [*self.runs, new]
-        counts = reduce(DataFrame.unionByName, [self._read(r).groupBy("h").agg(F.count(F.lit(1)).alias("n")) for r in all_runs])
-        hot = written(counts.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT).select("h"), "hot")
+        own = fresh.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+        counts = [own] + [self._read(r).join(own.select("h").hint("merge"), "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n")) for r in self.runs]
+        hot = written(reduce(DataFrame.unionByName, counts).groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT).select("h"), "hot")
         self.hot_hashes = None if hot.isEmpty() else hot
         cold = (lambda df: df) if self.hot_hashes is None else (lambda df: df.join(hot, "h", "left_anti"))
         hits = [self._join(cold(fresh), cold(fresh), F.col("x.doc_id") < F.col("y.doc_id"))]
         hits += [self._join(cold(fresh), cold(self._read(r)), F.lit(True)) for r in self.runs]
         found = written(reduce(DataFrame.unionByName, hits), "hits")
-        self.runs.append(new)
+        self.runs = all_runs
+        self._commit()
         return found
 
     def _join(self, x: DataFrame, y: DataFrame, which: Column) -> DataFrame:
@@ -124,28 +167,47 @@ class Index:
             F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.pos").alias("pos_a"), F.col("y.pos").alias("pos_b")
         )
 
-    def hot(self) -> DataFrame | None:
-        """doc_id and pos of every entry, old or new, on a hash with more than ``HOT`` entries."""
-        if self.hot_hashes is None:
-            return None
-        return reduce(DataFrame.unionByName, [self._read(r).join(self.hot_hashes, "h", "left_semi") for r in self.runs]).select("doc_id", "pos")
+    def entries(self, hashes: DataFrame) -> DataFrame:
+        """doc_id and pos of every entry, old or new, of the given hashes."""
+        return reduce(DataFrame.unionByName, [self._read(r).join(hashes, "h", "left_semi") for r in self.runs]).select("doc_id", "pos")
+
+    def links(self, batch: DataFrame, docs: DataFrame) -> DataFrame:
+        """a < b of each pair of a text of ``batch`` and another, old or new, with a common span; indexes the batch.
+
+        ``docs`` has doc_id and text of all texts, those of the batch included.  Doc_ids must be new to the index.
+        """
+        met = verify(self.add(fingerprints(batch)), docs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        if self.hot_hashes is not None:
+            windows = written(hot_windows(self.entries(self.hot_hashes), docs), "windows")
+            new = batch.select("doc_id")
+            pairs = hot_pairs(windows, docs)
+            met = met.unionByName(pairs.join(new.withColumnRenamed("doc_id", "a"), "a", "left_semi")).unionByName(pairs.join(new.withColumnRenamed("doc_id", "b"), "b", "left_semi").select("a", "b"))
+        return met.distinct()
 
     def compact(self) -> None:
-        """Merges runs as long as ``FANOUT`` of them share a level."""
-        level = 0
+        """Merges runs as long as ``FANOUT`` of them share a level; files of merged runs go once the manifest is written."""
+        level, old = 0, []
         while any(r[0] >= level for r in self.runs):
             same = [r for r in self.runs if r[0] == level]
             if len(same) >= FANOUT:
-                merged = self._write(reduce(DataFrame.unionByName, [self._read(r) for r in same]), level + 1)
+                # read as plain files: as bucketed tables they would be laid side by side, not merged
+                plain = self.spark.read.schema(RUN).parquet(*[f"{self.folder}/{run}" for _, run in same])
+                merged = self._write(plain, level + 1)
                 self.runs = [r for r in self.runs if r[0] != level] + [merged]
-                for r in same:
-                    self._drop(r)
+                old += same
             level += 1
+        if old:
+            self._commit()
+        for r in old:
+            self._drop(r)
 
-    def close(self) -> None:
+    def close(self, delete: bool = False) -> None:
+        """Forgets the tables; with ``delete`` the files go as well."""
         for r in self.runs:
-            self._drop(r)
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(r[1])}")
         self.runs = []
+        if delete:
+            _remove(self.spark, self.folder)
 
 
 def _context(pos: str) -> list[Column]:
@@ -213,15 +275,19 @@ def hot_windows(entries: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(asked, "doc_id").select("doc_id", "text", "at").mapInArrow(run, "w long, v long, doc_id long, start int, before long")
 
 
-def hot_pairs(windows: DataFrame) -> DataFrame:
-    """a < b of each pair with a common window, met at the first window of the common stretch only."""
+def hot_pairs(windows: DataFrame, docs: DataFrame) -> DataFrame:
+    """a < b of each pair with a common window, met at the first window of a common stretch only and compared by character."""
     first = windows.groupBy("w", "v").agg(F.min("before").alias("low"), F.max("before").alias("high"), F.min("doc_id").alias("d"), F.max("doc_id").alias("e"))
     first = first.filter((F.col("d") != F.col("e")) & ((F.col("low") != F.col("high")) | (F.col("low") == -1))).select("w", "v")
     some = windows.join(first, ["w", "v"], "left_semi")
     x, y = some.alias("x"), some.alias("y")
     new = (F.col("x.before") != F.col("y.before")) | (F.col("x.before") == -1)
     both = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.doc_id") < F.col("y.doc_id")) & new)
-    return both.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    at = both.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.min(F.struct(F.col("x.start").alias("i"), F.col("y.start").alias("j"))).alias("at"))
+    slice_ = lambda c: F.col("text").substr(F.col(c) + 1, F.lit(SPAN))
+    text = docs.select("doc_id", "text")
+    one = at.join(text.withColumnRenamed("doc_id", "a"), "a").select("a", "b", "at.j", slice_("at.i").alias("p"))
+    return one.join(text.withColumnRenamed("doc_id", "b"), "b").filter(F.col("p") == slice_("j")).select("a", "b")
 
 
 class SharedSpans:
@@ -246,16 +312,19 @@ class SharedSpans:
         prints = fingerprints(long.select("doc_id", "text")).join(reps.select("doc_id", number.alias("batch")), "doc_id")
         self.prints = written(prints.select("h", "chain", "doc_id", "pos", "batch"), "fresh")
         self.index = Index(self.spark, every=every)
-        hits, hot = [], None
+        hits, hot = [], []
         for i in range(batches):
-            hits.append(self.index.add(self.prints.filter(F.col("batch") == i).select("h", "chain", "doc_id", "pos")))
-            hot = self.index.hot() if self.index.hot_hashes is not None else hot
-            if i == batches - 1 and hot is not None:
-                self.hot_windows = written(hot_windows(hot, self.docs), "windows")
-            self.index.compact()
-        self.hot = hot is not None
+            hits.append(self.index.add(self.prints.filter(F.col("batch") == i)))
+            if self.index.hot_hashes is not None:
+                hot.append(self.index.hot_hashes)
+            if i < batches - 1:
+                self.index.compact()
+        self.hot = bool(hot)
+        if hot:
+            entries = self.index.entries(reduce(DataFrame.unionByName, hot).distinct())
+            self.hot_windows = written(hot_windows(entries, self.docs), "windows")
         self.hits = reduce(DataFrame.unionByName, hits)
-        self.index.close()
+        self.index.close(delete=True)
 
     def spans(self) -> DataFrame:
         return verify(self.hits, self.docs)
@@ -264,7 +333,7 @@ class SharedSpans:
         """a < b of each pair of representatives with a common span."""
         met = self.spans().select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         if self.hot:
-            met = met.unionByName(hot_pairs(self.hot_windows))
+            met = met.unionByName(hot_pairs(self.hot_windows, self.docs))
         return met.distinct()
 
     def pairs(self) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime, timedelta
 from itertools import combinations
@@ -88,15 +89,39 @@ def test_empty_and_single(spark):
     assert spans.SharedSpans(one, F.col("at"), every=True).coverage().first()["shared_chars"] == 0
 
 
-def test_runs_are_compacted(spark):
-    index = spans.Index(spark, buckets=2)
+def files(folder, run):
+    return [f for f in os.listdir(f"{folder}/{run}") if f.endswith(".parquet")]
+
+
+def test_runs_are_compacted(spark, tmp_path):
+    index = spans.Index(spark, f"file://{tmp_path}/i", buckets=2)
     texts = corpus(random.Random(7), 12)
     for k in range(4):
         docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if i % 4 == k], "doc_id long, text string")
         index.add(spans.fingerprints(docs))
         index.compact()
-    assert [r[0] for r in index.runs] == [2]
-    total = sum(r.count() for r in [index._read(index.runs[0])])
+        assert all(len(files(f"{tmp_path}/i", run)) <= index.buckets for _, run in index.runs)
+    assert [level for level, _ in index.runs] == [2] and len([d for d in os.listdir(tmp_path / "i") if d.startswith("run-")]) == 1
+    total = index._read(index.runs[0]).count()
     assert total == spans.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
-    index.close()
-    assert index.runs == []
+    hashes = index._read(index.runs[0])
+    plan = hashes.alias("x").hint("merge").join(hashes.alias("y"), "h")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Sort [" not in plan and "Exchange" not in plan
+    index.close(delete=True)
+    assert index.runs == [] and not os.path.exists(tmp_path / "i")
+
+
+def test_an_index_goes_on_where_it_was_left(spark, hot, tmp_path):
+    texts = corpus(random.Random(3), 24)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").filter("length(text) >= 200")
+    found = set()
+    for k in range(3):
+        index = spans.Index(spark, f"file://{tmp_path}/i", buckets=3)  # as a later session would
+        assert index.version >= k
+        batch = docs.filter(F.col("doc_id") % 3 == k)
+        got = [(r["a"], r["b"]) for r in index.links(batch, docs.filter(F.col("doc_id") % 3 <= k)).collect()]
+        assert len(got) == len(set(got)) and not found & set(got)
+        found |= set(got)
+        index.compact()
+        index.close()
+    assert found == brute(texts)[0]
