@@ -28,6 +28,16 @@ class Network:
     def flow(self, arc: int) -> int:
         return self.left[arc ^ 1]
 
+    def reached(self, source: int) -> set[int]:
+        """The nodes that more flow could still reach: after ``run`` the source's side of a least cut."""
+        seen, todo = {source}, [source]
+        while todo:
+            for e in self.out[todo.pop()]:
+                if self.left[e] and self.to[e] not in seen:
+                    seen.add(self.to[e])
+                    todo.append(self.to[e])
+        return seen
+
     def run(self, source: int, sink: int) -> tuple[int, int]:
         """The largest flow and its least cost."""
         total = spent = 0

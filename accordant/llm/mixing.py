@@ -8,16 +8,22 @@ the texts of each pattern are counted; a flow network routes them:
     pattern -> source  for each source that holds it
     source -> end      the source's quota
 
-The total is the largest at which every source that has texts meets its quota, unless one is given.  Of a pattern,
-texts are taken in the order of a seeded hash: use k of a pattern covers the first F_k of its tokens, cut into one
-stretch per source.  A text goes where its first token lies, so a share misses its target by at most one text per
-pattern and use.
+The total is the largest at which every source that has texts meets its quota, unless one is given.  It is found from
+least cuts: the sources that a total starves have so many tokens between them, which bounds the total, and the next try
+is at that bound.
+
+Of a pattern, texts are taken in the order of a seeded hash: use k of a pattern covers the first F_k of its tokens, cut
+into one stretch per source.  A text that lies within a stretch is used for it.  What the text across a stretch's end
+leaves open is filled from the texts not used so far in this use, the largest that fit first, with one that is a little
+too long at the end if that comes nearer; so where short texts are left a stretch misses its length by next to none.
 """
 
 from __future__ import annotations
 
-from math import floor
+from collections.abc import Callable
+from math import ceil, floor
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +31,12 @@ from accordant.llm.bpe import count_tokens
 from accordant.llm.flow import Network
 from accordant.storage import written
 
-#: The graph is solved on the driver: at most so many sources and membership patterns.
+#: The graph is solved on the driver: at most so many sources and membership patterns.  Of more patterns the ones with the
+#: most tokens keep theirs; texts of the others count for one of their sources, by hash, under the same cap.
 MOST_SOURCES = 2_000
 MOST_PATTERNS = 20_000
+#: Texts of each size class, the first in hash order, that a gap may be filled from.
+FILLERS = 64
 #: Slices of the hash order whose token sums are prefix-summed apart from the texts within them.
 SLICES = 4096
 
@@ -38,6 +47,11 @@ def source_key(c: Column) -> Column:
     return F.when(key != "", key)
 
 
+def members(pattern: tuple[str, ...]) -> list[str]:
+    """The sources of a pattern; a last entry with the cap of texts that count for one source is none."""
+    return [s for s in pattern if not s.startswith("\x00")]
+
+
 def solve(patterns: dict[tuple[str, ...], int], weights: dict[str, float], uses: dict[tuple[str, ...], int], total: int | None) -> tuple[int, list[tuple[tuple[str, ...], int, dict[str, int]]]]:
     """The total and, for each pattern and use (from 1), the tokens that go to each source."""
 
@@ -52,20 +66,12 @@ def solve(patterns: dict[tuple[str, ...], int], weights: dict[str, float], uses:
         for p, tokens in patterns.items():
             node = net.node()
             layers = [net.arc(start, node, tokens, k) for k in range(uses[p])]
-            arcs.append((p, layers, {s: net.arc(node, sources[s], tokens * uses[p]) for s in p}))
-        return net, start, end, arcs, sum(quota.values())
-
-    if total is None:  # the largest total that can be met in full
-        low, high = 0, sum(t * uses[p] for p, t in patterns.items())
-        while low < high:
-            middle = (low + high + 1) // 2
-            net, start, end, _, want = build(middle)
-            if net.run(start, end)[0] == want:
-                low = middle
-            else:
-                high = middle - 1
-        total = low
-    net, start, end, arcs, _ = build(total)
+            arcs.append((p, layers, {s: net.arc(node, sources[s], tokens * uses[p]) for s in members(p)}))
+        return net, start, end, arcs, sources, sum(quota.values())
+
+    if total is None:
+        total = _largest(build, patterns, weights, uses)
+    net, start, end, arcs, *_ = build(total)
     net.run(start, end)
     out = []
     for p, layers, to in arcs:
@@ -81,6 +87,44 @@ def solve(patterns: dict[tuple[str, ...], int], weights: dict[str, float], uses:
     return total, out
 
 
+def _largest(build: Callable, patterns: dict[tuple[str, ...], int], weights: dict[str, float], uses: dict[tuple[str, ...], int]) -> int:
+    """The largest total whose quotas, rounded down, can all be met."""
+
+    def starved(amount: int) -> set[str]:
+        net, start, end, _, sources, want = build(amount)
+        if net.run(start, end)[0] == want:
+            return set()
+        fed = net.reached(start)
+        return {s for s, node in sources.items() if node not in fed}
+
+    room = lambda some: sum(t * uses[p] for p, t in patterns.items() if some & set(p))
+    total = floor(room(set(weights)) / (sum(weights.values()) or 1.0))
+    while some := starved(total):
+        total = min(total - 1, floor(room(some) / sum(weights[s] for s in some)))
+    # rounding down leaves less than one token a source
+    low, high = total, total + ceil(len(weights) / min((w for w in weights.values() if w > 0), default=1.0))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (low, middle - 1) if starved(middle) else (middle, high)
+    return low
+
+
+def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Texts that fill the gap of one stretch: at most ``FILLERS`` of each power of two are there to choose from."""
+    pdf = pdf.sort_values(["n_tokens", "digest"], ascending=[False, True])
+    left, taken = int(pdf["gap"].iloc[0]), []
+    for i, n in enumerate(pdf["n_tokens"]):
+        if n <= left:
+            left -= n
+            taken.append(i)
+    rest = pdf.drop(pdf.index[taken])
+    if left and len(rest):
+        off = (rest["n_tokens"] - left).abs()
+        if off.min() < left:
+            return pd.concat([pdf.iloc[taken], rest.loc[[off.idxmin()]]])[["p", "k", "part", "digest"]]
+    return pdf.iloc[taken][["p", "k", "part", "digest"]]
+
+
 class Mix:
     """``docs`` has doc_id, text and source; ``targets`` has source, weight and max_repeats.
 
@@ -112,42 +156,74 @@ class Mix:
             ),
             "texts",
         )
-        sums = self.texts.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).limit(MOST_PATTERNS + 1).collect()
+        self.texts = self.texts.withColumn("held", F.col("pattern"))
+        sums = self.texts.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).orderBy(F.desc("n"), "pattern").limit(MOST_PATTERNS + 1).collect()
         if len(sums) > MOST_PATTERNS:
-            raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
+            kept = self.spark.createDataFrame([(r["pattern"], True) for r in sums[:MOST_PATTERNS]], "pattern array<string>, kept boolean")
+            caps = F.create_map(*[F.lit(x) for k, (_, _, m) in self.targets.items() for x in (k, m)])
+            strictest = F.array_min(F.transform("pattern", lambda k: caps[k]))
+            one = F.array(F.get("pattern", F.pmod(F.xxhash64("digest"), F.size("pattern")).cast("int")), F.concat(F.lit("\x00"), strictest.cast("string")))
+            self.texts = written(self.texts.join(F.broadcast(kept), "pattern", "left").withColumn("pattern", F.when(F.col("kept"), F.col("pattern")).otherwise(one)).drop("kept"), "texts")
+            sums = self.texts.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).collect()  # the kept ones, and sources times caps
         self.patterns = {tuple(r["pattern"]): r["n"] for r in sorted(sums, key=lambda r: r["pattern"])}
-        present = {s for p in self.patterns for s in p}
+        present = {s for p in self.patterns for s in members(p)}
         mass = sum(self.targets[s][1] for s in present) or 1.0
         weights = {s: self.targets[s][1] / mass for s in sorted(present)}
-        uses = {p: min(self.targets[s][2] for s in p) for p in self.patterns}
+        uses = {p: int(p[-1][1:]) if p[-1].startswith("\x00") else min(self.targets[s][2] for s in p) for p in self.patterns}
+        self.weights = weights
         self.total, self.plan = solve(self.patterns, weights, uses, total)
 
-    def selection(self) -> DataFrame:
-        """doc_id, source, n_tokens, uses: how often each text is used for each source."""
-        rows, number = [], {p: i for i, p in enumerate(self.patterns)}
-        for p, k, cut in self.plan:
-            at = 0
-            for s, tokens in cut.items():
-                rows.append((number[p], k, s, at, at + tokens))
-                at += tokens
-        stretches = self.spark.createDataFrame(rows, "p int, k int, key string, lo long, hi long")
-        names = self.spark.createDataFrame([(list(p), i) for p, i in number.items()], "pattern array<string>, p int")
-        names = F.broadcast(names)  # at most MOST_PATTERNS rows
+    def _placed(self) -> DataFrame:
+        """The texts with the number ``p`` of their pattern and the place ``at`` of their first token in its hash order."""
+        names = self.spark.createDataFrame([(list(p), i) for i, p in enumerate(self.patterns)], "pattern array<string>, p int")
         order = F.xxhash64("digest", F.lit(self.seed))
-        texts = self.texts.join(names, "pattern").withColumn("order", order).withColumn("slice", F.shiftrightunsigned("order", 52).cast("int"))
+        texts = self.texts.join(F.broadcast(names), "pattern").withColumn("order", order).withColumn("slice", F.shiftrightunsigned("order", 52).cast("int"))  # at most MOST_PATTERNS rows and a few
         per = texts.groupBy("p", "slice").agg(F.sum("n_tokens").alias("n"))  # at most patterns times SLICES rows
         before = Window.partitionBy("p").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
         base = per.select("p", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
         within = Window.partitionBy("p", "slice").orderBy("order", "digest").rowsBetween(Window.unboundedPreceding, -1)
         placed = texts.join(base, ["p", "slice"]).withColumn("at", F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-        used = placed.join(F.broadcast(stretches), (placed["p"] == stretches["p"]) & (placed["at"] >= stretches["lo"]) & (placed["at"] < stretches["hi"]))
+        return placed.select("p", "at", "order", "digest", "n_tokens", "doc_of")
+
+    def selection(self) -> DataFrame:
+        """doc_id, source, n_tokens, uses: how often each text is used for each source."""
+        number = {p: i for i, p in enumerate(self.patterns)}
+        rows = []
+        for p, k, cut in self.plan:
+            ends, at = [], 0
+            for s, tokens in cut.items():
+                ends.append((s, at, at + tokens))
+                at += tokens
+            cuts = [(lo, hi) for _, lo, hi in ends]
+            rows += [(number[p], k, i, len(ends), s, lo, hi, cuts) for i, (s, lo, hi) in enumerate(ends)]
+        schema = "p int, k int, part int, parts int, key string, lo long, hi long, cuts array<struct<lo:long,hi:long>>"
+        stretches = self.spark.createDataFrame(rows, schema)  # as many as the plan has: patterns times uses times sources
+        placed = written(self._placed(), "placed")
+        small = len(rows) <= MOST_PATTERNS
+        met = placed.join(F.broadcast(stretches) if small else stretches, "p")
+        end = F.col("at") + F.col("n_tokens")
+        inside = met.filter((F.col("at") >= F.col("lo")) & (end <= F.col("hi")))
+        got = inside.groupBy("p", "k", "part").agg(F.sum("n_tokens").alias("got"))
+        gaps = written(stretches.join(got, ["p", "k", "part"], "left").select("p", "k", "part", (F.col("hi") - F.col("lo") - F.coalesce("got", F.lit(0))).alias("gap")).filter("gap > 0"), "gaps")
+        # a text that no stretch of its use holds whole may fill the gap of one of them
+        free = met.filter(~F.exists("cuts", lambda c: (F.col("at") >= c["lo"]) & (end <= c["hi"])) & (F.pmod(F.xxhash64("digest", "k"), "parts") == F.col("part")))
+        fits = free.join(F.broadcast(gaps) if small else gaps, ["p", "k", "part"]).filter(F.col("n_tokens") < 2 * F.col("gap"))
+        size = F.floor(F.log2(F.col("n_tokens"))).cast("int")
+        few = Window.partitionBy("p", "k", "part", "size").orderBy("order", "digest")
+        fits = fits.withColumn("size", size).withColumn("n", F.row_number().over(few)).filter(F.col("n") <= FILLERS)
+        chosen = fits.select("p", "k", "part", "gap", "n_tokens", "digest").groupBy("p", "k", "part").applyInPandas(_fill, "p int, k int, part int, digest string")
+        fill = met.join(chosen, ["p", "k", "part", "digest"], "left_semi")
+        used = inside.select("key", "n_tokens", "doc_of").unionByName(fill.select("key", "n_tokens", "doc_of"))
         return used.groupBy(F.col("doc_of")[F.col("key")].alias("doc_id"), "key", "n_tokens").agg(F.count(F.lit(1)).alias("uses")).select("doc_id", F.col("key").alias("source"), "n_tokens", "uses")
 
     def report(self) -> DataFrame:
-        """source, weight, target_share, share, n_texts, n_uses, n_tokens of each target, those without texts included."""
+        """source, weight, target_share, share, n_texts, n_uses, n_tokens of each target, those without texts included.
+
+        ``target_share`` is the weight over the weights of the sources that have texts, which is what the mix aims at;
+        it is 0 for the others.
+        """
         got = self.selection().groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("uses").alias("n_uses"), F.sum(F.col("uses") * F.col("n_tokens")).alias("n_tokens"))
-        mass = sum(w for _, w, _ in self.targets.values()) or 1.0
-        rows = [(k, name, w, w / mass, m) for k, (name, w, m) in self.targets.items()]
+        rows = [(k, name, w, self.weights.get(k, 0.0), m) for k, (name, w, m) in self.targets.items()]
         all_sources = self.spark.createDataFrame(rows, "key string, source string, weight double, target_share double, max_repeats int")
         all_tokens = F.sum("n_tokens").over(Window.partitionBy())  # a row per target
         return (

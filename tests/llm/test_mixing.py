@@ -59,6 +59,53 @@ def test_shares_caps_and_overlap(spark):
     assert sum(r["n_tokens"] for r in other.report().collect()) == pytest.approx(400, abs=40)
 
 
+def test_the_total_is_that_of_a_search():
+    import random
+
+    from accordant.llm import mixing
+
+    rng = random.Random(8)
+    for _ in range(40):
+        names = "abcde"[: rng.randint(1, 5)]
+        patterns = {tuple(sorted(rng.sample(names, rng.randint(1, len(names))))): rng.randint(1, 60) for _ in range(rng.randint(1, 7))}
+        present = {s for p in patterns for s in p}
+        raw = {s: rng.random() + 0.05 for s in sorted(present)}
+        weights = {s: w / sum(raw.values()) for s, w in raw.items()}
+        uses = {p: rng.randint(1, 3) for p in patterns}
+        total, plan = solve(patterns, weights, uses, None)
+        reached = lambda t: sum(n for _, _, cut in solve(patterns, weights, uses, t)[1] for n in cut.values()) == sum(int(t * w) for w in weights.values())
+        assert reached(total) and not any(reached(t) for t in range(total + 1, total + 4))
+        for p, k, cut in plan:
+            assert sum(cut.values()) <= patterns[p] and k <= uses[p]
+
+
+def test_long_texts_do_not_overshoot(spark):
+    words = "lesion border pigment network scale crust "
+    rows = [(i, f"{i} " + words * 200, "long") for i in range(12)] + [(100 + i, f"{i} " + words * (i % 9), "long") for i in range(200)]
+    rows += [(1000 + i, f"short text {i} " + words, "short") for i in range(400)]
+    mix = Mix(frame(spark, rows), targets(spark, [("long", 1.0, 1), ("short", 2.0, 1), ("none", 7.0, 1)]), PATH)
+    report = {r["source"]: r for r in mix.report().collect()}
+    for s, share in (("long", 1 / 3), ("short", 2 / 3), ("none", 0.0)):
+        assert report[s]["target_share"] == pytest.approx(share) and report[s]["share"] == pytest.approx(share, abs=0.003)
+
+
+def test_more_patterns_than_the_graph_takes(spark, monkeypatch):
+    from accordant.llm import mixing
+
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 2)
+    names = ["a", "b", "c"]
+    rows = [(i * 3 + j, f"text {i}", s) for i in range(60) for j, s in enumerate(names[: 1 + i % 3])] + [(900 + i, f"own {i}", "c") for i in range(30)]
+    mix = Mix(frame(spark, rows), targets(spark, [("a", 1.0, 3), ("b", 1.0, 2), ("c", 1.0, 1)]), PATH)
+    got = mix.selection().collect()
+    text = {r[0]: r[1] for r in rows}
+    uses = {}
+    for r in got:
+        uses[text[r["doc_id"]]] = uses.get(text[r["doc_id"]], 0) + r["uses"]
+    strictest = {t: min({"a": 3, "b": 2, "c": 1}[s] for _, t2, s in rows if t2 == t) for t in uses}
+    assert got and all(n <= strictest[t] for t, n in uses.items())
+    assert {r["source"] for r in mix.report().collect() if r["n_uses"]} == {"a", "b", "c"}
+
+
 def test_empty(spark):
     aims = targets(spark, [("a", 1.0, 1)])
     assert Mix(frame(spark, []), aims, PATH).selection().count() == 0
