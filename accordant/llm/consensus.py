@@ -19,7 +19,8 @@ A reading with several labels leaves open which is meant.  Votes of such a ``kin
 annotator's r and s, estimated by moments as well: their corrected agreement with others' sure votes over the sum of
 r_i r_j of the pairs.
 
-Each item is only paired with anchors, so the work is linear in the votes however many annotators an item has.
+Each item is only paired with anchors, so the work is linear in the votes however many annotators an item has.  An
+annotator whom no triplet of anchors reaches gets one moment over all annotators whose reliability is known.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ ANCHORS = 64
 LEAST, MOST = 0.02, 0.98
 DEFAULT = 0.5  # of an annotator who shares too few items with others
 PARTNER_SHARE = 0.25  # of the errors beyond chance on a label, for a partner
+UNNAMED = 1e-6  # chance of a label that no sure vote names
 SHRINK = 5.0  # items' worth of the mean reliability blended into each estimate
 
 
@@ -74,10 +76,11 @@ class Consensus:
         known = votes.filter("term is not null and item is not null").withColumn("annotator", F.coalesce("annotator", F.lit("")))
         self.all = known if shared else written(shares(known), "votes")
         self.votes = self.all.filter("kind = 'sure'")
-        rows = self.votes.groupBy("term").agg(F.sum("share").alias("n")).collect()  # at most the vocabulary
-        total = sum(r["n"] for r in rows) or 1.0
-        self.marginal = {r["term"]: r["n"] / total for r in rows}
-        self.chance = sum(p * p for p in self.marginal.values())
+        named = written(self.votes.groupBy("term").agg(F.sum("share").alias("n")), "named")
+        sums = named.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).first()
+        total = sums["n"] or 1.0
+        self.marginal = named.select("term", (F.col("n") / total).alias("q"))
+        self.chance = (sums["same"] or 0.0) / total**2
         self._reliability()
 
     def _agreement(self, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -111,7 +114,7 @@ class Consensus:
             return pd.DataFrame({"annotator": [pdf["annotator"].iloc[0]], "raw": [r], "shared": [n.sum()], "triplets": [used]})
 
         found = stats.groupBy("annotator").applyInPandas(one, "annotator string, raw double, shared double, triplets long")
-        found = written(found, "raw")
+        found = self._from_neighbours(written(found, "raw"), c)
         mean = found.filter("not isnan(raw)").agg((F.sum(F.col("raw") * F.col("shared")) / F.sum("shared")).alias("m")).first()["m"]
         mean = DEFAULT if mean is None else mean
         everyone = self.all.groupBy("annotator").agg(F.sum("share").alias("n"))
@@ -132,52 +135,66 @@ class Consensus:
             x = met.agg(F.sum((F.col("agree") - c * F.col("n")) / (1 - c)).alias("a"), F.sum(F.col("n") * F.col("reliability") * F.col("r")).alias("b")).first()
             self.fractions[kind] = float(min(max(x["a"] / x["b"], LEAST), 1.0)) if x["b"] else LEAST
 
+    def _from_neighbours(self, found: DataFrame, c: float) -> DataFrame:
+        """``found`` with the annotators that no triplet of anchors reaches, from everyone whose reliability is known.
+
+        Agreement with known annotators j, corrected for chance, is r_i times the sum of their r_j, so one moment gives
+        r_i.  Sums by item and term stand for the others, so no two annotators are paired.  Whom this reaches is known
+        in the next round; who shares no item with anyone known stays without an estimate.
+        """
+        known = found.filter("raw is not null and not isnan(raw)")
+        rest = self.votes.select("annotator").distinct().join(known, "annotator", "left_anti")
+        while not rest.isEmpty():
+            rated = self.votes.join(known.select("annotator", F.least(F.col("raw"), F.lit(MOST)).alias("r")), "annotator")
+            items = rated.groupBy("tbl", "item").agg(F.sum("share").alias("every"), F.sum(F.col("share") * F.col("r")).alias("rated"))
+            terms = rated.groupBy("tbl", "item", "term").agg(F.sum("share").alias("same"))
+            open_ = self.votes.join(rest, "annotator", "left_semi").join(items, ["tbl", "item"]).join(terms, ["tbl", "item", "term"], "left")
+            sums = open_.groupBy("annotator").agg(*[F.sum(F.col("share") * F.coalesce(x, F.lit(0.0))).alias(x) for x in ("every", "rated", "same")])
+            raw = (F.col("same") - c * F.col("every")) / ((1 - c) * F.col("rated"))
+            fresh = written(sums.filter("rated > 0").select("annotator", F.greatest(raw, F.lit(0.0)).alias("raw"), F.col("every").alias("shared"), F.lit(0).cast("long").alias("triplets")), "raw")
+            if fresh.isEmpty():
+                break
+            known = written(known.unionByName(fresh), "raw")
+            rest = written(rest.join(fresh, "annotator", "left_anti"), "rest")
+        return known
+
     def _scores(self, mixing: bool) -> DataFrame:
         """tbl, item, term, s (log-odds), v (share of votes) and q of every label that a vote speaks for."""
-        q = F.create_map(*[F.lit(x) for kv in self.marginal.items() for x in kv]) if self.marginal else F.create_map(F.lit(0), F.lit(1.0))
-        part = F.create_map(*[F.lit(x) for kv in self.fractions.items() for x in kv])[F.col("kind")]
-        first = self.all.join(self.mixing if mixing else self.reliability.withColumn("mix", F.lit(0.0)), "annotator")
+        part = F.create_map(*[F.lit(x) for kv in self.fractions.items() for x in kv])[F.col("kind")]  # a few kinds
+        first = self.all.join(self.mixing if mixing else self.reliability.withColumn("mix", F.lit(0.0)), "annotator").join(self.marginal, "term", "left")
         first = first.withColumn("reliability", part * F.col("reliability")).withColumn("mix", part * F.col("mix"))
-        first = first.withColumn("rest", (1 - F.col("reliability") - F.col("mix")) * F.coalesce(q[F.col("term")], F.lit(1e-6)))
+        first = first.withColumn("rest", (1 - F.col("reliability") - F.col("mix")) * F.coalesce("q", F.lit(UNNAMED)))
         voted = F.when(F.col("kind") == "sure", F.col("share")).otherwise(0.0)
         scored = first.select("tbl", "item", "term", (F.col("share") * F.log(1 + F.col("reliability") / F.col("rest"))).alias("s"), voted.alias("v"))
-        if mixing and self.partners:
-            sources: dict[int, list[int]] = {}
-            for k, l in self.partners.items():
-                sources.setdefault(l, []).append(k)
-            back = F.create_map(*[x for l, ks in sources.items() for x in (F.lit(l), F.array(*map(F.lit, ks)))])
-            other = first.filter(F.col("mix") > 0).withColumn("k", F.explode(back[F.col("term")]))
+        if mixing and self.partners is not None:
+            # a vote for the partner of k speaks for k as well
+            other = first.filter(F.col("mix") > 0).join(self.partners.select(F.col("partner").alias("term"), "truth"), "term")
             scored = scored.unionByName(
-                other.select("tbl", "item", F.col("k").alias("term"), (F.col("share") * F.log(1 + F.col("mix") / F.col("rest"))).alias("s"), F.lit(0.0).alias("v"))
+                other.select("tbl", "item", F.col("truth").alias("term"), (F.col("share") * F.log(1 + F.col("mix") / F.col("rest"))).alias("s"), F.lit(0.0).alias("v"))
             )
         per = scored.groupBy("tbl", "item", "term").agg(F.sum("s").alias("s"), F.sum("v").alias("v"))
-        return per.withColumn("q", F.coalesce(q[F.col("term")], F.lit(1e-6))).withColumn("s", F.col("s") + F.log("q"))
+        return per.join(self.marginal, "term", "left").withColumn("q", F.coalesce("q", F.lit(UNNAMED))).withColumn("s", F.col("s") + F.log("q"))
 
     def _confusions(self) -> None:
         """Partners of labels, and each annotator's rate of naming the partner, from a first round of consensus."""
         best = self._scores(False).groupBy("tbl", "item").agg(F.max(F.struct("s", (-F.col("term")).alias("t"))).alias("top"))
         known = self.votes.join(best.select("tbl", "item", (-F.col("top.t")).alias("truth")), ["tbl", "item"])
         counts = written(known.groupBy("annotator", "term", "truth").agg(F.sum("share").alias("n")).join(self.reliability, "annotator"), "confusions")
-        wrong: dict[int, dict[int, float]] = {}
-        # at most the vocabulary squared; annotators who mostly guess say little
-        for r in counts.groupBy("truth", "term").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (1 - F.col("reliability"))).alias("x")).collect():
-            if r["truth"] != r["term"]:
-                wrong.setdefault(r["truth"], {})[r["term"]] = r["n"]
-        self.partners = {}
-        for k, row in wrong.items():
-            total, rest = sum(row.values()), 1 - self.marginal.get(k, 0)
-            beyond = {l: n - total * self.marginal[l] / rest for l, n in row.items()}
-            l = max(sorted(beyond), key=lambda x: beyond[x])
-            if beyond[l] >= PARTNER_SHARE * sum(x for x in beyond.values() if x > 0) and beyond[l] > 3 * max(row[l], 1.0) ** 0.5:
-                self.partners[k] = l
-        if not self.partners:
-            self.mixing = self.reliability.withColumn("mix", F.lit(0.0))
+        # errors of everyone on each label, and the named label that they favour most beyond its chance
+        wrong = counts.filter("truth <> term").groupBy("truth", "term").agg(F.sum("n").alias("n"))
+        rate = wrong.join(self.marginal, "term").join(self.marginal.select(F.col("term").alias("truth"), F.col("q").alias("q_truth")), "truth", "left")
+        total = rate.groupBy("truth").agg(F.sum("n").alias("total"))
+        beyond = rate.join(total, "truth").withColumn("beyond", F.col("n") - F.col("total") * F.col("q") / (1 - F.coalesce("q_truth", F.lit(0.0))))
+        top = beyond.groupBy("truth").agg(F.max(F.struct("beyond", (-F.col("term")).alias("t"), "n", "q")).alias("top"), F.sum(F.greatest("beyond", F.lit(0.0))).alias("over"))
+        favoured = (F.col("top.beyond") >= PARTNER_SHARE * F.col("over")) & (F.col("top.beyond") > 3 * F.sqrt(F.greatest("top.n", F.lit(1.0))))
+        partners = written(top.filter(favoured).select("truth", (-F.col("top.t")).alias("partner"), F.col("top.q").alias("q")), "partners")
+        if partners.isEmpty():
+            self.partners, self.mixing = None, self.reliability.withColumn("mix", F.lit(0.0))
             return
-        pairs = F.create_map(*[F.lit(x) for kv in self.partners.items() for x in kv])
-        q = F.create_map(*[F.lit(x) for kv in self.marginal.items() for x in kv])
-        at = counts.withColumn("partner", pairs[F.col("truth")]).filter("partner is not null")
+        self.partners = partners
+        at = counts.join(partners, "truth")
         named = F.sum(F.when(F.col("term") == F.col("partner"), F.col("n")).otherwise(0.0))
-        by_chance = F.sum(F.col("n") * (1 - F.col("reliability")) * q[F.col("partner")])
+        by_chance = F.sum(F.col("n") * (1 - F.col("reliability")) * F.col("q"))
         rate = at.groupBy("annotator").agg(((named - by_chance) / (F.sum("n") + SHRINK)).alias("rate"))
         mix = F.least(F.greatest(F.coalesce("rate", F.lit(0.0)), F.lit(0.0)), (1 - F.col("reliability")) * 0.95)
         self.mixing = written(self.reliability.join(rate, "annotator", "left").withColumn("mix", mix).drop("rate"), "mixing")

@@ -17,6 +17,8 @@ _WORD = re.compile(r"[^\W_]+")
 #: Words before a term that deny it.
 _DENIALS = re.compile(r"(?:\bnot|\bno|\bno sign of|\bno signs of|\bwithout|\brather than|\bexclude[sd]?|\binstead of)\s+$")
 
+LONGEST_DENIAL = len("no signs of")
+
 
 def compact(text: str) -> str:
     """A label without case, white space and marks."""
@@ -52,6 +54,7 @@ class Vocabulary:
         for text, term in sorted(spellings.items(), key=lambda x: (x[1], x[0])):
             if key := compact(text):
                 self.terms.setdefault(key, term)
+        self.longest = max(map(len, self.terms), default=0)
         # the words that a spelling begins with, and the most words of such a spelling
         self.opening: dict[str, int] = {}
         for text in spellings:
@@ -85,7 +88,7 @@ class Vocabulary:
         if key not in self.cache:
             if len(self.cache) >= CACHE_ENTRIES:
                 self.cache.clear()
-            self.cache[key] = self._nearest(key) if len(key) <= 200 else None
+            self.cache[key] = self._nearest(key) if len(key) <= self.longest + 2 else None  # no spelling is within two slips
         return self.cache[key]
 
     def caption(self, text: str | None) -> int | None:
@@ -99,8 +102,10 @@ class Vocabulary:
             for n in range(min(self.opening.get(words[i].group(), 0), len(words) - i), 0, -1):
                 term = self.terms.get("".join(w.group() for w in words[i : i + n]))
                 if term is not None:
-                    before = low[max(0, words[i].start() - 40) : words[i].start()]
-                    if not _DENIALS.search(before):
+                    end = words[i].start()
+                    space = end - (words[i - 1].end() if i else 0)
+                    # white space of any length, and before it at most the longest denial and the character before that
+                    if low[end - space : end].strip() or not _DENIALS.search(low[max(0, end - space - LONGEST_DENIAL - 1) : end]):
                         return term
                     i += n - 1
                     break

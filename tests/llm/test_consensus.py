@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from accordant.llm import consensus
 from accordant.llm.consensus import Consensus, triplets
 from accordant.llm.labels import Vocabulary, distance, guesses, vocabulary
 
@@ -41,7 +42,28 @@ def test_recovery_of_labels_and_reliability(spark):
     assert accuracy > 0.97 and accuracy > plain
     r = {x["annotator"]: x["reliability"] for x in c.reliability.collect()}
     assert all(abs(r[k] - skill[k]) < 0.1 for k in "abcdeg")
-    assert c.partners == {k: k ^ 1 for k in range(8)}
+    assert {r["truth"]: r["partner"] for r in c.partners.collect()} == {k: k ^ 1 for k in range(8)}
+
+
+def test_annotators_beyond_the_anchors(spark, monkeypatch):
+    """Who meets no anchor is rated from those who do, however long the chain; who meets nobody gets the mean."""
+    monkeypatch.setattr(consensus, "ANCHORS", 3)
+    rng = np.random.default_rng(5)
+    rows = []
+
+    def read(items, **skill):
+        for i in items:
+            for who, p in skill.items():
+                rows.append(("t", str(i), who, "sure", int(i % 6 if rng.random() < p else rng.integers(0, 6))))
+
+    read(range(0, 900), a=0.9, b=0.9, c=0.8)
+    read(range(700, 900), d=0.7)
+    read(range(900, 1200), d=0.7, e=0.9, f=0.2)
+    read(range(1200, 1400), e=0.9, g=0.6)
+    read(range(2000, 2010), lonely=0.9)
+    r = {x["annotator"]: x["reliability"] for x in Consensus(votes(spark, rows)).reliability.collect()}
+    assert all(abs(r[k] - p) < 0.12 for k, p in dict(a=0.9, b=0.9, c=0.8, d=0.7, e=0.9, f=0.2, g=0.6).items())
+    assert 0.5 < r["lonely"] < 0.9
 
 
 def test_doubtful_kinds_count_in_part(spark):
@@ -70,7 +92,7 @@ def test_vocabulary(spark):
     assert names == {1: "steilonevoid keratosis", 2: "cruilobuloma", 3: None}
     for text, term in [(" Steilonevoid_keratosis.", 1), ("sak5", 1), ("SAK6", None), ("cruilbuloma", 2), ("cruiloubloma", 2), ("keratosis,-steilonevoid", 1), ("", None), (None, None), ("x" * 5000, None), ("rash", 3)]:
         assert words.label(text) == term
-    for text, term in [("Not rash but cruilobuloma.", 2), ("Shown is SAK5, no sign of rash.", 1), ("keratosis, steilonevoid rather than cruilobuloma; 4 mm", 1), ("no rash", None), (None, None), ("a " * 20_000, None)]:
+    for text, term in [("Not rash but cruilobuloma.", 2), ("Shown is SAK5, no sign of rash.", 1), ("keratosis, steilonevoid rather than cruilobuloma; 4 mm", 1), ("no rash", None), (None, None), ("a " * 20_000, None), ("no sign of" + " " * 90 + "rash", None), ("not: rash", 3), ("x" * 60 + " no rash, cruilobuloma", 2)]:
         assert words.caption(text) == term
 
 
