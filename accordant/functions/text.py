@@ -13,6 +13,11 @@ def label_set(c: Column) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(F.array_compact(c))), F.array().cast("array<string>"))
 
 
+def folded(c: Column) -> Column:
+    """A text without case: lower after upper, so that a sharp s is two and a final sigma is like others."""
+    return F.lower(F.upper(c))
+
+
 def joined(c: Column) -> Column:
     """The labels of a set as one text."""
     return F.array_join(c, " ")

@@ -19,7 +19,21 @@ THRESHOLD = 0.05
 CAP = 100_000
 #: A sample whose variance is below this has no kernel density.
 SINGULAR = 1e-30
-_erf = np.frompyfunc(math.erf, 1, 1)
+#: The error function is cubic between knots, with its own slopes there: off by less than 1e-13.
+_STEP, _KNOTS = 1 / 1024, 6 * 1024
+_AT = np.array([math.erf(i * _STEP) for i in range(_KNOTS + 1)])
+_SLOPE = np.exp(-((np.arange(_KNOTS + 1) * _STEP) ** 2)) * (2 / math.sqrt(math.pi)) * _STEP
+#: Differences that one step of the kernel density holds.
+AT_ONCE = 4_000_000
+
+
+def erf(x: np.ndarray) -> np.ndarray:
+    """The error function of every element."""
+    size = np.minimum(np.abs(x), _KNOTS * _STEP) / _STEP
+    i = np.minimum(size.astype(np.int64), _KNOTS - 1)
+    t = size - i
+    a, b, p, q = _AT[i], _AT[i + 1], _SLOPE[i], _SLOPE[i + 1]
+    return np.copysign(a + t * (p + t * (3 * (b - a) - 2 * p - q + t * (2 * (a - b) + p + q))), x)
 
 
 def frequencies(weights: np.ndarray, cap: int = CAP) -> np.ndarray:
@@ -38,10 +52,11 @@ def sigma(observed: np.ndarray, n_observed: np.ndarray, expected: np.ndarray, n_
     variance = (n_expected * (expected - mean) ** 2).sum() / (total - 1) if total > 1 else 0.0
     if variance > SINGULAR:
         h = math.sqrt(variance) * total ** (-1 / 5)
-        phi = lambda x: 0.5 * (1.0 + _erf(x / math.sqrt(2)).astype(float))
-        zero = phi((0.0 - expected) / h)
-        below = np.array([((phi((d - expected) / h) - zero) * n_expected).sum() / total for d in observed])
-        bad = below < threshold
+        share, wide = n_expected / total, h * math.sqrt(2)
+        zero = (erf(-expected / wide) * share).sum()
+        rows = max(1, AT_ONCE // max(1, len(expected)))
+        below = [0.5 * (erf((observed[k : k + rows, None] - expected) / wide) @ share - zero) for k in range(0, len(observed), rows)]
+        bad = np.concatenate(below) < threshold if below else np.zeros(0, bool)
     else:
         bad = observed < quantile(expected, n_expected, threshold)
     return float((n_observed * bad).sum() / n_observed.sum())

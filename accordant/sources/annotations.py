@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from accordant.functions.keys import stripped
+from accordant.functions.text import folded
 
 #: What stands for no category.
 NO_CATEGORY = {"disease_label": ["no definitive diagnosis"], "skin_concept": ["no visual concepts"]}
@@ -16,12 +17,12 @@ def _prefixed(tags: Column, prefix: str) -> Column:
 
 
 def category(row_field: str) -> Column:
-    """The set of lower-case tags of ``disease_label``, ``skin_concept`` or ``both``; null where there is none."""
+    """The set of case-folded tags of ``disease_label``, ``skin_concept`` or ``both``; null where there is none."""
     if row_field == "both":
         named = [_prefixed(category(f), f + ":") for f in NO_CATEGORY]
         union = F.array_sort(F.array_union(*named))
         return F.when(F.size(union) > 0, union)
-    text = F.lower(stripped(F.coalesce(F.col(row_field), F.lit(""))))
+    text = folded(stripped(F.coalesce(F.col(row_field), F.lit(""))))
     if row_field == "disease_label":
         tags = F.array(text)
     else:
@@ -31,7 +32,7 @@ def category(row_field: str) -> Column:
 
 def parent_label(hierarchy: Column, leaf: Column) -> Column:
     """The comma-separated hierarchy without the leaf, in any case; null if nothing is left."""
-    parts = F.filter(F.transform(F.split(hierarchy, ","), stripped), lambda p: (p != "") & (F.lower(p) != F.lower(stripped(leaf))))
+    parts = F.filter(F.transform(F.split(hierarchy, ","), stripped), lambda p: (p != "") & (folded(p) != folded(stripped(leaf))))
     joined = F.array_join(parts, ", ")
     return F.when(joined != "", joined)
 
@@ -48,7 +49,7 @@ def derm1_concepts(rows: DataFrame) -> DataFrame:
     Captions that differ in case only are one.  ``rows`` has row_id, phash, filename, caption, disease_label and
     hierarchical_disease_label.
     """
-    good = usable(rows).withColumn("key", F.lower("caption"))
+    good = usable(rows).withColumn("key", folded(F.col("caption")))
     once = good.groupBy("phash", "key").agg(F.min(F.struct("row_id", "caption")).alias("x"))
     captions = once.groupBy("phash").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["caption"]).alias("captions"), F.min("x.row_id").alias("ord"))
     parent = parent_label(F.col("hierarchical_disease_label"), F.col("disease_label"))

@@ -191,3 +191,10 @@ def test_errors_and_significance(spark):
     assert e["g", "sparse"]["mean_mape"] is None and e["h", "alone"]["std_mae"] == 0.0
     named = spark.createDataFrame([("m", "greedy"), ("m", "hungarian"), ("m", None)], "a string, b string").select(summaries.strategy_name(F.col("a"), F.col("b"))).collect()
     assert [r[0] for r in named] == ["m (greedy)", "m", "m"]
+
+
+def test_error_function():
+    import math
+
+    x = np.concatenate([np.linspace(-7, 7, 20_001), [0.0, -0.0, 1e-300, 40.0, -40.0, np.inf]])
+    assert np.abs(distribution.erf(x) - [math.erf(v) for v in x]).max() < 1e-12
