@@ -88,11 +88,14 @@ def with_true_pairs(matrices: DataFrame, predictions: DataFrame, measures: list[
     return wanted.filter((F.size("cost") > 0) & (F.size(F.get("cost", 0)) > 0)).join(truths, TRUTH_KEY)
 
 
-def matrix_costs(matrices: DataFrame, predictions: DataFrame, at: Column) -> DataFrame:
+def matrix_costs(matrices: DataFrame, predictions: DataFrame, at: Column, reasoning: bool | None = None) -> DataFrame:
     """measure, x, y, cost, at: the labels of the prediction of the same key and measure with each cell's cost.
 
-    Matrices whose shape is not that of the label lists are left out; ``unmatched_matrices`` counts them.
+    Matrices whose shape is not that of the label lists are left out; ``unmatched_matrices`` counts them.  With
+    ``reasoning`` only predictions of runs with it (or without it, null counting as without) are taken.
     """
+    if reasoning is not None:
+        predictions = predictions.filter(F.coalesce("reasoning", F.lit(False)) == reasoning)
     words = predictions.filter("rater_a is not null and rater_b is not null").groupBy(*KEY, "measure").agg(F.max_by(F.struct("rater_a", "rater_b"), "row_id").alias("w"))
     words = words.select(*KEY, base_measure(F.col("measure")).alias("measure"), F.from_json("w.rater_a", "array<string>").alias("a"), F.from_json("w.rater_b", "array<string>").alias("b"))
     met = matrices.withColumn("measure", base_measure(F.col("measure"))).withColumn("at", at).join(words, [*KEY, "measure"])
@@ -107,6 +110,20 @@ def newest(costs: DataFrame, keys: list[str], at: str = "at") -> DataFrame:
     return costs.groupBy(*keys).agg(F.max_by("cost", F.struct(at, "cost")).alias("cost"))
 
 
+def load_costs(matrices: DataFrame, predictions: DataFrame, pair_costs: DataFrame | None = None, reasoning: bool = False, at: str = "loaded_at", measures: list[str] | None = None) -> DataFrame:
+    """measure, x, y, cost: the newest cost of each pair of labels out of matrices and of pair costs, as one history.
+
+    ``pair_costs`` is what ``read_pair_costs`` gives.  Runs with reasoning and without are kept apart.  Null costs and
+    labels are left out; of equally new costs the largest counts.
+    """
+    costs = matrix_costs(matrices, predictions, F.col(at).cast("timestamp"), reasoning)
+    if pair_costs is not None:
+        own = pair_costs.filter(F.coalesce("reasoning", F.lit(False)) == reasoning)
+        costs = costs.unionByName(own.select(base_measure(F.col("measure")).alias("measure"), *unordered(F.col("x"), F.col("y")), "cost", F.col("written_at").cast("timestamp").alias("at")))
+    costs = costs.filter("cost is not null and x is not null and y is not null")
+    return newest(costs.filter(F.col("measure").isin(measures)) if measures is not None else costs, ["measure", "x", "y"])
+
+
 def unmatched_matrices(matrices: DataFrame, predictions: DataFrame) -> DataFrame:
     """reason, n: matrices without a prediction of their key and measure, and those of another shape."""
     words = predictions.filter("rater_a is not null").groupBy(*KEY, "measure").agg(F.max_by(F.struct("rater_a_set_size", "rater_b_set_size"), "row_id").alias("w"))

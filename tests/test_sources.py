@@ -144,3 +144,20 @@ def test_true_pairs_go_by_measure_not_by_mode(spark):
     said = spark.createDataFrame([("d", "single", "r", "m", 0.5, 1, 0, "[[0, 0]]", 1)], key + ", true_assignment string, row_id long")
     got = results.with_true_pairs(cost, said).collect()
     assert [(r["measure"], [tuple(p) for p in r["truth"]]) for r in got] == [("m", [(0, 0)])]
+
+
+def test_costs_of_matrices_and_pairs_are_one_history(spark):
+    from datetime import datetime
+
+    day = lambda d: datetime(2024, 1, d)
+    key = ("d", "set", "r", 0.5, 1)
+    p = spark.createDataFrame(
+        [(*key, "nli", "self", False, 0, 1, 1, '["a"]', '["b"]', 0.5, False, "[]", 1), (*key, "nli", "self", True, 1, 1, 1, '["a"]', '["b"]', 0.5, False, "[]", 2)], results.PREDICTION_SCHEMA + ", row_id long"
+    )
+    m = spark.createDataFrame([(*key, "nli", 0, [[0.1]], day(2)), (*key, "nli", 1, [[0.9]], day(5))], results.MATRIX_SCHEMA + ", loaded_at timestamp")
+    pairs = spark.createDataFrame(
+        [("nli_single", False, "b", "a", 0.3, day(3)), ("nli", None, "a", "c", 0.4, day(1)), ("nli", True, "a", "c", 0.7, day(9)), ("nli", False, "a", "b", None, day(8))], results.PAIR_SCHEMA + ", written_at timestamp"
+    )
+    found = lambda **more: sorted((r["x"], r["y"], r["cost"]) for r in results.load_costs(m, p, **more).collect())
+    assert found(pair_costs=pairs) == [("a", "b", 0.3), ("a", "c", 0.4)] and found() == [("a", "b", 0.1)]
+    assert found(pair_costs=pairs, reasoning=True) == [("a", "b", 0.9), ("a", "c", 0.7)] and found(measures=["x"]) == []
