@@ -69,6 +69,15 @@ def children(concepts: DataFrame) -> DataFrame:
     return keys.join(named, "key").filter("code <> candidate").select("code", "candidate")
 
 
+def hierarchy_edges(concepts: DataFrame, direction: str, hops: int = 1, titles: DataFrame | None = None, above: DataFrame | None = None) -> DataFrame:
+    """code, candidate by direction: ``parent`` (up to ``hops`` links above) or ``children``; another one is an error."""
+    if direction == "parent":
+        return ancestors(concepts, hops, titles, above).select("code", "candidate")
+    if direction == "children":
+        return children(concepts).distinct()
+    raise ValueError(f"direction must be parent or children, not {direction!r}")
+
+
 def _similarity(x: str, y: str):
     total = F.length(x) + F.length(y)
     return F.when(total == 0, 1.0).otherwise(2.0 * lcs_length(F.col(x), F.col(y)) / F.greatest(total, F.lit(1)))

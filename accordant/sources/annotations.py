@@ -125,3 +125,26 @@ def passion_annotations(rows: DataFrame, subjects: DataFrame) -> DataFrame:
     tags = F.array_sort(F.array_distinct(F.filter(F.array(F.lower(F.trim("diagnosis")), F.lower(F.trim("conditions"))), lambda t: t != "")))
     known = subjects.select("subject_id", F.coalesce(tags, F.array().cast("array<string>")).alias("category"))
     return filled.join(several, "img_path", "left_semi").join(known, "subject_id").select(F.col("img_path").alias("key"), F.trim("caption").alias("caption"), "category", "source", F.col("source").alias("ord"))
+
+
+def wanted_members(rows: DataFrame) -> DataFrame:
+    """member, filename: the names under which an archive may hold an image, its path and its path without the archive.
+
+    A name that is some image's whole path is that image's; else the image of the smallest path has it.
+    """
+    named = rows.filter("filename is not null").select("filename")
+    short = named.filter("filename like '%/%'").select(F.expr("substr(filename, instr(filename, '/') + 1)").alias("member"), F.lit(1).alias("rank"), "filename")
+    both = named.select(F.col("filename").alias("member"), F.lit(0).alias("rank"), "filename").unionByName(short.filter("member <> ''"))
+    return both.groupBy("member").agg(F.min(F.struct("rank", "filename")).alias("x")).select("member", "x.filename")
+
+
+def with_hashes(rows: DataFrame, cache: DataFrame) -> DataFrame:
+    """``rows`` with the ``phash`` of their file out of the cache (filename, phash), null where it has none."""
+    one = cache.filter("filename is not null").groupBy("filename").agg(F.max("phash").alias("phash"))
+    return rows.drop("phash").join(one, "filename", "left")
+
+
+def append_hashes(found: DataFrame, cache: DataFrame, path: str) -> None:
+    """Appends to the cache's folder the hashes of files that it lacks."""
+    fresh = found.select("filename", "phash").filter("filename is not null and phash is not null").dropDuplicates(["filename"])
+    fresh.join(cache.select("filename"), "filename", "left_anti").write.csv(path, header=True, mode="append")

@@ -113,6 +113,18 @@ def meddra_titles(*levels: DataFrame) -> DataFrame:
     return out[0]
 
 
+def meddra_links(*levels: DataFrame) -> DataFrame:
+    """code, parent of the levels above preferred terms, from frames of ``LINK`` columns; blank ends are no link.
+
+    A code that several levels name as a child has the parents of the last one given.
+    """
+    out = None
+    for level in levels:
+        links = level.select("code", "parent").filter("trim(code) <> '' and trim(parent) <> ''").distinct()
+        out = links if out is None else out.join(links.select("code").distinct(), "code", "left_anti").unionByName(links)
+    return out
+
+
 #: The parts of a MeSH descriptor record that are read.
 MESH_SCHEMA = """_DescriptorClass string, DescriptorUI string, DescriptorName struct<String:string>,
 TreeNumberList struct<TreeNumber:array<string>>,
@@ -138,3 +150,13 @@ def mesh_concepts(spark: SparkSession, path: str) -> DataFrame:
         )
         .filter(F.size("synonyms") > 0)
     )
+
+
+def open_codes(codes: DataFrame, done: DataFrame) -> DataFrame:
+    """The codes whose synonyms are not written yet: where a crawl that broke off goes on.  Null codes are none."""
+    return codes.select("code").filter("code is not null").distinct().join(done.select("code"), "code", "left_anti")
+
+
+def append_synonyms(found: DataFrame, path: str) -> None:
+    """code and synonyms as JSON lines behind what the folder holds; an empty list marks a code as done too."""
+    found.select("code", F.coalesce("synonyms", F.array().cast(NO_TERMS)).alias("synonyms")).write.json(path, mode="append", ignoreNullFields=False)

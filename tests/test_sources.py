@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from accordant.operators import neighbours
 from accordant.sources import annotations, results, taxonomies
 
 ICD = [
@@ -161,3 +162,33 @@ def test_costs_of_matrices_and_pairs_are_one_history(spark):
     found = lambda **more: sorted((r["x"], r["y"], r["cost"]) for r in results.load_costs(m, p, **more).collect())
     assert found(pair_costs=pairs) == [("a", "b", 0.3), ("a", "c", 0.4)] and found() == [("a", "b", 0.1)]
     assert found(pair_costs=pairs, reasoning=True) == [("a", "b", 0.9), ("a", "c", 0.7)] and found(measures=["x"]) == []
+
+
+def test_meddra_links_and_directions(spark):
+    low = spark.createDataFrame([("G1", "H1"), ("G2", "H1"), ("G1", "H1"), ("", "H2"), ("G3", None), ("Q", "S")], "parent string, code string")
+    high = spark.createDataFrame([("S1", "G1"), ("S2", "S")], "parent string, code string")
+    got = sorted((r["code"], r["parent"]) for r in taxonomies.meddra_links(low, high).collect())
+    assert got == [("G1", "S1"), ("H1", "G1"), ("H1", "G2"), ("S", "S2")]
+    c = spark.createDataFrame([("A", "a", ["s"], ["k"], ["x"], 1), ("B", "b", ["t"], [], ["k"], 2)], "code string, preferred_term string, synonyms array<string>, parent_codes array<string>, hierarchy_key array<string>, ord int")
+    edges = lambda way: [tuple(r) for r in neighbours.hierarchy_edges(c, way).collect()]
+    assert edges("parent") == [("A", "B")] and edges("children") == [("B", "A")]
+    with pytest.raises(ValueError):
+        edges("up")
+
+
+def test_members_and_hashes(spark, tmp_path):
+    rows = spark.createDataFrame([("x/a.jpg", "old", 1), ("y/a.jpg", None, 2), ("a.jpg", None, 3), ("z/b/c.jpg", None, 4), (None, None, 5)], "filename string, phash string, n int")
+    got = {r["member"]: r["filename"] for r in annotations.wanted_members(rows).collect()}
+    assert got == {"x/a.jpg": "x/a.jpg", "y/a.jpg": "y/a.jpg", "a.jpg": "a.jpg", "z/b/c.jpg": "z/b/c.jpg", "b/c.jpg": "z/b/c.jpg"}
+    cache = spark.createDataFrame([("x/a.jpg", "p1"), ("x/a.jpg", "p0"), (None, "p9")], "filename string, phash string")
+    assert {r["n"]: r["phash"] for r in annotations.with_hashes(rows, cache).collect()} == {1: "p1", 2: None, 3: None, 4: None, 5: None}
+    annotations.append_hashes(spark.createDataFrame([("x/a.jpg", "q"), ("y/a.jpg", "r"), ("a.jpg", None)], "filename string, phash string"), cache, f"{tmp_path}/h")
+    assert [tuple(r) for r in spark.read.csv(f"{tmp_path}/h", header=True).collect()] == [("y/a.jpg", "r")]
+
+
+def test_a_crawl_goes_on(spark, tmp_path):
+    codes = spark.createDataFrame([("A",), ("B",), (None,), ("B",)], "code string")
+    taxonomies.append_synonyms(spark.createDataFrame([("A", None)], "code string, synonyms array<string>"), f"{tmp_path}/s")
+    done = spark.read.schema("code string, synonyms array<string>").json(f"{tmp_path}/s")
+    assert [tuple(r) for r in done.collect()] == [("A", [])]
+    assert [r["code"] for r in taxonomies.open_codes(codes, done).collect()] == ["B"]
