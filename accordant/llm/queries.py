@@ -147,8 +147,14 @@ SELECT d.doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars, coalesce(
   CASE WHEN shared IS NULL THEN 0.0 ELSE shared / length(text) END AS share
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
 """
+P8_CLASSES = """
+WITH k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, text FROM documents WHERE length(text) >= 200),
+w AS (SELECT DISTINCT class_id, md5(substr(text, i, 200)) AS s FROM (SELECT class_id, text, unnest(range(1, length(text) - 198)) AS i FROM k WHERE doc_id = class_id)),
+n AS (SELECT a.class_id, count(DISTINCT b.class_id) AS n FROM w a JOIN w b ON a.s = b.s AND a.class_id <> b.class_id GROUP BY a.class_id)
+SELECT k.doc_id, k.class_id, coalesce(n, 0) AS n_links FROM k LEFT JOIN n ON n.class_id = k.class_id
+"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_items, p1_reliability, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_coverage, p8_classes)
 }
-ORACLES: dict[str, str] = {"p6_decoded": P6_DECODED, "p8_found": P8_FOUND, "p8_coverage": P8_COVERAGE}
+ORACLES: dict[str, str] = {"p6_decoded": P6_DECODED, "p8_found": P8_FOUND, "p8_coverage": P8_COVERAGE, "p8_classes": P8_CLASSES}
