@@ -40,7 +40,8 @@ def synthetic_results(made: DataFrame, chosen: Iterable[Measure], costs: DataFra
     out = []
     for m in chosen:
         scores = agreement.two_raters(made, group, m, key="sample_index", chance_measure=chance_measure, costs=costs, **options)
-        out.append(_against_truth(scores, truth, group, COEFFICIENTS).withColumn("measure", F.lit(m.name)))
+        # a row per population and matching; written, so that no plan spans several measures
+        out.append(written(_against_truth(scores, truth, group, COEFFICIENTS).withColumn("measure", F.lit(m.name)), "scores"))
     return reduce(DataFrame.unionByName, out)
 
 
